@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: rows and bytes of one Arrow batch; long texts make row counts alone a poor memory bound
-BATCH_ROWS = 1024
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_ROWS = 512
+BATCH_BYTES = 8 * 1024 * 1024
 
 
 def bounded_batches(spark: SparkSession) -> None:
