@@ -130,7 +130,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     copies = F.expr("sequence(1L, (taken + size - 1) div size)")
     text = col(row)[text_col]
     words = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
-    cut = F.regexp_extract(text, F.concat(F.lit(r"(?s)^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){"), (words - 1).cast("string"), F.lit(r"}+[^\x20\x09-\x0D]++")), 0)
+    cut = F.call_function("regexp_extract", text, F.concat(F.lit(r"(?s)^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){"), (words - 1).cast("string"), F.lit(r"}+[^\x20\x09-\x0D]++")), F.lit(0))
     whole = F.col("copy") * F.col("size") <= F.col("taken")
     out = wide.withColumn("copy", F.explode(copies))
     return out.select(*[F.when(whole, text).otherwise(cut).alias(c) if c == text_col else col(row)[c].alias(c) for c in docs.columns])
