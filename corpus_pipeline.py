@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmer.llm import quality_qda
+from quillmer.llm import decontam_wm, mixing, quality_qda, simhash_gph, token_output
 from quillmer.llm.common import table
 
 
@@ -13,10 +14,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_qda.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [
-    ("quality", quality),
-]
-#: the classifier's scores and the tokenizer can't be expressed in SQL; a brute-force version is in the tests
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
+    return simhash_gph.drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with at least a twentieth of their words in benchmark passages go."""
+    return decontam_wm.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it; n_chars follows the text where a budget ends within it."""
+    mixed = mixing.mix(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else mixed
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix; the result is their digest, a row for each document and repetition."""
+    return token_output.round_trip(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("tokens", tokens)]
+#: the classifier's scores and the tokenizer can't be expressed in SQL; tests/llm compares with a brute-force version
 ORACLE_SQL = None
 
 
