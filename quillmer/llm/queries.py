@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam_wm, mixing, quality_qda, quality_rules, simhash_gph, token_output
+from . import decontam_wm, mixing, pii_boost, quality_qda, quality_rules, simhash_gph, token_output
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boost.report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("divergence")
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op6_token_output": op6_token_output,
+    "op7_pii": op7_pii,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
