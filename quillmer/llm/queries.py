@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam_wm, mixing, pii_boost, quality_qda, quality_rules, simhash_gph, token_output
+from . import decontam_wm, line_chunks, mixing, pii_boost, quality_qda, quality_rules, simhash_gph, token_output
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.report(table(spark, sf_dir, "documents"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op6_token_output": op6_token_output,
     "op7_pii": op7_pii,
     "op8_quality_rules": op8_quality_rules,
@@ -49,4 +54,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontam_wm.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
+    "op4_line_dedup": line_chunks.ORACLE_SQL,
 }
