@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam_wm, line_chunks, mixing, pii_boost, quality_qda, quality_rules, simhash_gph, token_output
+from . import decontam_wm, html_layout, line_chunks, mixing, pii_boost, quality_qda, quality_rules, simhash_gph, token_output
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.report(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.report(table(spark, sf_dir, "pages"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_token_output": op6_token_output,
     "op7_pii": op7_pii,
     "op8_quality_rules": op8_quality_rules,
