@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam_wm, html_layout, line_chunks, mixing, pii_boost, quality_qda, quality_rules, simhash_gph, token_output
+from . import decontam_wm, html_layout, license_scan, line_chunks, mixing, pii_boost, quality_qda, quality_rules, simhash_gph, token_output
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam_wm.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +49,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
