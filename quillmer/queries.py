@@ -1,6 +1,597 @@
-"""Registry of the engine's own queries and their SQL equivalents."""
+"""Registry of the engine's queries over the standard tables, each with the DuckDB SQL that gives the same rows.
+
+Documents are read as sequences (``sources.tables.text_reads``) with k = 7, embeddings as profiles of 64 samples. Doubles
+are rounded to six digits in both engines.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import seq, stats, vectors
+from .operators import cluster as clustering
+from .operators import counts as C
+from .operators import extract as X
+from .operators import matrix as M
+from .operators import ranks as R
+from .sources import files, tables
+
+K, SIG = 7, 5
+DIM, PLANES, WIDTH, OFFSET = 64, vectors.planes(8, 64), 0.7, 0.35
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+# --- shared pieces of SQL ---------------------------------------------------------------------------------------------
+
+_READS = f"reads AS MATERIALIZED (SELECT CAST(substr(source, 4) AS INT) AS sample_id, doc_id AS read_no, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), '{tables.LETTERS}', '{tables.AS_BASES}') AS seq FROM documents)"
+_WINDOWS = f"windows AS (SELECT sample_id, read_no, i - 1 AS pos, substr(seq, i, {K}) AS w FROM (SELECT *, unnest(range(1, length(seq) - {K - 2})) AS i FROM reads))"
+_CANON = "least(w, reverse(translate(w, 'ACGT', 'TGCA')))"
+_C1 = f"{_READS}, {_WINDOWS}, c1 AS MATERIALIZED (SELECT sample_id, {_CANON} AS kmer, least(count(*), 65535) AS cnt FROM windows GROUP BY ALL)"
+_C2 = f"{_C1}, c2 AS MATERIALIZED (SELECT * FROM c1 WHERE cnt >= 2), samples AS (SELECT DISTINCT sample_id FROM reads), feats AS (SELECT DISTINCT kmer FROM c2)"
+_STATS = f"{_C2}, st AS MATERIALIZED (SELECT sample_id, sum(ln(cnt)) AS coverage, (SELECT count(*) FROM feats) AS n_features, CAST(sum(cnt) AS BIGINT) AS total FROM c2 GROUP BY sample_id)"
+_DENSE = f"{_STATS}, dense AS MATERIALIZED (SELECT kmer, sample_id, coalesce(cnt, 0) AS cnt, ln(coalesce(cnt, 0) + 1) - coalesce(coverage / n_features, 0) AS v, coalesce(cnt * 1e6 / total, 0) AS freq FROM feats CROSS JOIN samples LEFT JOIN c2 USING (kmer, sample_id) LEFT JOIN st USING (sample_id))"
+_MOMENTS = f"{_DENSE}, mo AS (SELECT kmer, avg(v) FILTER (sample_id < 10) AS ma, avg(v) FILTER (sample_id >= 10) AS mb, var_samp(v) FILTER (sample_id < 10) AS va, var_samp(v) FILTER (sample_id >= 10) AS vb, count(*) FILTER (sample_id < 10) AS na, count(*) FILTER (sample_id >= 10) AS nb FROM dense GROUP BY kmer)"
+_T18 = "(0.5 + 0.5 * sin(atan(t / sqrt(18.0))) * " + "".join(f"(1.0 + {j - 1}.0 / {j}.0 * (18.0 / (18.0 + t * t)) * " for j in range(2, 17, 2)) + "1.0" + ")" * 8 + ")"
+_TTEST = f"{_MOMENTS}, tt AS (SELECT *, (ma - mb) / sqrt((9 * va + 9 * vb) / 18 * 0.2) AS t FROM mo), tp AS (SELECT *, {_T18} AS p_left FROM tt)"
+_PACK = " + ".join(f"(strpos('ACGT', substr({{0}}, {i + 1}, 1)) - 1) * {4 ** (K - 1 - i)}" for i in range(K))
+_UNPACK = " || ".join(f"substr('ACGT', CAST(1 + (p // {4 ** (K - 1 - i)}) % 4 AS BIGINT), 1)" for i in range(K))
+_EMB = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+_DOT = lambda a, b: f"list_sum(list_transform(range(1, {DIM + 1}), lambda i: {a}[i] * {b}[i]))"
+_LIST = lambda p: "[" + ", ".join(f"CAST({float(x)!r} AS DOUBLE)" for x in p) + "]"
+_SRP = " + ".join(f"CASE WHEN {_DOT('v', _LIST(p))} >= 0 THEN {2 ** (len(PLANES) - 1 - i)} ELSE 0 END" for i, p in enumerate(PLANES))
+_R = lambda x: f"round({x}, 6) + 0.0"
+
+
+def query(sql: str | None = None):
+    """Register the function as a query under its name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(x: Column, name: str) -> Column:
+    return (F.round(x, 6) + 0.0).alias(name)
+
+
+# --- shared frames ----------------------------------------------------------------------------------------------------
+
+
+def _reads(spark: SparkSession, d: str) -> DataFrame:
+    return tables.text_reads(tables.read_table(spark, d, "documents"))
+
+
+def _counts(spark: SparkSession, d: str, min_count: int = 2, **args) -> DataFrame:
+    return C.count_kmers(_reads(spark, d), K, min_count=min_count, invalid="as_a", **args)
+
+
+def _samples(spark: SparkSession, d: str) -> list[int]:
+    return [r[0] for r in _reads(spark, d).select("sample_id").distinct().orderBy("sample_id").collect()]  # the manifest
+
+
+def _text(df: DataFrame, *rest) -> DataFrame:
+    return df.select(seq.decode(F.col("kmer"), K).alias("kmer"), *rest)
+
+
+def _kept(counts: DataFrame) -> DataFrame:
+    from .storage import stored
+
+    return stored(counts, "counts")
+
+
+def _offsets(counts: DataFrame) -> dict[int, float]:
+    return {r["sample_id"]: r["offset"] for r in C.sample_stats(counts).collect()}  # a row per sample
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, list[int]]:
+    samples, counts = _samples(spark, d), _kept(_counts(spark, d))
+    return M.lognorm(M.dense(counts, samples), _offsets(counts), samples), samples
+
+
+def _long(spark: SparkSession, d: str) -> DataFrame:
+    dense, samples = _vectors(spark, d)
+    ids = F.array(*[F.lit(s) for s in samples])
+    return dense.select("kmer", F.explode(F.zip_with(ids, "values", lambda s, v: F.struct(s.alias("sample_id"), v.alias("v")))).alias("x")).select("kmer", "x.*")
+
+
+def _moments(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
+    samples, counts = _samples(spark, d), _kept(_counts(spark, d))
+    return M.group_moments(counts, _offsets(counts), samples)
+
+
+def _frequencies(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
+    """(kmer, a, b, zeros, total): frequencies per million of each group's samples."""
+    samples, counts = _samples(spark, d), _kept(_counts(spark, d))
+    total = {r[0]: r[1] for r in counts.groupBy("sample_id").agg(F.sum("cnt")).collect()}  # a row per sample
+    scale = F.array(*[F.lit(float(total.get(s, 1))) for s in samples])
+    n1 = sum(s < tables.GROUP_A for s in samples)
+    dense = M.dense(counts, samples).withColumn("f", F.zip_with("values", scale, lambda c, t: c * 1e6 / t))
+    return dense.select(
+        "kmer", F.slice("f", 1, n1).alias("a"), F.slice("f", n1 + 1, len(samples) - n1).alias("b"),
+        F.size(F.filter("values", lambda x: x == 0)).alias("zeros"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).cast("long").alias("total"),
+    ), n1, len(samples) - n1
+
+
+def _embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return tables.read_table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+
+
+# --- sources and sequence functions -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {_READS} SELECT sample_id, CASE WHEN sample_id < 10 THEN 'A' ELSE 'B' END AS grp, count(*) AS n_reads, CAST(sum(length(seq)) AS BIGINT) AS bases FROM reads GROUP BY ALL")
+def manifest(spark, d):
+    return _reads(spark, d).groupBy("sample_id", tables.group_of().alias("grp")).agg(F.count("*").alias("n_reads"), F.sum(F.length("seq")).alias("bases"))
+
+
+@query(f"WITH {_READS} SELECT sample_id, read_no, CAST(length(seq) AS BIGINT) AS bases, md5(seq) AS digest FROM reads")
+def reads_encode(spark, d):
+    return _reads(spark, d).select("sample_id", "read_no", F.length("seq").cast("long").alias("bases"), F.md5("seq").alias("digest"))
+
+
+@query(f"WITH {_READS} SELECT read_no, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS digest FROM reads")
+def revcomp(spark, d):
+    return _reads(spark, d).select("read_no", F.md5(seq.revcomp(F.col("seq"))).alias("digest"))
+
+
+def _raw(spark, d):
+    return _text(C.universe(_counts(spark, d, 1, both_strands=False)))
+
+
+@query(f"WITH {_READS}, {_WINDOWS} SELECT DISTINCT w AS kmer, {_CANON} AS canonical FROM windows")
+def canonical(spark, d):
+    return _raw(spark, d).select("kmer", seq.canonical(F.col("kmer")).alias("canonical"))
+
+
+@query(f"WITH {_READS}, {_WINDOWS} SELECT DISTINCT w AS kmer, CAST({_PACK.format('w')} AS BIGINT) AS packed FROM windows")
+def kmer_pack(spark, d):
+    return _raw(spark, d).select("kmer", seq.encode(F.col("kmer")).alias("packed"))
+
+
+@query(f"WITH {_READS}, {_WINDOWS}, p AS (SELECT DISTINCT CAST({_PACK.format('w')} AS BIGINT) AS p FROM windows) SELECT p AS packed, {_UNPACK} AS kmer FROM p")
+def kmer_unpack(spark, d):
+    return C.universe(_counts(spark, d, 1, both_strands=False)).select(F.col("kmer").alias("packed"), seq.decode(F.col("kmer"), K).alias("kmer"))
+
+
+def _rolled(spark, d, roll):
+    kmers = C.universe(_counts(spark, d, 1)).withColumn("base", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    return _text(kmers, "base", seq.decode(roll(F.col("kmer"), F.col("base"), K), K).alias("rolled"))
+
+
+@query(f"WITH {_C1} SELECT DISTINCT kmer, CAST(b AS INT) AS base, substr(kmer, 2) || substr('ACGT', b + 1, 1) AS rolled FROM c1, range(4) t(b)")
+def roll_forward(spark, d):
+    return _rolled(spark, d, seq.roll_forward)
+
+
+@query(f"WITH {_C1} SELECT DISTINCT kmer, CAST(b AS INT) AS base, substr('ACGT', b + 1, 1) || substr(kmer, 1, {K - 1}) AS rolled FROM c1, range(4) t(b)")
+def roll_backward(spark, d):
+    return _rolled(spark, d, seq.roll_backward)
+
+
+@query(f"WITH {_C1} SELECT DISTINCT kmer, CAST(i AS INT) AS link, CASE WHEN i < 4 THEN substr(kmer, 2) || substr('ACGT', i + 1, 1) ELSE substr('ACGT', i - 3, 1) || substr(kmer, 1, {K - 1}) END AS neighbour FROM c1, range(8) t(i)")
+def neighbour_links(spark, d):
+    kmers = C.universe(_counts(spark, d, 1)).select("kmer", F.posexplode(seq.links(F.col("kmer"), K)).alias("link", "n"))
+    return _text(kmers, "link", seq.decode(F.col("n"), K).alias("neighbour"))
+
+
+_MM = " , ".join(f"(substr(kmer, {i}, {SIG}))" for i in range(1, K - SIG + 2))
+_MPACK = lambda m: " + ".join(f"(strpos('ACGT', substr({m}, {i + 1}, 1)) - 1) * {4 ** (SIG - 1 - i)}" for i in range(SIG))
+_MVAL = lambda m: f"CASE WHEN {m} LIKE '%TGT' OR {m} LIKE '%TT_' OR {m} LIKE 'ACA%' OR substr({m}, 2) LIKE '%AA%' THEN {4 ** SIG} ELSE {_MPACK(m)} END"
+_SIGN = lambda source: f"SELECT kmer, CAST(min(least({_MVAL('m')}, {_MVAL('rm')})) AS BIGINT) AS signature FROM (SELECT kmer, m, reverse(translate(m, 'ACGT', 'TGCA')) AS rm FROM (SELECT kmer, unnest([{_MM}]) AS m FROM {source})) GROUP BY kmer"
+
+
+@query(f"WITH {_C1}, u AS (SELECT DISTINCT kmer FROM c1) {_SIGN('u')}")
+def signature(spark, d):
+    return _text(C.universe(_counts(spark, d, 1))).select("kmer", seq.signature(SIG, F.col("kmer")).alias("signature"))
+
+
+@query(f"""WITH {_READS}, {_WINDOWS}, u AS (SELECT DISTINCT w AS kmer FROM windows), s AS ({_SIGN('u')}),
+  b AS (SELECT read_no, pos, signature AS bin, CASE WHEN lag(signature) OVER o = signature THEN 0 ELSE 1 END AS new FROM windows JOIN s ON w = kmer WINDOW o AS (PARTITION BY read_no ORDER BY pos)),
+  r AS (SELECT *, sum(new) OVER (PARTITION BY read_no ORDER BY pos) AS run FROM b)
+  SELECT read_no, CAST(min(pos) AS INT) AS start, CAST(count(*) + {K - 1} AS BIGINT) AS len, any_value(bin) AS bin FROM r GROUP BY read_no, run""")
+def super_kmers(spark, d):
+    return C.super_kmers(_reads(spark, d), K, SIG)
+
+
+# --- counts and database view -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_C1} SELECT sample_id, kmer, CAST(cnt AS BIGINT) AS cnt FROM c1")
+def kmer_counts(spark, d):
+    return _text(_counts(spark, d, 1), "sample_id", "cnt")
+
+
+@query(f"WITH {_C2} SELECT sample_id, kmer, CAST(cnt AS BIGINT) AS cnt FROM c2")
+def kmer_counts_min2(spark, d):
+    return _text(_counts(spark, d), "sample_id", "cnt")
+
+
+@query(f"WITH {_C1} SELECT sample_id, kmer, CAST(least(cnt, 15) AS BIGINT) AS cnt FROM c1")
+def kmer_saturate(spark, d):
+    return _text(_counts(spark, d, 1, max_count=15), "sample_id", "cnt")
+
+
+@query(f"WITH {_C2} SELECT kmer FROM feats")
+def kmer_universe(spark, d):
+    return _text(C.universe(_counts(spark, d)))
+
+
+@query(f"WITH {_C2} SELECT row_number() OVER (ORDER BY kmer) - 1 AS feature_id, kmer FROM feats")
+def kmer_ids(spark, d):
+    return _text(C.features(_counts(spark, d)), "feature_id")
+
+
+@query(f"WITH {_STATS} SELECT sample_id, {_R('coverage')} AS coverage FROM st")
+def coverage(spark, d):
+    return C.sample_stats(_kept(_counts(spark, d))).select("sample_id", r6(F.col("coverage"), "coverage"))
+
+
+@query(f"WITH {_STATS} SELECT sample_id, {_R('coverage / n_features')} AS off FROM st")
+def offsets(spark, d):
+    return C.sample_stats(_kept(_counts(spark, d))).select("sample_id", r6(F.col("offset"), "off"))
+
+
+@query(f"WITH {_C2} SELECT count(*) AS n_features FROM feats")
+def n_features(spark, d):
+    return C.universe(_counts(spark, d)).agg(F.count("*").alias("n_features"))
+
+
+@query(f"WITH {_C2} SELECT sample_id, {K} AS k, count(*) AS total_kmers, CAST(min(cnt) AS BIGINT) AS min_count, CAST(max(cnt) AS BIGINT) AS max_count, CAST(sum(cnt) AS BIGINT) AS sum_count FROM c2 GROUP BY sample_id")
+def db_info(spark, d):
+    return C.db_info(_counts(spark, d), K)
+
+
+@query(f"WITH {_C2} SELECT sample_id, kmer, CAST(cnt AS BIGINT) AS cnt FROM c2 WHERE cnt BETWEEN 3 AND 20")
+def db_range_filter(spark, d):
+    return _text(C.in_range(_counts(spark, d), 3, 20), "sample_id", "cnt")
+
+
+@query(f"WITH {_C2}, q AS (SELECT sample_id + 1 AS sample_id, kmer FROM c2) SELECT q.sample_id, q.kmer, CAST(coalesce(cnt, 0) AS BIGINT) AS cnt, cnt IS NOT NULL AS found FROM q LEFT JOIN c2 USING (sample_id, kmer)")
+def db_exists(spark, d):
+    counts = _kept(_counts(spark, d))
+    return _text(C.lookup(counts.select((F.col("sample_id") + 1).alias("sample_id"), "kmer"), counts), "sample_id", "cnt", "found")
+
+
+@query(f"WITH {_C2}, w AS (SELECT sample_id, read_no, pos, {_CANON} AS kmer FROM windows) SELECT w.sample_id, read_no, count(*) AS n, CAST(sum(coalesce(cnt, 0)) AS BIGINT) AS total, CAST(sum(coalesce(cnt, 0) * (pos % 97)) AS BIGINT) AS weighted FROM w LEFT JOIN c2 USING (sample_id, kmer) GROUP BY ALL")
+def counters_for_read(spark, d):
+    c = C.counters_for_reads(_reads(spark, d), _kept(_counts(spark, d)), K)
+    total = F.aggregate("counters", F.lit(0).cast("long"), lambda a, x: a + x)
+    weighted = F.aggregate(F.transform("counters", lambda x, i: x * (i % 97)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return c.select("sample_id", "read_no", F.size("counters").cast("long").alias("n"), total.alias("total"), weighted.alias("weighted"))
+
+
+# --- matrix -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_DENSE} SELECT kmer, sample_id, CAST(cnt AS BIGINT) AS cnt FROM dense")
+def count_matrix(spark, d):
+    samples = _samples(spark, d)
+    ids = F.array(*[F.lit(s) for s in samples])
+    rows = M.dense(_counts(spark, d), samples).select("kmer", F.explode(F.zip_with(ids, "values", lambda s, v: F.struct(s.alias("sample_id"), v.cast("long").alias("cnt")))).alias("x"))
+    return _text(rows, "x.sample_id", "x.cnt")
+
+
+@query(f"WITH {_DENSE} SELECT kmer, sample_id, {_R('v')} AS v FROM dense")
+def lognorm_matrix(spark, d):
+    return _text(_long(spark, d), "sample_id", r6(F.col("v"), "v"))
+
+
+@query(f"WITH {_C2} SELECT kmer, CAST(sum(cnt) AS BIGINT) AS total FROM c2 GROUP BY kmer HAVING sum(cnt) > 0.1 * (SELECT count(*) FROM samples)")
+def rarity_filter(spark, d):
+    return _text(M.rarity_filter(_counts(spark, d), len(_samples(spark, d))), "total")
+
+
+@query(f"WITH {_C2} SELECT kmer, CAST((SELECT count(*) FROM samples) - count(*) AS BIGINT) AS zeros FROM c2 GROUP BY kmer HAVING (SELECT count(*) FROM samples) - count(*) < 0.7 * (SELECT count(*) FROM samples)")
+def zero_gate(spark, d):
+    return _text(M.zero_gate(_counts(spark, d), len(_samples(spark, d))), "zeros")
+
+
+@query(f"WITH {_C2} SELECT kmer, CAST(sum(cnt) AS BIGINT) AS total FROM c2 GROUP BY kmer HAVING sum(cnt) > 2 * (SELECT count(*) FROM samples)")
+def large_count(spark, d):
+    return _text(M.large_count(_counts(spark, d), len(_samples(spark, d))), "total")
+
+
+@query(f"WITH {_STATS} SELECT sample_id, kmer, {_R('cnt * 1e6 / coverage')} AS freq FROM c2 JOIN st USING (sample_id)")
+def freq_per_million(spark, d):
+    counts = _kept(_counts(spark, d))
+    return _text(M.per_million(counts, C.sample_stats(counts)), "sample_id", r6(F.col("freq"), "freq"))
+
+
+@query(f"WITH {_DENSE} SELECT kmer, count(*) AS n, {_R('sum(v)')} AS total, {_R('min(v)')} AS low, {_R('max(v)')} AS high FROM dense GROUP BY kmer")
+def feature_vectors(spark, d):
+    dense, _ = _vectors(spark, d)
+    return _text(dense, F.size("values").cast("long").alias("n"), r6(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), "total"), r6(F.array_min("values"), "low"), r6(F.array_max("values"), "high"))
+
+
+# --- statistics -------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_TTEST} SELECT kmer, {_R('t')} AS t, {_R('p_left')} AS p_left, {_R('1 - p_left')} AS p_right, {_R('2 * least(p_left, 1 - p_left)')} AS p_both FROM tp")
+def ttest(spark, d):
+    return _text(M.ttest(*_moments(spark, d)), *[r6(F.col(c), c) for c in ("t", "p_left", "p_right", "p_both")])
+
+
+@query(f"WITH {_TTEST} SELECT kmer, {_R('t')} AS t, CASE WHEN p_left <= 0.01 THEN 'B' ELSE 'A' END AS grp FROM tp WHERE p_left <= 0.01 OR 1 - p_left <= 0.01")
+def ttest_classes(spark, d):
+    return _text(M.ttest(*_moments(spark, d)).where("grp IS NOT NULL"), r6(F.col("t"), "t"), "grp")
+
+
+@query(f"WITH {_MOMENTS} SELECT kmer, {_R('va / vb')} AS f FROM mo")
+def ftest_stat(spark, d):
+    m, _, _ = _moments(spark, d)
+    return _text(m, r6(F.col("va") / F.col("vb"), "f"))
+
+
+@query(f"WITH {_MOMENTS} SELECT kmer, {_R('(ma - mb) / sqrt(va / na + vb / nb)')} AS t, {_R('power(va / na + vb / nb, 2) / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1))')} AS df FROM mo")
+def welch_stat(spark, d):
+    m, n1, n2 = _moments(spark, d)
+    t, df = stats.welch(n1, F.col("ma"), F.col("va"), n2, F.col("mb"), F.col("vb"))
+    return _text(m, r6(t, "t"), r6(df, "df"))
+
+
+_UTEST = f"""{_DENSE}, u AS (SELECT a.kmer, sum(CASE WHEN a.freq > b.freq THEN 1.0 WHEN a.freq = b.freq THEN 0.5 ELSE 0.0 END) AS u, count(DISTINCT a.sample_id) AS n1, count(DISTINCT b.sample_id) AS n2
+  FROM dense a JOIN dense b ON a.kmer = b.kmer AND a.sample_id < 10 AND b.sample_id >= 10 GROUP BY a.kmer),
+  ties AS (SELECT kmer, sum(c * c * c - c) AS ties FROM (SELECT kmer, freq, CAST(count(*) AS DOUBLE) AS c FROM dense GROUP BY ALL) GROUP BY kmer),
+  uz AS (SELECT kmer, u, u - n1 * n2 / 2.0 AS shift, sqrt(greatest(0.0, n1 * n2 / 12.0 * ((n1 + n2 + 1.0) - ties / ((n1 + n2) * (n1 + n2 - 1.0))))) AS sigma FROM u JOIN ties USING (kmer)),
+  z AS (SELECT kmer, u, CASE WHEN sigma > 0 THEN (shift - 0.5 * sign(shift)) / sigma ELSE 0.0 END AS z FROM uz)"""
+
+
+@query(f"WITH {_UTEST} SELECT kmer, CAST(u AS DOUBLE) AS u, {_R('z')} AS z FROM z")
+def mannwhitney_u(spark, d):
+    return _text(R.mann_whitney(*_frequencies(spark, d)), "u", r6(F.col("z"), "z"))
+
+
+@query(f"""WITH {_UTEST}, g AS (SELECT kmer, count(*) FILTER (cnt = 0) AS zeros, count(*) AS n, CAST(sum(cnt) AS BIGINT) AS total FROM dense GROUP BY kmer)
+  SELECT kmer, CASE WHEN z <= -2.3263478740408408 THEN 'B' WHEN z >= 2.3263478740408408 THEN 'A' END AS grp, total > 2 * n AS large FROM z JOIN g USING (kmer) WHERE zeros < 0.7 * n""")
+def per_feature_variant(spark, d):
+    """Rank test of each k-mer's frequencies, for k-mers absent from few samples; and the k-mers of large counts."""
+    f, n1, n2 = _frequencies(spark, d)
+    tested = R.mann_whitney(f, n1, n2).where(F.col("zeros") < 0.7 * (n1 + n2))
+    return _text(tested, M.classify(F.col("p_left"), F.col("p_right"), 0.01).alias("grp"), (F.col("total") > 2 * (n1 + n2)).alias("large"))
+
+
+@query(f"WITH {_DENSE}, o AS (SELECT kmer, avg(v) AS m, stddev_samp(v) AS s, count(*) AS n FROM dense GROUP BY kmer) SELECT kmer, {_R('(m + 0.5) / (s / sqrt(n))')} AS t FROM o WHERE s > 1e-9")
+def one_sample_t(spark, d):
+    o = _long(spark, d).groupBy("kmer").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"), F.count("*").alias("n")).where("s > 1e-9")
+    return _text(o, r6((F.col("m") + 0.5) / (F.col("s") / F.sqrt("n")), "t"))
+
+
+def _integers(spark, d):
+    return M.dense(_counts(spark, d), _samples(spark, d))
+
+
+@query(f"""WITH {_DENSE}, x AS (SELECT kmer, CAST(cnt AS DOUBLE) - 4 AS x FROM dense WHERE cnt <> 4), k AS (SELECT kmer, x, rank() OVER o + (count(*) OVER (PARTITION BY kmer, abs(x)) - 1) / 2.0 AS r FROM x WINDOW o AS (PARTITION BY kmer ORDER BY abs(x)))
+  SELECT kmer, CAST(coalesce(w, 0) AS DOUBLE) AS w FROM feats LEFT JOIN (SELECT kmer, sum(r) FILTER (x > 0) AS w FROM k GROUP BY kmer) USING (kmer)""")
+def signed_rank(spark, d):
+    return _text(_integers(spark, d), R.signed_rank(F.col("values"), 4.0).alias("w"))
+
+
+@query(f"WITH {_DENSE} SELECT kmer, count(*) FILTER (cnt > 4) AS above, count(*) FILTER (cnt <> 4) AS n FROM dense GROUP BY kmer")
+def sign_test(spark, d):
+    above, n = R.sign_count(F.col("values"), 4.0)
+    return _text(_integers(spark, d), above.alias("above"), n.alias("n"))
+
+
+_POP = f"{_DENSE}, mu AS (SELECT sample_id, avg(v) AS m FROM dense GROUP BY sample_id), cm AS (SELECT sample_id, count(*) AS n, any_value(m) AS m, avg(power(v - m, 2)) AS m2, avg(power(v - m, 3)) AS m3, avg(power(v - m, 4)) AS m4, avg(abs(v - m)) AS adev FROM dense JOIN mu USING (sample_id) GROUP BY sample_id)"
+
+
+def _sample_moments(spark, d):
+    long = _long(spark, d)
+    means = long.groupBy("sample_id").agg(F.avg("v").alias("m"))
+    met = long.join(F.broadcast(means), "sample_id")  # a row per sample
+    return met.groupBy("sample_id").agg(F.count("*").alias("n"), F.first("m").alias("mean"), F.var_samp("v").alias("variance"), F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurt"), F.avg(F.abs(F.col("v") - F.col("m"))).alias("adev"))
+
+
+@query(f"WITH {_POP} SELECT sample_id, n, {_R('m')} AS mean, {_R('m2 * n / (n - 1)')} AS variance, {_R('m3 / power(m2, 1.5)')} AS skew, {_R('m4 / (m2 * m2) - 3')} AS kurt, {_R('adev')} AS adev FROM cm")
+def moments(spark, d):
+    return _sample_moments(spark, d).select("sample_id", "n", *[r6(F.col(c), c) for c in ("mean", "variance", "skew", "kurt", "adev")])
+
+
+@query(f"WITH {_POP} SELECT sample_id, {_R('n / 6.0 * (power(m3 / power(m2, 1.5), 2) + power(m4 / (m2 * m2) - 3, 2) / 4)')} AS jb FROM cm")
+def jarque_bera(spark, d):
+    return _sample_moments(spark, d).select("sample_id", r6(R.jarque_bera(F.col("n"), F.col("skew"), F.col("kurt")), "jb"))
+
+
+@query(f"WITH {_DENSE} SELECT sample_id, {_R('quantile_cont(v, 0.5)')} AS median, {_R('quantile_cont(v, 0.1)')} AS p10, {_R('quantile_cont(v, 0.9)')} AS p90 FROM dense GROUP BY sample_id")
+def percentiles(spark, d):
+    p = lambda q, n: r6(F.expr(f"percentile(v, {q})"), n)
+    return _long(spark, d).groupBy("sample_id").agg(p(0.5, "median"), p(0.1, "p10"), p(0.9, "p90"))
+
+
+def _sample_pairs(spark, d, value="v"):
+    """Values of every two samples of one k-mer, as columns: the matrix forms of covariance and correlation."""
+    long = _long(spark, d)
+    if value != "v":
+        w = Window.partitionBy("sample_id").orderBy("v")
+        ties = Window.partitionBy("sample_id", "v")
+        long = long.withColumn("v", F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0)
+    both = F.array_sort(F.collect_list(F.struct("sample_id", "v")))
+    rows = long.groupBy("kmer").agg(both.alias("x"))  # a list of the samples
+    pair = rows.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).where("a.sample_id < b.sample_id")
+    return pair.select(F.col("a.sample_id").alias("sa"), F.col("b.sample_id").alias("sb"), F.col("a.v").alias("x"), F.col("b.v").alias("y")).groupBy("sa", "sb")
+
+
+_PAIR = "FROM {0} a JOIN {0} b ON a.kmer = b.kmer AND a.sample_id < b.sample_id GROUP BY a.sample_id, b.sample_id"
+
+
+@query(f"WITH {_DENSE} SELECT a.sample_id AS sa, b.sample_id AS sb, {_R('corr(a.v, b.v)')} AS r {_PAIR.format('dense')}")
+def corr_pearson(spark, d):
+    return _sample_pairs(spark, d).agg(r6(F.corr("x", "y"), "r"))
+
+
+@query(f"WITH {_DENSE} SELECT a.sample_id AS sa, b.sample_id AS sb, {_R('covar_samp(a.v, b.v)')} AS c {_PAIR.format('dense')}")
+def cov(spark, d):
+    return _sample_pairs(spark, d).agg(r6(F.covar_samp("x", "y"), "c"))
+
+
+@query(f"WITH {_DENSE}, rk AS MATERIALIZED (SELECT kmer, sample_id, rank() OVER (PARTITION BY sample_id ORDER BY cnt) + (count(*) OVER (PARTITION BY sample_id, cnt) - 1) / 2.0 AS v FROM dense) SELECT a.sample_id AS sa, b.sample_id AS sb, {_R('corr(a.v, b.v)')} AS r {_PAIR.format('rk')}")
+def corr_spearman(spark, d):
+    return _sample_pairs(spark, d, "rank").agg(r6(F.corr("x", "y"), "r"))
+
+
+# --- vectors, keys, pairs ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_EMB}, n AS (SELECT vec_id, v, sqrt({_DOT('v', 'v')}) AS s FROM e) SELECT vec_id, CAST(i - 1 AS INT) AS pos, {_R('v[i] / s')} AS x FROM (SELECT *, unnest(range(1, {DIM + 1})) AS i FROM n)")
+def l2_normalise(spark, d):
+    return _embeddings(spark, d).select("vec_id", F.posexplode(vectors.l2_normalise(F.col("v"))).alias("pos", "y")).select("vec_id", "pos", r6(F.col("y"), "x"))
+
+
+@query(f"WITH {_EMB} SELECT vec_id, CAST({_SRP} AS BIGINT) AS bucket FROM e")
+def srp_key(spark, d):
+    return _embeddings(spark, d).select("vec_id", vectors.srp_key(F.col("v"), PLANES).alias("bucket"))
+
+
+@query(f"WITH {_EMB} SELECT CAST({_SRP} AS BIGINT) AS bucket, count(*) AS size FROM e GROUP BY ALL")
+def srp_bucket_sizes(spark, d):
+    return srp_key(spark, d).groupBy("bucket").agg(F.count("*").alias("size"))
+
+
+_PST = " || ".join(f"CAST(CAST(trunc(({_DOT('v', _LIST(p))} + {OFFSET}) / {WIDTH}) AS INT) AS VARCHAR)" for p in PLANES[:4])
+
+
+@query(f"WITH {_EMB} SELECT vec_id, {_PST} AS bucket FROM e")
+def pstable_key(spark, d):
+    return _embeddings(spark, d).select("vec_id", vectors.pstable_key(F.col("v"), PLANES[:4], OFFSET, WIDTH).alias("bucket"))
+
+
+def _centres(spark, d):
+    e = _embeddings(spark, d).withColumn("n", (F.col("vec_id") % 3 + 1)).withColumnRenamed("v", "values")
+    return clustering.consensus(e, "label")
+
+
+_CENTRE = f"{_EMB}, x AS (SELECT label, vec_id % 3 + 1 AS n, unnest(range(1, {DIM + 1})) AS i, v FROM e), ce AS (SELECT label, i, sum(v[i] * n) / sum(n) AS value, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY label, i)"
+
+
+@query(f"WITH {_CENTRE} SELECT label, CAST(i - 1 AS INT) AS pos, {_R('value')} AS value, n FROM ce")
+def consensus_by_group(spark, d):
+    return _centres(spark, d).select("label", "pos", r6(F.col("value"), "value"), "n")
+
+
+def _to_centre(spark, d, f, name):
+    c = _centres(spark, d).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("c"))
+    return _embeddings(spark, d).join(c, "label").select("vec_id", "label", r6(f(F.col("v"), F.col("c")), name))
+
+
+_CLIST = f"{_CENTRE}, cl AS (SELECT label, list(value ORDER BY i) AS c FROM ce GROUP BY label)"
+
+
+@query(f"WITH {_CLIST} SELECT vec_id, label, {_R('1 - ' + _DOT('v', 'c') + ' / (sqrt(' + _DOT('v', 'v') + ') * sqrt(' + _DOT('c', 'c') + '))')} AS distance FROM e JOIN cl USING (label)")
+def cosine_pairs(spark, d):
+    return _to_centre(spark, d, vectors.cosine_distance, "distance")
+
+
+@query(f"WITH {_CLIST} SELECT vec_id, label, {_R(f'sqrt(list_sum(list_transform(range(1, {DIM + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i]))))')} AS distance FROM e JOIN cl USING (label)")
+def euclid_pairs(spark, d):
+    return _to_centre(spark, d, vectors.euclidean, "distance")
+
+
+@query(f"WITH {_EMB}, k AS (SELECT vec_id, v, CAST({_SRP} AS BIGINT) AS bucket, sqrt({_DOT('v', 'v')}) AS s FROM e), p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, a.bucket, {_DOT('a.v', 'b.v')} / (a.s * b.s) AS similarity FROM k a JOIN k b ON a.bucket = b.bucket AND a.vec_id < b.vec_id) SELECT id_a, id_b, bucket, {_R('similarity')} AS similarity FROM p WHERE similarity >= 0.3")
+def similar_pairs_in_bucket(spark, d):
+    e = _embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("v").alias("values"))
+    return clustering.similar_pairs(e, vectors.srp_key(F.col("values"), PLANES), 0.3).withColumn("similarity", F.round("similarity", 6) + 0.0)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT CAST(embedding AS VARCHAR)) AS n_different FROM embeddings")
+def vector_equal(spark, d):
+    """Vectors that are equal element by element, counted as one."""
+    e = tables.read_table(spark, d, "embeddings")
+    one = e.groupBy("embedding").agg(F.count("*").alias("c"))
+    return one.agg(F.sum("c").alias("n"), F.count("*").alias("n_different"))
+
+
+# --- clustering (iterative: no SQL) -----------------------------------------------------------------------------------
+
+
+def _clustered(spark, d):
+    dense, samples = _vectors(spark, d)
+    counts = _kept(_counts(spark, d))
+    frequent = dense.join(M.rarity_filter(counts, len(samples)).select("kmer"), "kmer", "left_semi")
+    return *clustering.cluster(frequent.select(F.col("kmer").alias("cluster_id"), "values", F.lit(1).cast("long").alias("n")), len(samples), min_similarity=0.8, iterations=5), samples
+
+
+@query()
+def greedy_cluster(spark, d):
+    """One round at the first threshold: the mapping from k-mers to clusters."""
+    dense, samples = _vectors(spark, d)
+    v = _kept(dense.select(F.col("kmer").alias("cluster_id"), "values", F.lit(1).cast("long").alias("n")))
+    merged = clustering.merge_round(v, 0.95, n=v.count(), dim=len(samples), seed=1, bucket_threshold=1_000_000)
+    return merged.select(F.col("old_id").alias("feature"), "cluster_id")
+
+
+@query()
+def cluster_rounds(spark, d):
+    clusters, _, _ = _clustered(spark, d)
+    return clusters.select("cluster_id", "n", r6(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), "total"))
+
+
+@query()
+def cluster_members(spark, d):
+    return _clustered(spark, d)[1]
+
+
+@query()
+def cluster_filter(spark, d):
+    clusters, _, _ = _clustered(spark, d)
+    return clusters.where("n > 5").select("cluster_id", "n")
+
+
+@query()
+def cluster_test(spark, d):
+    clusters, _, samples = _clustered(spark, d)
+    n1 = sum(s < tables.GROUP_A for s in samples)
+    return clustering.test_clusters(clusters, n1, len(samples) - n1, size_threshold=5).select("cluster_id", "n", r6(F.col("t"), "t"), r6(F.col("p_left"), "p_left"), "grp")
+
+
+# --- extraction -------------------------------------------------------------------------------------------------------
+
+_MARK = f"{_READS}, {_WINDOWS}, wk AS (SELECT sample_id, read_no, {_CANON} AS kmer FROM windows), wp AS (SELECT sample_id, read_no, CAST({_PACK.format('kmer')} AS BIGINT) AS p FROM wk)"
+
+
+def _marked(spark, d, rest):
+    return C.universe(_counts(spark, d, 1)).where(F.col("kmer") % 3 == rest)
+
+
+@query(f"WITH {_MARK} SELECT wp.sample_id, wp.read_no, count(*) AS n_kmers, count(*) FILTER (p % 3 = 0) AS hits, {_R('count(*) FILTER (p % 3 = 0) / count(*)')} AS ratio FROM wp JOIN reads ON wp.read_no = reads.read_no AND length(seq) >= {K + 10} GROUP BY ALL")
+def read_vote(spark, d):
+    return X.votes(_reads(spark, d), _marked(spark, d, 0), K).select("sample_id", "read_no", "n_kmers", "hits", r6(F.col("ratio"), "ratio"))
+
+
+_WON = f"{_MARK}, won AS (SELECT wp.sample_id, wp.read_no FROM wp JOIN reads ON wp.read_no = reads.read_no AND length(seq) >= {K + 10} GROUP BY ALL HAVING count(*) FILTER (p % 3 = CASE WHEN wp.sample_id < 10 THEN 0 ELSE 1 END) / count(*) > 0.35)"
+
+
+def _extracted(spark, d):
+    classes = _marked(spark, d, 0).withColumn("grp", F.lit("A")).unionByName(_marked(spark, d, 1).withColumn("grp", F.lit("B")))
+    groups = spark.createDataFrame([(s, "A" if s < tables.GROUP_A else "B") for s in _samples(spark, d)], "sample_id int, grp string")
+    return X.extract(_reads(spark, d), groups, classes, K, 0.35)
+
+
+@query(f"WITH {_WON} SELECT sample_id, read_no, CASE WHEN sample_id < 10 THEN 'A' ELSE 'B' END AS grp FROM won")
+def extract_reads(spark, d):
+    return _extracted(spark, d).select("sample_id", "read_no", "grp")
+
+
+@query(f"WITH {_WON} SELECT won.read_no, md5('@doc' || CAST(won.read_no AS VARCHAR) || chr(10) || seq || chr(10) || '+' || chr(10)) AS digest FROM won JOIN reads USING (read_no)")
+def extract_fastq(spark, d):
+    return _extracted(spark, d).select("read_no", F.md5(files.fastq_lines()).alias("digest"))
+
+
+@query(f"""WITH {_C2}, f AS (SELECT kmer, (row_number() OVER (ORDER BY kmer) - 1) % 50 AS cluster_id FROM feats),
+  g AS (SELECT item_id, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), '{tables.LETTERS}', '{tables.AS_BASES}') AS seq FROM benchmark),
+  gk AS (SELECT DISTINCT item_id, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT item_id, substr(seq, i, {K}) AS w FROM (SELECT *, unnest(range(1, length(seq) - {K - 2})) AS i FROM g)))
+  SELECT item_id AS genome, cluster_id, count(*) AS shared FROM gk JOIN f USING (kmer) GROUP BY ALL""")
+def genome_quant(spark, d):
+    """Benchmark items as genomes; features in 50 given clusters."""
+    features = _kept(C.features(_counts(spark, d)))
+    members = features.select("feature_id", (F.col("feature_id") % 50).alias("cluster_id"))
+    items = tables.text_reads(tables.read_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("src0").alias("source")))
+    genomes = C.read_kmers(items, K).select(F.col("read_no").alias("genome"), "kmer")
+    return X.genome_quant(members, features, genomes)
