@@ -4,7 +4,8 @@ A rolling hash over the hashes of the last two lines decides after which lines a
 content and shift with it. Chunks of several lines that occur more than once in the corpus are removed but for their first
 occurrence, after their bytes have been compared with it.
 
-Only hashes are grouped for all chunks; texts move for chunks that repeat, and documents once, by their own key.
+Only hashes are grouped for all chunks; texts move for chunks that repeat, and documents twice, by their own key. The joins
+with documents always merge: what they join grows with the corpus, so the plan is the same at every size.
 
 Defined results: a null text is empty, one empty line; the first occurrence is the one in the smallest doc_id (null last),
 then text hash, then position; rows equal in doc_id and text are one document and get the same result; chunks of one line or
@@ -60,7 +61,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     first = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "k")).alias("first")).where("n > 1").drop("n")
     met = hashed.join(first, ["h1", "h2"]).withColumn("lead", F.struct(*KEY, "k") == F.col("first")).drop("first")
     wanted = met.groupBy(*KEY).agg(F.collect_list(F.struct("k", "h1", "h2", "lead")).alias("wanted"))
-    found = docs.join(wanted, _same(docs, wanted)).select(docs["none"], docs["doc_id"], docs["th"], "t", "wanted")
+    found = docs.join(wanted.hint("merge"), _same(docs, wanted)).select(docs["none"], docs["doc_id"], docs["th"], "t", "wanted")
     texts = found.withColumn("c", chunks(F.col("t"))).select(*KEY, F.explode(F.expr("transform(wanted, w -> struct(w.k AS k, w.h1 AS h1, w.h2 AS h2, w.lead AS lead, c[w.k].text AS text))")).alias("w")).select(*KEY, "w.*")
     texts, _ = materialize(texts, "repeats")
     lead = texts.where("lead").select("h1", "h2", F.col("text").alias("lead_text")).dropDuplicates(["h1", "h2"])
@@ -72,7 +73,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per row of ``docs``: doc_id, text (without the repeated chunks), n_lines, n_removed (lines)."""
     rows = _keyed(docs, id_col, text_col)
     gone, _ = materialize(repeated(rows), "gone")
-    met = rows.join(gone, _same(rows, gone), "left").select(rows["doc_id"], "t", "gone")
+    met = rows.join(gone.hint("merge"), _same(rows, gone), "left").select(rows["doc_id"], "t", "gone")
     split = met.select("doc_id", "gone", chunks(F.col("t")).alias("c"))
     stays = F.when(F.col("gone").isNull(), F.col("c")).otherwise(F.filter("c", lambda x, k: ~F.array_contains("gone", k)))
     lines = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["n"])
