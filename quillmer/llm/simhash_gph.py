@@ -317,6 +317,6 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     of = fingerprint_components(pairs, max_distance=max_distance)
     stay = of.where("fp = best.fp").select(F.col("best.doc_id").alias("_stay_id"), F.col("fp").alias("_stay_fp"))
     rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("_row"), col(id_col).alias("_id"), fingerprint_column(text_col).alias("_fp"))
-    met = rows.join(stay, rows["_id"].eqNullSafe(stay["_stay_id"]) & (rows["_fp"] == stay["_stay_fp"]), "left_semi")
+    met = rows.join(stay, rows["_id"].eqNullSafe(stay["_stay_id"]) & rows["_fp"].eqNullSafe(stay["_stay_fp"]), "left_semi")
     one = Window.partitionBy("_id", "_fp").orderBy(F.xxhash64("_row"))
     return met.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_row.*")
