@@ -1,0 +1,238 @@
+"""Operators 1, 2, 4, 7, 8 and 9 against plain Python and on odd tables."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillmer.llm import decontam_wm as wm
+from quillmer.llm import license_scan, line_chunks, pii_boost, quality_qda, quality_rules
+from quillmer.llm.common import table
+
+from .conftest import ODD
+
+
+def by_id(rows):
+    return {r.doc_id: r for r in rows}
+
+
+# --- 1 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_license_families_and_confusers(spark):
+    texts = [t for ts in license_scan.TEMPLATES.values() for t in ts if t != "Licensed under CC BY 4.0"] + license_scan.CONFUSERS
+    want = [f for f, ts in license_scan.TEMPLATES.items() for t in ts if t != "Licensed under CC BY 4.0"] + [""] * len(license_scan.CONFUSERS)
+    got = by_id(license_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [got[i].licenses for i in range(len(texts))] == want
+
+
+def test_license_lines_in_documents(spark, sf):
+    docs = table(spark, sf, "documents")
+    got = by_id(license_scan.report(docs).collect())
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        assert bool(got[r.doc_id].n_licensed) == bool(re.search("(?i)licen[sc]e", r.text or "")), r.doc_id
+        assert got[r.doc_id].n_paragraphs == sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (r.text or "").split("\n"))
+
+
+def test_license_model_agrees_with_numpy(spark):
+    m = license_scan.fit()
+    text = "This work is licensed under the GNU General Public License, version 3"
+    found = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().found
+    x = np.zeros(len(m.vocabulary) + 1)
+    x[-1] = 1
+    for g in license_scan.grams(license_scan.words(text)):
+        if g in m.vocabulary:
+            x[m.vocabulary.index(g)] = 1
+    z = x @ m.weights / m.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    assert found[0].family == m.families[int(p.argmax())] and abs(found[0].probability - p.max()) < 1e-9 and found[0].cover == 1.0
+
+
+# --- 2 ------------------------------------------------------------------------------------------------------------------
+
+
+def brute_windows(docs, items):
+    """Result by comparing every window with every position."""
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for i, t in docs:
+        w, hit, got = words(t), set(), set()
+        for item, text in items:
+            p = words(text)
+            m = min(13, len(p))
+            for s in range(len(p) - m + 1 if m else 0):
+                for k in range(len(w) - m + 1):
+                    if w[k : k + m] == p[s : s + m]:
+                        hit.update(range(k, k + m))
+                        got.add("" if item is None else str(item))
+        ids = ",".join(sorted(got))
+        out.append((i, len(w), len(hit), len(got), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(map(repr, out))
+
+
+ITEMS = [(1, " ".join(f"w{i}" for i in range(20))), (2, "short item"), (10, "one"), (3, None), (4, "..."), (None, "Ünï " * 14), (5, " ".join(f"w{i}" for i in range(5, 25))), (1, "w1 w2 " * 10)]
+DOCS = [(1, "W0 w1, " + " ".join(f"w{i}" for i in range(2, 26))), (2, "a SHORT-item b one"), (3, None), (4, ""), (5, "w1 w2 " * 40), (6, "ünï " * 30 + "Ünï " * 3), (7, "x " * 500 + " ".join(f"w{i}" for i in range(13))), (7, "one")]
+
+
+@pytest.mark.parametrize("block_bytes", [wm.BLOCK_BYTES, 60])
+def test_wu_manber_equals_brute_force(spark, block_bytes):
+    docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = wm.report(docs, items, block_bytes=block_bytes).collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute_windows(DOCS, ITEMS)
+
+
+def test_wu_manber_odd_tables(spark, odd, empty, long_text):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert wm.report(odd, items).count() == len(ODD) and wm.report(empty, items).count() == 0
+    assert wm.report(odd, items.where("false")).where("contaminated or n_items > 0").count() == 0
+    kept = wm.decontaminate(odd, items)
+    assert kept.columns == odd.columns and kept.count() == len(ODD) - 2  # both rows of document 1 hold the item "one"
+    big = spark.createDataFrame([(1, long_text + " " + ITEMS[0][1])], "doc_id long, text string")
+    r = wm.report(big, items).first()
+    assert r.n_hit == 20 and not r.contaminated
+
+
+# --- 4 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_line_chunks_follow_content(spark, long_text):
+    block = "\n".join(f"shared line {i}" for i in range(40))
+    docs = [(1, "first\n" + block + "\nend"), (2, "other\nstart\nhere\n" + block + "\nclose"), (3, "nothing shared\nat all"), (4, None), (None, "x\n" + block), (5, long_text), (1, "first\n" + block + "\nend")]
+    got = line_chunks.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == len(docs)
+    one = [r for r in got if r.doc_id == 1]
+    assert all(r.n_removed == 0 and r.text == docs[0][1] for r in one)
+    two = next(r for r in got if r.doc_id == 2)
+    assert two.n_removed >= 24 and two.text.startswith("other") and two.text.endswith("close")
+    assert next(r for r in got if r.doc_id is None).n_removed >= 24
+    assert next(r for r in got if r.doc_id == 5).text == long_text and next(r for r in got if r.doc_id == 4).text == ""
+
+
+def test_line_chunks_odd_tables(odd, empty):
+    assert line_chunks.report(odd).count() == len(ODD) and line_chunks.report(empty).count() == 0
+
+
+# --- 7 ------------------------------------------------------------------------------------------------------------------
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def valid(kind, m):
+    digits = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in m.split("."))
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and sum((2 * int(c) - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+def base_of(t):
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, t or "") if valid(k, m.group()))
+
+
+PII = [
+    "a@b.c.@d.e x a@b.c_x@d.e @ a.@b..c", "1.2.3.4.5.6.7.8 256.1.1.1 0255.1.1.1 1..2.3.4.5 1.2.3 00000000000000000000001.1.1.1", "4111 1111 1111 1111, 4111-1111-1111-1111 4111111111111111 4111  1111 1111",
+    "+49 (30) 1234567- +1 +12345678 +1 2", "é+49 (30) 123 4567 😀 a@b.de 😀 1.1.1.1", "1 2 3 4 " * 3000, "1" * 30000, None, "", "+" * 5000, "1.1." * 3000,
+]
+
+
+def test_base_spans_equal_brute_force(spark, odd, empty, sf):
+    texts = [*PII, *[r[1] for r in ODD], *[r.text for r in table(spark, sf, "documents").collect()]]
+    got = by_id(pii_boost.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    for i, t in enumerate(texts):
+        want = base_of(t)
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[i].spans.startswith(want), (i, want[:100], got[i].spans[:100])
+        assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone) == tuple(sum(s.startswith(k) for s in want.split(",")) for k in PATTERNS)
+    assert pii_boost.report(odd).count() == len(ODD) and pii_boost.report(empty).count() == 0
+
+
+def test_trees_add_spans_and_leave_clean_text(spark):
+    texts = ["reach jane.doe [at] mail [dot] org now", "tel (555) 123-4567 please", 'token = "dfd1944d2e84f15e89902e34b677eb5a8a7d42ab"', "on 2024-05-17 and 17.05.2024", "ISBN 978-3-16-148410-0", "met at noon. Then left", "a" * 200000 + "@b.c"]
+    got = by_id(pii_boost.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got[0].spans == "contact:6:34" and "number:4:18" in got[1].spans and "secret:9:49" in got[2].spans
+    assert [got[i].spans for i in (3, 4, 5)] == ["", "", ""] and got[6].spans == "email:0:200004"
+    red = by_id(pii_boost.redact(spark.createDataFrame(list(enumerate([texts[0], "x a@b.de, 1.2.3.4!"])), "doc_id long, text string")).collect())
+    assert red[0].redacted == "reach <contact> now" and red[1].redacted == "x <email>, <ip>!"
+
+
+def test_boosted_expressions_equal_numpy(spark):
+    model = pii_boost.fit(spark)
+    x = np.random.default_rng(1).integers(0, 20, (200, 21)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, x array<double>")
+    got = {r.i: r.s for r in rows.select("i", model.column(lambda k: F.col("x")[k]).alias("s")).collect()}
+    assert np.allclose([got[i] for i in range(200)], model.margin(x))
+
+
+# --- 8 ------------------------------------------------------------------------------------------------------------------
+
+
+def rules_of(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    seen, hit = Counter(windows), set()
+    for i, x in enumerate(windows):
+        if seen[x] > 1:
+            hit.update(range(i, i + 5))
+    return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)
+
+
+def test_rules_equal_brute_force(spark, odd, empty, sf, long_text):
+    texts = [*[r[1] for r in ODD], "a b c d e " * 7, "a b c d e", "a b c d e f a b c d e", "x\n\nx\ny\n y\n", long_text, *[r.text for r in table(spark, sf, "documents").collect()]]
+    got = by_id(quality_rules.judge(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect())
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == rules_of(t), i
+        assert not (r.base_failed and r.kept)
+    assert quality_rules.judge(odd).count() == len(ODD) and quality_rules.judge(empty).count() == 0
+
+
+def test_divergence_rejects_junk_and_keeps_prose(spark, sf):
+    got = quality_rules.judge(table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id").toPandas()
+    good = got[(got.quality == 1) & ~got.base_failed]
+    bad = got[(got.quality == 0) & (got.n_words >= 150)]
+    assert good.kept.mean() >= 0.99 and bad.kept.mean() <= 0.2
+
+
+def test_distance_is_jensen_shannon(spark):
+    h, ref = [3.0, 1.0, 0.0], [0.25, 0.25, 0.5]
+    d = spark.range(1).select(quality_rules.distance(F.array(*map(F.lit, h)), F.array(*map(F.lit, ref))).alias("d")).first().d
+    p, q = np.array(h) / 4, np.array(ref)
+    m = (p + q) / 2
+    kl = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m) if x > 0)
+    assert abs(d - np.sqrt((kl(p) + kl(q)) / 2)) < 1e-12
+
+
+# --- 9 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_classifier_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = quality_qda.classify(table(spark, sf, "documents"), table(spark, sf, "labels")).join(table(spark, sf, "labels"), "doc_id").toPandas()
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
+    held = got[got.held_out]
+    assert ((held.score >= 0.3) == (held.quality == 1)).mean() >= 0.95 and (held.predicted == (held.score >= 0.3)).all()
+
+
+def test_held_out_labels_do_not_matter(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    turned = labels.withColumn("quality", F.when(quality_qda.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = quality_qda.classify(docs, labels).orderBy("doc_id").collect(), quality_qda.classify(docs, turned).orderBy("doc_id").collect()
+    assert a == b
+
+
+def test_classifier_odd_tables(spark, odd, empty, sf, long_text):
+    labels = table(spark, sf, "labels")
+    got = quality_qda.classify(odd, labels).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+    assert quality_qda.classify(empty, labels).count() == 0
+    none = quality_qda.classify(odd, labels.where("false")).collect()
+    assert {r.score for r in none} == {0.5}
+    assert quality_qda.keep_good(odd, labels).columns == odd.columns
+    assert len(quality_qda.document_statistics(long_text.encode())) == quality_qda.N_STATISTICS
