@@ -59,12 +59,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     each = docs.select(*KEY, F.posexplode(chunks(F.col("t"))).alias("k", "c")).where((F.col("c.n") >= MIN_LINES) & F.col("c.text").rlike(r"[^\x20\x09-\x0D]"))
     hashed, _ = materialize(each.select(*KEY, "k", F.xxhash64("c.text").alias("h1"), F.xxhash64(F.lit(1), "c.text").alias("h2")), "chunks")
     first = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "k")).alias("first")).where("n > 1").drop("n")
+    first, _ = materialize(first, "first")  # as a table, so that the join may split a chunk that is everywhere
     met = hashed.join(first, ["h1", "h2"]).withColumn("lead", F.struct(*KEY, "k") == F.col("first")).drop("first")
     wanted = met.groupBy(*KEY).agg(F.collect_list(F.struct("k", "h1", "h2", "lead")).alias("wanted"))
     found = docs.join(wanted.hint("merge"), _same(docs, wanted)).select(docs["none"], docs["doc_id"], docs["th"], "t", "wanted")
     texts = found.withColumn("c", chunks(F.col("t"))).select(*KEY, F.explode(F.expr("transform(wanted, w -> struct(w.k AS k, w.h1 AS h1, w.h2 AS h2, w.lead AS lead, c[w.k].text AS text))")).alias("w")).select(*KEY, "w.*")
     texts, _ = materialize(texts, "repeats")
     lead = texts.where("lead").select("h1", "h2", F.col("text").alias("lead_text")).dropDuplicates(["h1", "h2"])
+    lead, _ = materialize(lead, "lead")
     same = texts.where("not lead").join(lead, ["h1", "h2"]).where("text = lead_text")
     return same.groupBy(*KEY).agg(F.array_sort(F.collect_set("k")).alias("gone"))
 
