@@ -44,7 +44,7 @@ def write_members(members: DataFrame, path: str, ignore_small: int = 5, mode: st
 
 def read_members(spark: SparkSession, path: str) -> DataFrame:
     """(cluster_id, feature_id) from ``write_members`` lines; the cluster id is the smallest member's."""
-    ids = F.expr("transform(slice(split(value, '\t'), 2, 2147483647), x -> cast(x AS bigint))")
+    ids = F.transform(F.filter(F.split("value", "\t"), lambda x, i: i > 0), lambda x: x.cast("long"))
     return spark.read.text(path).select(ids.alias("ids")).select(F.array_min("ids").alias("cluster_id"), F.explode("ids").alias("feature_id"))
 
 
