@@ -39,7 +39,7 @@ GROUP = 512
 
 WRITE_OPTIONS = {
     "compression": "snappy", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.size": str(PAGE_BYTES),
-    "parquet.enable.dictionary": "false", "parquet.enable.dictionary#shard": "true", "parquet.page.write-checksum.enabled": "true",
+    "parquet.enable.dictionary": "false", "parquet.enable.dictionary#shard": "true",
 }
 
 TOKENS = T.StructType([
@@ -65,6 +65,8 @@ class PieceEncoder:
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
             self.bytes_of[i] = len(token.content.encode())
         self.memory: dict[str, bytes] = {}
+        #: bytes of the ids of a line end, which never joins with what follows
+        self.mark_bytes = len(self._whole(["\n"])[0])
 
     def _regular(self, text: str) -> bool:
         """Whether all white space is single spaces and line ends between other characters; substring searches are fast."""
@@ -101,12 +103,11 @@ class PieceEncoder:
         get, new, split = self.memory.get, {}, []
         odd = []
         for n, text in enumerate(texts):
-            if not self._regular(text):
+            if not text or not self._regular(text):
                 odd.append(n)
                 continue
-            parts = text.replace("\n", " \x01").split(" ")
+            parts = ("\x01" + text.replace("\n", " \x01")).split(" ")  # the first piece as if a line began; its mark goes below
             ids = list(map(get, parts))
-            ids[0] = b""
             split.append((n, parts, ids))
             k = -1
             try:
@@ -117,17 +118,15 @@ class PieceEncoder:
                 pass
         if new:
             self._pieces(new)
-        heads = self._whole([p[0] for _, p, _ in split])
-        for (n, parts, ids), head in zip(split, heads):
-            ids[0] = head
-            k = 0
+        for n, parts, ids in split:
+            k = -1
             try:
                 while True:
                     k = ids.index(None, k + 1)
                     ids[k] = new[parts[k]]
             except ValueError:
                 pass
-            out[n] = b"".join(ids)
+            out[n] = b"".join(ids)[self.mark_bytes :]
         for n, ids in zip(odd, self._whole([texts[n] for n in odd])):
             out[n] = ids
         if len(self.memory) < MEMORY_PIECES:
