@@ -15,7 +15,6 @@ a hash of their texts; a null doc_id comes first; an empty table gives an empty
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -81,8 +80,8 @@ class PieceEncoder:
         """Fill in the ids of pieces that begin with one separator and have no other white space at their ends."""
         keys = list(new)
         pieces = ["\n" + k[1:] if k[:1] == "\x01" else " " + k for k in keys]
-        for start in range(0, len(keys), 64 * GROUP):
-            stop = min(len(keys), start + 64 * GROUP)
+        for start in range(0, len(keys), 16 * GROUP):
+            stop = min(len(keys), start + 16 * GROUP)
             groups = [pieces[i : min(i + GROUP, stop)] for i in range(start, stop, GROUP)]
             joined = ["".join(g) for g in groups]
             for k, (group, text, e) in enumerate(zip(groups, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False))):
@@ -144,7 +143,6 @@ def _encoder(vocabulary: str) -> PieceEncoder:
         import public_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.disable()  # many small, acyclic objects; reference counts free them
         _encoders[vocabulary] = PieceEncoder(vocabulary if os.sep in vocabulary else public_tokenizers.path(vocabulary))
     return _encoders[vocabulary]
 
