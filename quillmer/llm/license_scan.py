@@ -53,7 +53,7 @@ FUNCTION_WORDS = frozenset("a an and any are as at be by can except following fo
 WORD_RE = "[^a-z0-9]+"
 ROUNDS, PENALTY, SEED, TRAINING = 300, 1e-4, 11, 2400
 #: precision of families that the calibrated probability threshold keeps
-PRECISION = 0.995
+PRECISION = 0.99
 #: share of a template's words that a paragraph must hold
 MIN_COVER = 0.6
 
