@@ -67,7 +67,8 @@ def base_at(packed: Column, i: int, k: int) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All k-mers of a sequence in order, as strings."""
+    """All k-mers of a short sequence in order, as strings. Taking each from the start is quadratic in the length: reads go
+    through ``pack_windows``."""
     return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
@@ -123,3 +124,35 @@ def signature(m: int, kmer: Column) -> Column:
         return F.when(poor, special).otherwise(encode(x))
 
     return F.array_min(F.transform(kmers(kmer, m), lambda x: F.least(value(x), value(revcomp(x)))))
+
+
+def signature_table(m: int) -> np.ndarray:
+    """Normalised value of each packed m-mer, by the rule of ``signature``."""
+    x = np.arange(4**m, dtype=np.int64)
+    base = lambda v, i: (v >> 2 * (m - 1 - i)) & 3
+    rev = np.zeros_like(x)
+    for i in range(m):
+        rev |= (3 - base(x, i)) << 2 * i
+
+    def value(v: np.ndarray) -> np.ndarray:
+        last, mid, third = base(v, m - 1), base(v, m - 2), base(v, m - 3)
+        poor = (third == 3) & ((mid == 3) | (mid == 2) & (last == 3)) | (base(v, 0) == 0) & (base(v, 1) == 1) & (base(v, 2) == 0)
+        for i in range(1, m - 1):
+            poor |= (base(v, i) == 0) & (base(v, i + 1) == 0)
+        return np.where(poor, 4**m, v)
+
+    return np.minimum(value(x), value(rev))
+
+
+def signature_runs(seq: bytes, k: int, m: int, table: np.ndarray, invalid: str = "skip") -> Iterator[tuple[int, int, int]]:
+    """(start, length, signature) of the runs of neighbouring valid k-mers with one signature."""
+    part, fine = pack_windows(seq, m, invalid, both_strands=False)
+    _, ok = pack_windows(seq, k, invalid)
+    if not len(ok):
+        return
+    low = np.lib.stride_tricks.sliding_window_view(np.where(fine, table[part], 4**m), k - m + 1).min(1)
+    new = np.append(True, (low[1:] != low[:-1]) | (ok[1:] != ok[:-1]))
+    starts = np.flatnonzero(new)
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(ok)).tolist()):
+        if ok[a]:
+            yield a, b - a + k - 1, int(low[a])

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import seq
 from ..storage import with_dense_ids
@@ -52,11 +57,43 @@ def lookup(queries: DataFrame, counts: DataFrame) -> DataFrame:
     return met.withColumn("found", F.col("cnt").isNotNull()).withColumn("cnt", F.coalesce("cnt", F.lit(0).cast("long")))
 
 
+_AT = T.StructType([T.StructField("sample_id", T.IntegerType()), T.StructField("read_no", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("kmer", T.LongType())])
+_SUMS = T.StructType([T.StructField("sample_id", T.IntegerType()), T.StructField("read_no", T.LongType()), T.StructField("kmer", T.LongType()), T.StructField("n", T.LongType())])
+_RUNS = T.StructType([T.StructField("read_no", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("len", T.LongType()), T.StructField("bin", T.LongType())])
+
+
+def _dealt(reads: DataFrame, *columns: str) -> DataFrame:
+    """Reads over all partitions: a scan of few files would leave most cores idle."""
+    return reads.select(*columns).where("seq IS NOT NULL").repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _each(batch: pa.RecordBatch, names: list[str], make) -> Iterator[pa.RecordBatch]:
+    """One batch of rows for each read; ``make`` gives the columns after sample_id and read_no from the sequence."""
+    for sample, read, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        rest = make(s.encode())
+        if n := len(rest[0]):
+            yield pa.RecordBatch.from_arrays([pa.array([sample] * n, pa.int32()), pa.array([read] * n, pa.int64()), *rest], names=names)
+
+
 def read_kmers(reads: DataFrame, k: int, invalid: str = "as_a") -> DataFrame:
     """(sample_id, read_no, pos, kmer): packed canonical k-mers of each read; null where a window has another character."""
-    s = seq.clean(F.col("seq"), invalid)
-    each = reads.select("sample_id", "read_no", F.posexplode(seq.kmers(s, k)).alias("pos", "w"))
-    return each.select("sample_id", "read_no", "pos", F.when(~F.contains("w", F.lit("N")), seq.encode(seq.canonical(F.col("w")))).alias("kmer"))
+
+    def positions(s: bytes) -> list[pa.Array]:
+        kmer, ok = seq.pack_windows(s, k, invalid)
+        return [pa.array(np.arange(len(kmer), dtype=np.int32)), pa.array(kmer, mask=~ok)]
+
+    return _dealt(reads, "sample_id", "read_no", "seq").mapInArrow(lambda it: (b for batch in it for b in _each(batch, _AT.names, positions)), _AT)
+
+
+def read_kmer_counts(reads: DataFrame, k: int, invalid: str = "as_a") -> DataFrame:
+    """(sample_id, read_no, kmer, n): each k-mer of a read once, with its number; null for windows with another character."""
+
+    def sums(s: bytes) -> list[pa.Array]:
+        kmer, ok = seq.pack_windows(s, k, invalid)
+        values, n = np.unique(np.where(ok, kmer, -1), return_counts=True)
+        return [pa.array(values, mask=values < 0), pa.array(n.astype(np.int64))]
+
+    return _dealt(reads, "sample_id", "read_no", "seq").mapInArrow(lambda it: (b for batch in it for b in _each(batch, _SUMS.names, sums)), _SUMS)
 
 
 def counters_for_reads(reads: DataFrame, counts: DataFrame, k: int) -> DataFrame:
@@ -68,14 +105,12 @@ def counters_for_reads(reads: DataFrame, counts: DataFrame, k: int) -> DataFrame
 
 def super_kmers(reads: DataFrame, k: int, m: int) -> DataFrame:
     """(read_no, start, len, bin): runs of neighbouring k-mers of a read with one signature; other characters break runs."""
-    s = seq.clean(F.col("seq"), "skip")
-    each = reads.select("read_no", F.posexplode(seq.kmers(s, k)).alias("pos", "w")).where(~F.contains("w", F.lit("N")))
-    signed = each.select("read_no", "pos", seq.signature(m, F.col("w")).alias("bin"))
-    w = Window.partitionBy("read_no").orderBy("pos")
-    new = F.when((F.lag("bin").over(w) == F.col("bin")) & (F.lag("pos").over(w) == F.col("pos") - 1), 0).otherwise(1)
-    runs = signed.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    return runs.groupBy("read_no", "run").agg(F.min("pos").alias("start"), (F.count("*") + k - 1).alias("len"), F.first("bin").alias("bin")).drop("run")
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = seq.signature_table(m)
+        for batch in batches:
+            out = [(read, *run) for read, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for run in seq.signature_runs(s.encode(), k, m, table)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=_RUNS.names)
 
-def hits(kmer: Column) -> Column:
-    return F.sum(F.when(kmer.isNotNull(), 1).otherwise(0))
+    return _dealt(reads, "read_no", "seq").mapInArrow(runs, _RUNS)

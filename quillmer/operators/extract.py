@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .counts import read_kmers
+from .counts import read_kmer_counts
 
 #: k-mers of a set (16 bytes each) up to which it is broadcast; beyond, the join shuffles
 MAX_BROADCAST_KMERS = 2_000_000
@@ -18,9 +18,9 @@ def checked(marked: DataFrame) -> DataFrame:
 def votes(reads: DataFrame, marked: DataFrame, k: int, *, invalid: str = "as_a") -> DataFrame:
     """(sample_id, read_no, n_kmers, hits, ratio) of reads of at least k + 10 bases; ``marked`` holds distinct kmer."""
     long = reads.where(F.length("seq") >= k + 10)
-    each = read_kmers(long, k, invalid)
+    each = read_kmer_counts(long, k, invalid)
     met = each.join(checked(marked.select("kmer", F.lit(1).alias("hit"))), "kmer", "left")
-    return met.groupBy("sample_id", "read_no").agg(F.count("*").alias("n_kmers"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits")).withColumn("ratio", F.col("hits") / F.col("n_kmers"))
+    return met.groupBy("sample_id", "read_no").agg(F.sum("n").alias("n_kmers"), F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("hits")).withColumn("ratio", F.col("hits") / F.col("n_kmers"))
 
 
 def extract(reads: DataFrame, groups: DataFrame, classes: DataFrame, k: int, vote: float = 0.5) -> DataFrame:

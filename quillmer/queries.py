@@ -410,9 +410,11 @@ def _sample_pairs(spark, d, value="v"):
     """Values of every two samples of one k-mer, as columns: the matrix forms of covariance and correlation."""
     long = _long(spark, d)
     if value != "v":
-        w = Window.partitionBy("sample_id").orderBy("v")
-        ties = Window.partitionBy("sample_id", "v")
-        long = long.withColumn("v", F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0)
+        # mean ranks over the distinct values of a sample: counts saturate, so these are at most 65 536
+        each = long.groupBy("sample_id", "v").agg(F.count("*").alias("c"))
+        w = Window.partitionBy("sample_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        ranks = each.select("sample_id", "v", (F.sum("c").over(w) - (F.col("c") - 1) / 2.0).alias("rank"))
+        long = long.join(ranks, ["sample_id", "v"]).select("kmer", "sample_id", F.col("rank").alias("v"))
     both = F.array_sort(F.collect_list(F.struct("sample_id", "v")))
     rows = long.groupBy("kmer").agg(both.alias("x"))  # a list of the samples
     pair = rows.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).where("a.sample_id < b.sample_id")
@@ -593,5 +595,5 @@ def genome_quant(spark, d):
     features = _kept(C.features(_counts(spark, d)))
     members = features.select("feature_id", (F.col("feature_id") % 50).alias("cluster_id"))
     items = tables.text_reads(tables.read_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("src0").alias("source")))
-    genomes = C.read_kmers(items, K).select(F.col("read_no").alias("genome"), "kmer")
+    genomes = C.read_kmer_counts(items, K).select(F.col("read_no").alias("genome"), "kmer")
     return X.genome_quant(members, features, genomes)

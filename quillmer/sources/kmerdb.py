@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 MARK_PREFIX, MARK_SUFFIX = b"KMCP", b"KMCS"
 VERSION_PLAIN, VERSION_SIGNATURES = 0, 0x200
-HEADER = struct.Struct("<IIIIIII Q ?")  # k, mode, counter size, prefix length, signature length, minimum, maximum, total, both strands off
 FIELDS = T.StructType([T.StructField("kmer", T.LongType()), T.StructField("cnt", T.LongType())])
 
 
