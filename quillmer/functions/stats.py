@@ -56,6 +56,11 @@ def welch(n1: int, m1: Column, v1: Column, n2: int, m2: Column, v2: Column) -> t
     return (m1 - m2) / F.nullif(F.sqrt(a + b), F.lit(0.0)), (a + b) * (a + b) / F.nullif(a * a / (n1 - 1) + b * b / (n2 - 1), F.lit(0.0))
 
 
+def corr_t(r: Column, n: Column) -> Column:
+    """t of a correlation of ``n`` pairs, with n - 2 degrees of freedom; null for a perfect one."""
+    return r * F.sqrt((n - 2) / F.nullif(1 - r * r, F.lit(0.0)))
+
+
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by Lentz's continued fraction."""
     if not (a > 0 and b > 0) or x != x:

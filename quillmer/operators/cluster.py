@@ -176,12 +176,17 @@ def test_clusters(clusters: DataFrame, n1: int, n2: int, *, p: float = 0.01, siz
     return ttest(means.withColumns({"va": var("a", F.col("ma"), n1), "vb": var("b", F.col("mb"), n2)}).drop("a", "b"), n1, n2, p)
 
 
-def similar_pairs(vectors: DataFrame, keys: Column, threshold: float) -> DataFrame:
-    """Pairs (id_a < id_b) of one bucket with cosine >= ``threshold``. What a bucket yields grows with its square: for vectors
-    in small buckets only; ``cluster`` is the form for all others."""
-    from ..functions.vectors import cosine_distance
+def similar_pairs(vectors: DataFrame, table: np.ndarray, threshold: float) -> DataFrame:
+    """Pairs (id_a < id_b, bucket, similarity) of one bucket with cosine >= ``threshold``, between representatives of equal vectors.
 
-    keyed = vectors.withColumn("bucket", keys)
+    Equal vectors (id, values) stand as their smallest id, so copies make no pairs. The key has floor(log2 n) bits, at most as many
+    as ``table`` has planes, so a bucket holds one vector on average whatever n is.
+    """
+    from ..functions.vectors import cosine_distance, srp_key
+
+    one = stored(vectors.groupBy("values").agg(F.min("id").alias("id")), "representatives")
+    n = one.count()
+    keyed = one.withColumn("bucket", srp_key(F.col("values"), table[: int(math.log2(n)) if n > 1 else 0]))
     a = keyed.select("bucket", F.col("id").alias("id_a"), F.col("values").alias("va"))
     b = keyed.select("bucket", F.col("id").alias("id_b"), F.col("values").alias("vb"))
     return a.join(b, "bucket").where("id_a < id_b").withColumn("similarity", 1 - cosine_distance(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold).select("id_a", "id_b", "bucket", "similarity")

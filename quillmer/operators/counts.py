@@ -11,16 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import seq
-from ..storage import with_dense_ids
+from ..storage import spread, with_dense_ids
 
 
 def count_kmers(reads: DataFrame, k: int, *, min_count: int = 2, max_count: int = 65535, invalid: str = "skip", both_strands: bool = True) -> DataFrame:
     """(sample_id, kmer, cnt): packed canonical k-mers seen at least ``min_count`` times in a sample, counts saturated.
 
-    Scans of few files are dealt out first; each batch combines its own counts before the shuffle.
+    Small scans are dealt out first; each batch combines its own counts before the shuffle.
     """
-    n = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partial = seq.count_in_batches(reads.repartition(n) if n > 1 else reads, k, invalid=invalid, both_strands=both_strands)
+    partial = seq.count_in_batches(spread(reads), k, invalid=invalid, both_strands=both_strands)
     total = partial.groupBy("sample_id", "kmer").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= min_count)
     return total.withColumn("cnt", F.least("cnt", F.lit(max_count).cast("long")))
 
@@ -63,8 +62,7 @@ _RUNS = T.StructType([T.StructField("read_no", T.LongType()), T.StructField("sta
 
 
 def _dealt(reads: DataFrame, *columns: str) -> DataFrame:
-    """Reads over all partitions: a scan of few files would leave most cores idle."""
-    return reads.select(*columns).where("seq IS NOT NULL").repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread(reads.select(*columns).where("seq IS NOT NULL"))
 
 
 def _each(batch: pa.RecordBatch, names: list[str], make) -> Iterator[pa.RecordBatch]:

@@ -429,6 +429,12 @@ def corr_pearson(spark, d):
     return _sample_pairs(spark, d).agg(r6(F.corr("x", "y"), "r"))
 
 
+@query(f"WITH {_DENSE}, r AS (SELECT a.sample_id AS sa, b.sample_id AS sb, corr(a.v, b.v) AS r, count(*) AS n {_PAIR.format('dense')}) SELECT sa, sb, round(r * sqrt((n - 2) / (1 - r * r)), 4) + 0.0 AS t FROM r")
+def corr_significance(spark, d):
+    both = _sample_pairs(spark, d).agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+    return both.select("sa", "sb", (F.round(stats.corr_t(F.col("r"), F.col("n")), 4) + 0.0).alias("t"))
+
+
 @query(f"WITH {_DENSE} SELECT a.sample_id AS sa, b.sample_id AS sb, {_R('covar_samp(a.v, b.v)')} AS c {_PAIR.format('dense')}")
 def cov(spark, d):
     return _sample_pairs(spark, d).agg(r6(F.covar_samp("x", "y"), "c"))
@@ -496,10 +502,14 @@ def euclid_pairs(spark, d):
     return _to_centre(spark, d, vectors.euclidean, "distance")
 
 
-@query(f"WITH {_EMB}, k AS (SELECT vec_id, v, CAST({_SRP} AS BIGINT) AS bucket, sqrt({_DOT('v', 'v')}) AS s FROM e), p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, a.bucket, {_DOT('a.v', 'b.v')} / (a.s * b.s) AS similarity FROM k a JOIN k b ON a.bucket = b.bucket AND a.vec_id < b.vec_id) SELECT id_a, id_b, bucket, {_R('similarity')} AS similarity FROM p WHERE similarity >= 0.3")
+MORE_PLANES = vectors.planes(24, DIM, 2)
+_KEY24 = " + ".join(f"CASE WHEN {_DOT('v', _LIST(p))} >= 0 THEN {2 ** (23 - i)} ELSE 0 END" for i, p in enumerate(MORE_PLANES))
+
+
+@query(f"WITH {_EMB}, o AS (SELECT min(vec_id) AS vec_id, v FROM e GROUP BY v), k AS (SELECT vec_id, v, CAST({_KEY24} AS BIGINT) >> (24 - least(24, CAST(floor(log2((SELECT count(*) FROM o))) AS INT))) AS bucket, sqrt({_DOT('v', 'v')}) AS s FROM o), p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, a.bucket, {_DOT('a.v', 'b.v')} / (a.s * b.s) AS similarity FROM k a JOIN k b ON a.bucket = b.bucket AND a.vec_id < b.vec_id) SELECT id_a, id_b, bucket, {_R('similarity')} AS similarity FROM p WHERE similarity >= 0.3")
 def similar_pairs_in_bucket(spark, d):
     e = _embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("v").alias("values"))
-    return clustering.similar_pairs(e, vectors.srp_key(F.col("values"), PLANES), 0.3).withColumn("similarity", F.round("similarity", 6) + 0.0)
+    return clustering.similar_pairs(e, MORE_PLANES, 0.3).withColumn("similarity", F.round("similarity", 6) + 0.0)
 
 
 @query("SELECT count(*) AS n, count(DISTINCT CAST(embedding AS VARCHAR)) AS n_different FROM embeddings")

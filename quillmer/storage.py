@@ -39,3 +39,12 @@ def with_dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
         at += r["_n"]
     offsets = spark.createDataFrame(rows, "_p long, _o long")
     return local.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_o", "_m")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all shuffle partitions if its scan would have fewer: files that are few and small leave most cores idle.
+    A large scan has partitions enough and isn't shuffled; what is moved is bounded by a scan partition for each."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if n > 1 and size < n * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df

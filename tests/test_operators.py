@@ -17,6 +17,7 @@ from quillmer.plans.pipeline import Pipeline, cluster_matrix
 from quillmer.schema import READS
 from quillmer.sources import files, kmerdb
 from quillmer.sources.fastx import read_fastx, records
+from quillmer.storage import spread
 from quillmer.streaming.kmers import count_stream, read_stream
 from tests.test_functions import revcomp, seq_number
 
@@ -89,6 +90,16 @@ def test_clusters_keep_all_members_for_any_partitioning(spark, bucket_threshold)
     assert results[0] == results[1] and len(set(results[0].values())) < 120
 
 
+def test_similar_pairs_of_representatives(spark):
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(3, 300)] + [(1, [1.0, 0.01, 0.0]), (2, [0.0, 0.0, 1.0])]
+    got = clustering.similar_pairs(spark.createDataFrame(rows, "id long, values array<double>"), np.eye(3), 0.9).collect()
+    assert [(r.id_a, r.id_b) for r in got] == [(1, 3)]
+
+
+def test_small_scans_are_dealt_out(spark):
+    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 4
+
+
 def test_rank_tests_by_hand(spark):
     row = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0], [6.0, 7.0, 8.0, 9.0, 10.0]), ([1.0] * 5, [1.0] * 5)], "a array<double>, b array<double>")
     got = R.mann_whitney(row, 5, 5).orderBy("u").collect()
