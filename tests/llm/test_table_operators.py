@@ -272,3 +272,19 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert have == Counter({k: v for k, v in share.items() if v})
     assert Counter(r.doc_id for r in tokens.collect()) == Counter(r.doc_id for r in mixed.collect())
     assert hashlib.sha256 and tokens.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+@pytest.mark.parametrize("which", ["odd", "empty"])
+def test_pipeline_stages_on_odd_tables(spark, sf, tmp_path, which, request):
+    """Nulls in any column, empty texts, repeated rows, an empty table, columns with names that the operators use."""
+    import corpus_pipeline
+
+    docs = request.getfixturevalue(which)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        out.write.parquet(f"{tmp_path}/{k}")
+        assert name == "tokens" or out.columns == docs.columns
+        if name != "quality":  # its output may be empty for such texts: each stage is also fed the odd table itself
+            docs = spark.read.parquet(f"{tmp_path}/{k}")
+    assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert docs.count() == 0 if which == "empty" else docs.count() > 0
