@@ -23,6 +23,14 @@ def votes(reads: DataFrame, marked: DataFrame, k: int, *, invalid: str = "as_a")
     return met.groupBy("sample_id", "read_no").agg(F.sum("n").alias("n_kmers"), F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("hits")).withColumn("ratio", F.col("hits") / F.col("n_kmers"))
 
 
+def thin(voted: DataFrame, reads: DataFrame, large: DataFrame, k: int, *, seed: int = 1, invalid: str = "as_a") -> DataFrame:
+    """Optional thinning of ``voted`` (sample_id, read_no, hits) reads: the more of a read's hits are k-mers of ``large``, the
+    likelier it goes. It stays if a number from 0 to 1, hashed from the read, is above (0.5 + large hits) / hits."""
+    heavy = votes(reads, large, k, invalid=invalid).select("sample_id", "read_no", F.col("hits").alias("large_hits"))
+    number = F.pmod(F.xxhash64(F.lit(seed), "sample_id", "read_no"), F.lit(1 << 40)) / float(1 << 40)
+    return voted.join(heavy, ["sample_id", "read_no"], "left").where(number > (0.5 + F.coalesce("large_hits", F.lit(0))) / F.col("hits")).drop("large_hits")
+
+
 def extract(reads: DataFrame, groups: DataFrame, classes: DataFrame, k: int, vote: float = 0.5) -> DataFrame:
     """Reads of group A that vote for A's k-mers and reads of B that vote for B's: ``reads`` with grp.
 

@@ -54,6 +54,16 @@ def test_vote_boundaries(spark):
     assert X.extract(reads, groups, classes, k, 1.0).count() == 0  # the ratio must be above the vote
 
 
+def test_thinning_follows_large_hits(spark):
+    reads = reads_of(spark, [(0, "ACGTTGCAACGGTTAACCGTAGCT")] * 400)
+    marked = C.universe(C.count_kmers(reads, 5, min_count=1))
+    voted = X.votes(reads, marked, 5)
+    assert X.thin(voted, reads, marked, 5).count() == 0  # every hit is large: the bar is above 1
+    light = X.thin(voted, reads, marked.where("false"), 5)
+    assert 360 <= light.count() < 400 and light.columns == voted.columns  # the bar is 0.5 of 20 hits
+    assert sorted(light.select("read_no").collect()) == sorted(X.thin(voted.repartition(3), reads, marked.where("false"), 5).select("read_no").collect())
+
+
 def test_rarity_and_gates(spark):
     c = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (1, 3, 50)], "sample_id int, kmer long, cnt long")
     assert [r.kmer for r in M.rarity_filter(c, 20).orderBy("kmer").collect()] == [2, 3]
