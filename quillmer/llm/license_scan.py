@@ -41,7 +41,10 @@ TEMPLATES = {
     "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT", "Licensed under the MIT license"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited", "Copyright 2024 the authors. All rights reserved"],
+    "reserved": ["All rights reserved"],
 }
+#: the family of the bare reservation: a notice, but none that licenses or names terms
+RESERVED = "reserved"
 # Sentences that share words with notices and license nothing.
 CONFUSERS = [
     "the driver lost the license after the test", "a public work of art stands in the general assembly", "the new version of the software is free to use this year", "people with a fishing license may obtain a copy at the office",
@@ -56,6 +59,8 @@ ROUNDS, PENALTY, SEED, TRAINING = 300, 1e-4, 11, 2400
 PRECISION = 0.99
 #: share of a template's words that a paragraph must hold
 MIN_COVER = 0.6
+#: templates of fewer words must stand as they are, since a share of them is common in prose
+MIN_SHARED = 4
 
 
 def words(text: str) -> list[str]:
@@ -177,8 +182,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod
         return let(ws, decide)
 
     def cover(w: Column, family: Column) -> Column:
-        share = lambda text: F.size(F.array_intersect(w, _strings(sorted(set(words(text)))))) / len(set(words(text)))
-        return F.coalesce(*[F.when(family == f, F.greatest(*[share(x) for x in ts])) for f, ts in TEMPLATES.items()], F.lit(0.0))
+        def share(text: str) -> Column:
+            ws = set(words(text))
+            if len(ws) < MIN_SHARED:
+                return F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).contains(f" {' '.join(words(text))} ").cast("double")
+            return F.size(F.array_intersect(w, _strings(sorted(ws)))) / len(ws)
+
+        return F.coalesce(*[F.when(family == f, F.greatest(F.lit(0.0), *[share(x) for x in ts])) for f, ts in TEMPLATES.items()], F.lit(0.0))
 
     holds = lambda p: F.arrays_overlap(F.split(F.lower(p), WORD_RE), _strings(single))
     numbered = F.filter(F.transform(ps, lambda p, k: F.struct(k.alias("k"), p.alias("p"))), lambda x: holds(x["p"]))
@@ -188,11 +198,12 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod
 
 
 def report(docs: DataFrame, **columns) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_paragraphs, n_licensed (paragraphs), licenses (families, sorted, comma-joined),
-    paragraphs (number:family, comma-joined)."""
+    """One row per row of ``docs``: doc_id, n_paragraphs, n_licensed and n_reserved (paragraphs with a notice, of families but
+    reserved and of reserved), licenses (families, sorted, comma-joined), paragraphs (number:family, comma-joined)."""
     f = F.col("found")
+    bare = lambda x: x["family"] == RESERVED
     names = F.array_sort(F.array_distinct(F.transform(f, lambda x: x["family"])))
     return scan(docs, **columns).select(
-        "doc_id", "n_paragraphs", F.size(f).cast("long").alias("n_licensed"), F.array_join(names, ",").alias("licenses"),
+        "doc_id", "n_paragraphs", F.size(F.filter(f, lambda x: ~bare(x))).cast("long").alias("n_licensed"), F.size(F.filter(f, bare)).cast("long").alias("n_reserved"), F.array_join(names, ",").alias("licenses"),
         F.array_join(F.transform(f, lambda x: F.concat_ws(":", x["paragraph"].cast("string"), x["family"])), ",").alias("paragraphs"),
     )

@@ -53,6 +53,16 @@ def test_license_model_agrees_with_numpy(spark):
     assert found[0].family == m.families[int(p.argmax())] and abs(found[0].probability - p.max()) < 1e-9 and found[0].cover == 1.0
 
 
+def test_all_rights_reserved_is_reported(spark, sf):
+    docs = table(spark, sf, "documents")
+    got = by_id(license_scan.report(docs).collect())
+    carry = {r.doc_id for r in docs.collect() if re.search("(?i)all rights reserved", r.text or "")}
+    assert carry and {i for i, r in got.items() if r.n_reserved} == carry and all("reserved" in got[i].licenses for i in carry)
+    texts = ["Copyright (c) 2019 X Inc. All rights reserved.", "ALL RIGHTS\tRESERVED", "Human rights for all.", "All rights of way", "The rights of all people were reserved", "Some rights reserved"]
+    got = by_id(license_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [got[i].licenses for i in range(6)] == ["reserved", "reserved", "", "", "", ""]
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------------------
 
 
