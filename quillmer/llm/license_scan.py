@@ -1,9 +1,11 @@
 """Licence scan: a paragraph classifier over sparse word n-grams, confirmed by templates. DataFrame functions only.
 
-A paragraph is a line of text. Features are the words and word pairs of the templates below that have at least one word which isn't a
+A paragraph is a line of text, or adjacent lines over which a notice is wrapped. Features are the words and word pairs of the templates below that have at least one word which isn't a
 function word. A softmax regression over them, with a class "unknown", is fitted on generated paragraphs; its
 temperature and the probability from which a family is predicted are calibrated on others. A predicted family stands if the
-paragraph holds enough of the words of one of the family's templates.
+paragraph holds enough of the words of one of the family's templates. Lines that hold no notice by themselves are joined
+with the lines after them, up to JOINED without a blank line between: of the runs that hold a notice the one that ends first
+is taken, and the shortest of those, then the next one after it.
 
 A paragraph without any feature has the bias alone, which means unknown (checked when fitting); so only texts that hold a
 feature word are looked at line by line, with the same result as for all.
@@ -36,7 +38,7 @@ TEMPLATES = {
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "cc0": ["CC0 1.0 Universal Public Domain Dedication", "dedicated to the public domain under CC0", "SPDX-License-Identifier: CC0-1.0"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-or-later", "licensed under the GPL version 2"],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-or-later", "licensed under the GPL version 2", "GNU General Public License"],
     "lgpl": ["GNU Lesser General Public License", "licensed under the GNU Lesser General Public License version 2.1", "SPDX-License-Identifier: LGPL-2.1-only"],
     "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT", "Licensed under the MIT license"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
@@ -45,6 +47,8 @@ TEMPLATES = {
 }
 #: the family of the bare reservation: a notice, but none that licenses or names terms
 RESERVED = "reserved"
+# Words of which a paragraph must hold one, where a family's notices are those of another one with a word more.
+MARKS = {"agpl": ["affero", "agpl"], "lgpl": ["lesser", "lgpl"], "cc-by-nc": ["nc", "noncommercial"], "cc-by-sa": ["sa", "sharealike"]}
 # Sentences that share words with notices and license nothing.
 CONFUSERS = [
     "the driver lost the license after the test", "a public work of art stands in the general assembly", "the new version of the software is free to use this year", "people with a fishing license may obtain a copy at the office",
@@ -59,6 +63,8 @@ ROUNDS, PENALTY, SEED, TRAINING = 300, 1e-4, 11, 2400
 PRECISION = 0.99
 #: share of a template's words that a paragraph must hold
 MIN_COVER = 0.6
+#: lines over which a notice may be wrapped
+JOINED = 8
 #: templates of fewer words must stand as they are, since a share of them is common in prose
 MIN_SHARED = 4
 
@@ -151,14 +157,14 @@ def _strings(values) -> Column:
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_paragraphs and found, an array of structs of paragraph (number among the
-    text's paragraphs, from 0), family, probability and cover."""
+    text's paragraphs, from 0; the first one of joined lines), family, probability and cover."""
     m = model or fit()
     bias, classes = m.weights[-1], len(m.families)
     table = F.create_map(*[x for g, row in zip(m.vocabulary, m.weights) for x in (F.lit(g), F.array(*[F.lit(float(v)) for v in row]))])
     single = sorted({w for g in m.vocabulary for w in g.split() if w not in FUNCTION_WORDS})
     t = F.col("t")
     rows = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("t"))
-    split = rows.select("doc_id", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("paragraphs"), F.arrays_overlap(F.split(F.lower(t), WORD_RE), _strings(single)).alias("any"))
+    split = rows.select("doc_id", F.filter(F.transform(F.split(t, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("p"))), lambda x: x["p"].rlike(r"[^\x20\x09-\x0D]")).alias("paragraphs"), F.arrays_overlap(F.split(F.lower(t), WORD_RE), _strings(single)).alias("any"))
     ps = F.col("paragraphs")
 
     def scored(p: Column, k: Column) -> Column:
@@ -166,7 +172,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod
 
         def decide(w: Column) -> Column:
             pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
-            feats = F.filter(F.array_distinct(F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))), lambda g: F.map_contains_key(table, g))
+            # intersecting hashes; a lookup in the map walks through its keys
+            feats = F.array_intersect(F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))), _strings(m.vocabulary))
             zero = F.array(*[F.lit(float(b)) for b in bias])
             z = F.aggregate(feats, zero, lambda a, g: F.zip_with(a, table[g], lambda u, v: u + v))
             exps = let(z, lambda zz: let(F.array_max(zz), lambda top: F.transform(zz, lambda v: F.exp((v - top) / m.temperature))))
@@ -188,13 +195,40 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod
                 return F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).contains(f" {' '.join(words(text))} ").cast("double")
             return F.size(F.array_intersect(w, _strings(sorted(ws)))) / len(ws)
 
-        return F.coalesce(*[F.when(family == f, F.greatest(F.lit(0.0), *[share(x) for x in ts])) for f, ts in TEMPLATES.items()], F.lit(0.0))
+        marked = lambda f: F.arrays_overlap(w, _strings(MARKS[f])) if f in MARKS else F.lit(True)
+        return F.coalesce(*[F.when((family == f) & marked(f), F.greatest(F.lit(0.0), *[share(x) for x in ts])) for f, ts in TEMPLATES.items()], F.lit(0.0))
 
     holds = lambda p: F.arrays_overlap(F.split(F.lower(p), WORD_RE), _strings(single))
-    numbered = F.filter(F.transform(ps, lambda p, k: F.struct(k.alias("k"), p.alias("p"))), lambda x: holds(x["p"]))
-    found = F.filter(F.transform(numbered, lambda x: scored(x["p"], x["k"])), lambda r: (r["family"] != UNKNOWN) & (r["cover"] >= MIN_COVER))
     none = F.array().cast("array<struct<paragraph:int,family:string,probability:double,cover:double>>")
-    return split.select("doc_id", F.size(ps).cast("long").alias("n_paragraphs"), F.when(F.col("any"), found).otherwise(none).alias("found"))
+    stands = lambda r: (r["family"] != UNKNOWN) & (r["cover"] >= MIN_COVER)
+    numbered = F.filter(F.transform(ps, lambda x, k: F.struct(k.alias("k"), x["line"].alias("line"), x["p"].alias("p"))), lambda x: holds(x["p"]))
+    alone = F.transform(numbered, lambda x: let(scored(x["p"], x["k"]), lambda r: F.struct(x["k"].alias("k"), x["line"].alias("line"), stands(r).alias("ok"), r.alias("r"))))
+
+    def runs(marked: Column) -> Column:
+        """Structs of k and last: adjacent lines from one that holds a feature to another, none of which stands alone."""
+
+        def after(x: Column, i: Column) -> Column:
+            ahead = F.slice(marked, i + 2, F.lit(JOINED - 1))
+            free = lambda y, j: ~x["ok"] & (y["k"] - x["k"] < JOINED) & (y["line"] - x["line"] == y["k"] - x["k"]) & ~F.exists(F.slice(ahead, F.lit(1), j + 1), lambda o: o["ok"])
+            return F.transform(F.filter(ahead, free), lambda y: F.struct(x["k"].alias("k"), y["k"].alias("last")))
+
+        return F.flatten(F.transform(marked, after))
+
+    def joined(run: Column) -> Column:
+        text = F.array_join(F.transform(F.slice(ps, run["k"] + 1, run["last"] - run["k"] + 1), lambda x: x["p"]), " ")
+        return F.struct(run["last"].alias("last"), (run["last"] - run["k"]).alias("more"), scored(text, run["k"]).alias("r"))
+
+    def apart(hits: Column) -> Column:
+        zero = F.struct(F.lit(-1).alias("last"), none.alias("out"))
+        step = lambda a, h: F.when(h["r"]["paragraph"] > a["last"], F.struct(h["last"].alias("last"), F.concat(a["out"], F.array(h["r"])).alias("out"))).otherwise(a)
+        return F.aggregate(F.array_sort(hits), zero, step)["out"]
+
+    def both(marked: Column) -> Column:
+        single = F.transform(F.filter(marked, lambda x: x["ok"]), lambda x: x["r"])
+        wrapped = let(runs(marked), lambda rs: F.when(F.size(rs) > 0, apart(F.filter(F.transform(rs, joined), lambda h: stands(h["r"])))).otherwise(none))
+        return F.array_sort(F.concat(single, wrapped))
+
+    return split.select("doc_id", F.size(ps).cast("long").alias("n_paragraphs"), F.when(F.col("any"), let(alone, both)).otherwise(none).alias("found"))
 
 
 def report(docs: DataFrame, **columns) -> DataFrame:

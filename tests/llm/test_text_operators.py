@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -63,6 +64,29 @@ def test_all_rights_reserved_is_reported(spark, sf):
     assert [got[i].licenses for i in range(6)] == ["reserved", "reserved", "", "", "", ""]
 
 
+HEADERS = {
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+}
+
+
+def test_wrapped_notices(spark):
+    cases = [(family, mark, width) for family in HEADERS for mark in ("", "# ", " * ") for width in (34, 45, 58, 66, 72, 80, 300)]
+    wrap = lambda f, mark, width: "\n".join(mark + x for x in textwrap.wrap(HEADERS[f], width))
+    texts = ["A first line.\n\n" + wrap(*c) + "\n\nThe rest of the work." for c in cases]
+    texts += [wrap("bsd", "", 72) + "\n" + wrap("gpl", "", 72), "Released under the MIT License\n" + wrap("gpl", "", 72), wrap("bsd", "", 40).replace("\n", "\n\n"), "it was permitted\nprovided that the source\nand the conditions of the work\nare free to all"]
+    got = by_id(license_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [(c, got[i].licenses) for i, c in enumerate(cases)] == [(c, c[0]) for c in cases]
+    assert all(got[i].n_licensed == 1 for i, c in enumerate(cases) if c[2] >= 72)
+    assert [got[len(cases) + i].licenses for i in range(4)] == ["bsd,gpl", "gpl,mit", "", ""]
+
+
+def test_families_with_a_word_more(spark):
+    texts = ["GNU General Public License v3.0", "the GNU General Public License as", "GNU Lesser General Public License", "GNU Affero General Public License", "Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0"]
+    got = by_id(license_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [got[i].licenses for i in range(6)] == ["gpl", "gpl", "lgpl", "agpl", "cc-by", "cc-by-sa"]
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------------------
 
 
