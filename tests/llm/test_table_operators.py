@@ -120,6 +120,15 @@ def test_html_odd_tables(spark):
 STRANGE = [None, "", " ", "\n", "a  b", " a", "a ", "a\n\nb", "a \n b", "x\tb c\x01d", "it's don't we'll I'm", "<|endoftext|> a<|endoftext|>b", " a b c", "é́ ñ 中文 字 𝒳 😀 😀😀", "1.5 2,000 $$$ ***a", "a\r\nb c\x1cd e", "a\x0bb", "a b  c", 'word. word, (word) "word" — … ', "'s 's\n's", "\x01", "a\u0085 b"]
 
 
+def test_formulas_charts_forms_and_rules_for_screens():
+    assert render("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> b</p>") == "a x=2 b"
+    assert render("<svg><title>t</title><defs><text>no</text></defs><text>Sales</text><text>2024</text></svg>") == "Sales\n2024"
+    assert render("<select><option>One<option>Two</select><textarea>\nleft  as\n it is</textarea>") == "One\nTwo\nleft  as\n it is"
+    assert render('<p style="backface-visibility:hidden">seen</p><p style="color:red;visibility: hidden">no</p>') == "seen"
+    assert render("<style>@media print {.x{display:none}} @media screen{.z{display:none}} .y{display:none}</style><p class=x>seen</p><p class=y>no</p><p class=z>no</p>") == "seen"
+
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers
