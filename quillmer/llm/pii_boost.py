@@ -38,7 +38,7 @@ BASE_PATTERNS = {
 CANDIDATE_PATTERNS = {
     "contact": r"(?i)(?<![a-z0-9._%+-])[a-z0-9](?:[a-z0-9._%+-]{0,63}[a-z0-9])?(?:\x20?(?:\[at\]|\(at\)|\{at\})\x20?|\x20at\x20)[a-z0-9-]{1,63}+(?:(?:\x20?(?:\[dot\]|\(dot\)|\{dot\})\x20?|\x20dot\x20|\.)[a-z0-9-]{1,63}+){1,4}",
     "number": r"(?<![0-9A-Za-z+])(?:[A-Z]{2})?[(]?[0-9][0-9\x20().-]{5,40}[0-9](?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,200}+={0,2}(?![A-Za-z0-9_/+=-])",
+    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+={0,2}(?![A-Za-z0-9_/+=-])",
 }
 CONTEXT = 24
 PERSONAL_WORDS = r"(?i)(?:tel|phone|fon|call|fax|mobil|handy|ssn|social|tax|iban|konto|account|acct|passport|licen[cs]e no|mail|contact|reach|patient|born|id)\W{0,4}$"

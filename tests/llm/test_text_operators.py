@@ -194,6 +194,13 @@ def test_trees_add_spans_and_leave_clean_text(spark):
     assert red[0].redacted == "reach <contact> now" and red[1].redacted == "x <email>, <ip>!"
 
 
+def test_long_secrets_are_proposed(spark):
+    key = "dfd1944d2e84f15e89902e34b677eb5a8a7d42ab" * 8
+    texts = [f'token = "{key}"', "x " + key[:200] + " y", key * 3000]
+    got = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").select("doc_id", F.filter(pii_boost.candidates(F.col("t")), lambda c: c["kind"] == "secret").alias("c")).collect()
+    assert {r.doc_id: [(c.s, c.e) for c in r.c] for r in got} == {0: [(9, 329)], 1: [(2, 202)], 2: [(0, 960000)]}
+
+
 def test_boosted_expressions_equal_numpy(spark):
     model = pii_boost.fit(spark)
     x = np.random.default_rng(1).integers(0, 20, (200, 21)).astype(float)
