@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +66,33 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: elements of a block of ``running``
+_BLOCK = 64
+
+
+def running(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array, ``op`` over all elements before it, from ``zero`` on; ``op`` must be associative.
+
+    An array that grows by one element a step costs the square of its length. Here only blocks grow so: the values of blocks
+    and of blocks of blocks come first, so the work is linear in the array.
+    """
+    part = lambda xs, j: F.slice(xs, j * _BLOCK + 1, F.lit(_BLOCK))
+    total = lambda xs: F.aggregate(xs, zero, op)
+    totals = lambda xs: F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _BLOCK).cast("int")), lambda j: total(part(xs, j)))).otherwise(F.slice(xs, 1, 0))
+
+    def steps(xs: Column, start: Column) -> Column:
+        none = F.slice(F.array(start), 1, 0)
+        return F.aggregate(xs, F.struct(start.alias("now"), none.alias("out")), lambda a, x: F.struct(op(a["now"], x).alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out")))["out"]
+
+    down = lambda starts, xs: F.flatten(F.transform(starts, lambda v, j: steps(part(xs, j), v)))
+    return let(values, lambda a: let(totals(a), lambda b: let(totals(b), lambda c: down(down(steps(c, zero), b), a))))
+
+
 def text_bytes(text_col: str) -> Column:
     """The whole text as UTF-8 bytes, null as empty."""
     return F.coalesce(col(text_col), F.lit("")).cast("binary")

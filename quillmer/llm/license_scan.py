@@ -24,8 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
-from .quality_rules import let
+from .common import col, let
 
 UNKNOWN = "unknown"
 

@@ -17,8 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialize
-from .quality_rules import let
+from .common import col, let, materialize
 
 #: a chunk ends after a line with this chance
 DIVISOR = 4

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialize
+from .common import col, let, materialize
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -42,10 +42,6 @@ COMMON_WORDS = {
 }
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
 
 def n_repeat_words(words: Column) -> Column:
     """Words in windows of five that occur twice or more in ``words``.
