@@ -65,4 +65,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontam_wm.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
     "op4_line_dedup": line_chunks.ORACLE_SQL,
+    "op8_quality_rules": quality_rules.ORACLE_SQL,
 }

@@ -303,6 +303,48 @@ def test_divergence_rejects_junk_and_keeps_prose(spark, sf):
     assert good.kept.mean() >= 0.99 and bad.kept.mean() <= 0.2
 
 
+def kept_of(t, lang):
+    """The verdict in plain Python."""
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    bare = Counter(x.rstrip(".,;:!?").lower() for x in w)
+    known = {x: sum(bare[y] for y in ws) for x, ws in quality_rules.COMMON_WORDS.items()}
+    lang = (lang or "").strip().lower().split("-")[0].split("_")[0]
+    if not lang and max(known.values()) >= 0.1 * len(w) > 0:
+        lang = min(x for x in known if known[x] == max(known.values()))
+    if rules_of(t)[-1]:
+        return False
+    limit = next((most for least, most in sorted(quality_rules.LIMITS, reverse=True) if len(w) >= least), None)
+    if lang not in known or limit is None or len(t) < quality_rules.MIN_CHARS:
+        return True
+
+    def js(h, q):
+        p, q = np.array(h, float) / max(1, sum(h)), np.array(q)
+        m = (p + q) / 2
+        return np.sqrt(max(0, sum(x * np.log2(x / y) for a in (p, q) for x, y in zip(a, m) if x > 0) / 2))
+
+    own = [len(re.findall(c, t)) for c in quality_rules.CLASSES]
+    words = [bare[x] for x in quality_rules.COMMON_WORDS[lang]]
+    n = sum(map(len, w))
+    d = js([*own, len(t) - n, n - sum(own)], quality_rules.char_reference()) / quality_rules.CHAR_SCALE + js([*words, len(w) - sum(words)], quality_rules.word_reference()) / quality_rules.WORD_SCALE
+    return bool(d <= limit)
+
+
+RUSSIAN = "в лесу было тихо и только старый ветер ходил между сосен он знал каждую тропу и каждый камень но не знал откуда пришёл человек с фонарём который искал свою собаку уже третью ночь подряд никто из деревни не хотел идти с ним потому что боялись болот и тумана"
+ITALIAN = "il mattino seguente la nonna aprì la finestra della cucina e vide che il giardino era coperto di neve i bambini corsero fuori senza cappello mentre il cane abbaiava contro le ombre degli alberi nessuno ricordava un inverno così freddo nella valle"
+
+
+def test_kept_equals_brute_force_and_rows_stand_alone(spark, odd, sf):
+    prose = [(" ".join(np.random.default_rng(k).permutation(x.split() * 4)), lang) for k, (x, lang) in enumerate([(RUSSIAN, "ru"), (RUSSIAN, None), (ITALIAN, "it"), (ITALIAN, "IT-ch"), (ITALIAN, ""), (RUSSIAN, "uk")])]
+    junk = ["Of%%% athe*** erntwh.%%% Thntatwh&&& ndreea$$$ an%%% as### " + " ".join(f"w{i}&&& x{i * 7 % 31}$$$" for i in range(100)), " | ".join(f"ergeverbe{i} | BEREINZU{i}" for i in range(90))]
+    rows = [*prose, *[(x, y) for x in junk for y in ("en", "EN-us", "de")], *[(r[1], r[2]) for r in ODD], *[(r.text, r.lang if r.doc_id % 3 else None) for r in table(spark, sf, "documents").collect()]]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    got = by_id(quality_rules.judge(docs).collect())
+    assert [got[i].kept for i in range(len(rows))] == [kept_of(*r) for r in rows]
+    assert all(got[i].kept for i in range(6)) and not any(got[i].kept for i in range(6, 12))
+    assert quality_rules.judge(docs.where("doc_id = 6")).first() == got[6]  # alone
+
+
 def test_distance_is_jensen_shannon(spark):
     h, ref = [3.0, 1.0, 0.0], [0.25, 0.25, 0.5]
     d = spark.range(1).select(quality_rules.distance(F.array(*map(F.lit, h)), F.array(*map(F.lit, ref))).alias("d")).first().d
