@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,20 +11,58 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a local folder where it is unset."""
+    """``spark.checkpoint.dir`` of the session, else the checkpoint folder set by hand. A local master may go without and gets a
+    folder of its own; on a cluster the executors wouldn't see such a folder, so that is an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillmer-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
-    """``df`` written as Parquet and read back, which cuts its lineage and survives lost executors."""
-    path = path or f"{shared_dir(df.sparkSession)}/quillmer/{tag}-{uuid.uuid4().hex}"
+_folders: set[str] = set()
+
+
+def _folder(spark: SparkSession) -> str:
+    """The folder of this application's tables, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/quillmer/{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        fs, p = _hadoop(spark, path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _folders.add(path)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    return f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str, path: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet and read back, which cuts its lineage and survives lost executors; and where it lies."""
+    spark = df.sparkSession
+    path = path or fresh_path(spark, tag)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables written by :func:`materialize` once nothing reads them any more."""
+    for path in paths:
+        fs, p = _hadoop(spark, path)
+        fs.delete(p, True)
+
+
+def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+    return materialize(df, tag, path)[0]
 
 
 def with_dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
