@@ -1,20 +1,22 @@
-"""Helpers shared by the corpus operators: shared storage, bounded Arrow batches, safe column handling."""
+"""Helpers shared by the corpus operators: bounded Arrow batches, safe column handling."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, fresh_path, materialize  # noqa: F401
+
 #: rows and bytes of one Arrow batch; long texts make row counts alone a poor memory bound
 BATCH_ROWS = 512
 BATCH_BYTES = 8 * 1024 * 1024
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the Arrow batch limits of the session so that a batch of very long texts fits in a worker."""
+    """Lower the Arrow batch limits of the session so that a batch of very long texts fits in a worker. They
+    are read when a query runs, not when it is built, so they stay lowered; results don't depend on them."""
     conf = spark.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -24,35 +26,6 @@ def bounded_batches(spark: SparkSession) -> None:
         conf.set(key, str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillmer-")
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quillmer/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder and read it back; cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table written by :func:`materialize` once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def fresh_name(df: DataFrame, want: str) -> str:
     """A column name that ``df`` doesn't use, compared as Spark resolves names (case-insensitively)."""
     taken = {c.lower() for c in df.columns}

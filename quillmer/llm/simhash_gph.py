@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, col, discard, materialize, text_bytes
+from .common import bounded_batches, col, discard, fresh_name, materialize, text_bytes
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
@@ -238,7 +238,8 @@ def _verify(keyed: DataFrame, max_distance: int) -> DataFrame:
             yield emit(kept)
 
     tiles = F.ceil(F.col("size") / TILE).cast("int").alias("tiles")
-    hot, _ = materialize(keyed.groupBy("part", "key").agg(F.count("*").alias("size")).where(F.col("size") > TILE).select("part", "key", tiles), "hot")
+    hot = keyed.groupBy("part", "key").agg(F.count("*").alias("size")).where(F.col("size") > TILE).select("part", "key", tiles)
+    hot, _ = materialize(hot, "hot")
     hot = F.broadcast(hot) if hot.count() <= MAX_BROADCAST_ROWS else hot
     tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     dealt = (
@@ -257,7 +258,10 @@ def links(fps: DataFrame, *, max_distance: int = MAX_DISTANCE) -> DataFrame:
     n = fps.count()
     every = max(1, n // SAMPLE_FINGERPRINTS)
     sample = fps.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(every)) == 0).select("fp").toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-    return _verify(_keyed(fps, plan(np.sort(sample), n, max_distance)), max_distance).distinct()
+    keyed, path = materialize(_keyed(fps, plan(np.sort(sample), n, max_distance)), "keyed")
+    found, _ = materialize(_verify(keyed, max_distance).distinct(), "links")
+    discard(fps.sparkSession, path)
+    return found
 
 
 # --- connected components ---------------------------------------------------------------------------------------------
@@ -308,15 +312,41 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return pairs.join(of, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: documents to drop that are broadcast (about 64 bytes each in memory); beyond, rows are shuffled by their keys
+MAX_BROADCAST_DROPPED = 1_000_000
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of ``docs``, columns untouched, that stand for their components: the smallest doc_id, one row of it."""
+    """The rows of ``docs``, columns untouched, that stand for their components: the smallest doc_id, one row of it.
+
+    What goes is decided on narrow keys (id and a 128-bit hash of the text); fingerprints are computed once. The rows
+    themselves stay where they are unless the keys to drop are too many to broadcast.
+    """
     from pyspark.sql import Window
 
     bounded_batches(docs.sparkSession)
-    pairs, _ = materialize(docs.select(col(id_col).alias("doc_id"), fingerprint_column(text_col).alias("fp")), "fingerprints")
-    of = fingerprint_components(pairs, max_distance=max_distance)
-    stay = of.where("fp = best.fp").select(F.col("best.doc_id").alias("_stay_id"), F.col("fp").alias("_stay_fp"))
-    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("_row"), col(id_col).alias("_id"), fingerprint_column(text_col).alias("_fp"))
-    met = rows.join(stay, rows["_id"].eqNullSafe(stay["_stay_id"]) & rows["_fp"].eqNullSafe(stay["_stay_fp"]), "left_semi")
-    one = Window.partitionBy("_id", "_fp").orderBy(F.xxhash64("_row"))
-    return met.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_row.*")
+    t = F.coalesce(col(text_col), F.lit(""))
+    key = F.struct(col(id_col).alias("i"), F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b"))
+    pairs, _ = materialize(docs.select(key.alias("key"), col(id_col).alias("doc_id"), fingerprint_column(text_col).alias("fp")), "fingerprints")
+    of = fingerprint_components(pairs, max_distance=max_distance).select("fp", "best")
+    keys = pairs.groupBy("key", "fp").agg(F.count("*").alias("n")).join(of, "fp")
+    stays = (F.col("fp") == F.col("best.fp")) & F.col("key.i").eqNullSafe(F.col("best.doc_id"))
+    judged, _ = materialize(keys.select("key", "n", F.when(stays, F.col("best")).alias("best")), "judged")
+    # a representative's id and fingerprint may belong to several texts: the smallest key stands
+    some = judged.where("best is not null")
+    lead = some.groupBy("best").agg(F.min("key").alias("lead"))
+    lead = some.join(lead, "best").select("key", "n", (F.col("key") == F.col("lead")).alias("leads"))
+    lead, _ = materialize(lead.where("not leads or n > 1"), "lead")
+    gone, again = judged.where("best is null").select("key").union(lead.where("not leads").select("key")), lead.where("leads").select("key")
+    row, mine = fresh_name(docs, "row"), fresh_name(docs, "mine")
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias(row), key.alias(mine))
+    small = lambda d: F.broadcast(d) if d.count() <= MAX_BROADCAST_DROPPED else d
+    in_ = lambda d: F.col(mine).eqNullSafe(d["key"])
+    gone = small(gone)
+    stay = rows.join(gone, in_(gone), "left_anti")
+    if again.isEmpty():
+        return stay.select(f"{row}.*")
+    again = small(again)
+    one = Window.partitionBy(mine).orderBy(F.xxhash64(row))
+    first = stay.join(again, in_(again), "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    return stay.join(again, in_(again), "left_anti").select(f"{row}.*").union(first.select(f"{row}.*"))

@@ -297,3 +297,17 @@ def test_pipeline_stages_on_odd_tables(spark, sf, tmp_path, which, request):
             docs = spark.read.parquet(f"{tmp_path}/{k}")
     assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert docs.count() == 0 if which == "empty" else docs.count() > 0
+
+
+def test_run_equals_its_stages_and_computes_each_once(spark, sf, tmp_path):
+    """``run`` gives what the stages give one by one, and no Python function is left in its plan."""
+    import corpus_pipeline
+
+    docs = table(spark, sf, "documents")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    got = corpus_pipeline.run(spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "Exchange" not in plan
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
