@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmer.llm import decontam_wm, mixing, quality_qda, simhash_gph, token_output
-from quillmer.llm.common import table
+from quillmer.llm.common import discard, materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages; each one's result is a table that the next one reads, and is deleted when it has been read."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs, path = materialize(stage(spark, docs, sf_dir), name)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
