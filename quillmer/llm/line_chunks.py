@@ -1,15 +1,20 @@
 """Line dedup by content-defined chunks of lines. DataFrame functions only.
 
-A rolling hash over the hashes of the last two lines decides after which lines a chunk ends, so boundaries follow the
-content and shift with it. Chunks of several lines that occur more than once in the corpus are removed but for their first
-occurrence, after their bytes have been compared with it.
+A rolling hash over the hashes of a line and the one before decides where chunks may end, so boundaries follow the content
+and shift with it. A chunk ends after a line whose rolling hash is in the lower half while that of the line before isn't, so
+that chunks have two lines or more, four on average; stretches without such a line are cut every MAX_LINES lines from the
+last boundary, the rest staying with the last piece. Runs of one line, where the rolling hash is the same throughout, are
+such stretches. Chunks of several lines that occur more than once in the corpus are removed but for their first occurrence,
+after their bytes have been compared with it.
 
-Only hashes are grouped for all chunks; texts move for chunks that repeat, and documents twice, by their own key. The joins
-with documents always merge: what they join grows with the corpus, so the plan is the same at every size.
+Only hashes are grouped for all chunks. Texts move once, by their own key, to meet what repeats in them, and once more those
+of documents where something does. These joins always merge: what they join grows with the corpus, so the plan is the same
+at every size.
 
 Defined results: a null text is empty, one empty line; the first occurrence is the one in the smallest doc_id (null last),
-then text hash, then position; rows equal in doc_id and text are one document and get the same result; chunks of one line or
-without a word stay; an empty table gives an empty result; extra columns are ignored.
+then text hash, then position; rows equal in doc_id and text are one document and get the same result; chunks of one line
+(the first or the last of a text may be one) or without a word stay; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -17,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, let, materialize
+from .common import col, discard, let, materialize
 
-#: a chunk ends after a line with this chance
-DIVISOR = 4
 MIN_LINES = 2
-FACTOR = 31
+#: lines after which a stretch without a boundary is cut; its last piece has fewer than twice as many
+MAX_LINES = 8
+#: of the rolling hash: hashes below 2**32, times FACTOR, fit in 63 bits
+FACTOR, PRIME = 1_103_515_245, 2_147_483_647
 
 KEY = ["none", "doc_id", "th"]
 
@@ -31,17 +37,25 @@ def chunks(text: Column) -> Column:
     """Chunks of a text in order, as structs of n (lines) and text."""
     lines = F.split(text, "\n", -1)
     hashes = lambda ls: F.transform(ls, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
-    rolled = lambda h, i: F.get(h, i) + FACTOR * F.when(i > 0, F.get(h, i - 1)).otherwise(F.lit(0).cast("long"))
-    ends = lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == F.size(h) - 1) | (rolled(h, i) % DIVISOR == 0))
+    rolled = lambda h, i: (F.get(h, i) + FACTOR * F.when(i > 0, F.get(h, i - 1)).otherwise(F.lit(0).cast("long"))) % PRIME
+    low = lambda h: F.transform(h, lambda _, i: rolled(h, i) < PRIME // 2)
+    last = lambda lo: F.filter(F.sequence(F.lit(0), F.size(lo) - 1), lambda i: (i == F.size(lo) - 1) | (F.get(lo, i) & (i > 0) & ~F.get(lo, i - 1)))
 
     def cut(ls: Column, e: Column) -> Column:
-        def chunk(end: Column, k: Column) -> Column:
+        def pieces(end: Column, k: Column) -> Column:
             start = F.when(k > 0, F.get(e, k - 1) + 1).otherwise(F.lit(0))
-            return F.struct((end - start + 1).alias("n"), F.array_join(F.slice(ls, start + 1, end - start + 1), "\n").alias("text"))
+            number = lambda a: F.greatest(F.lit(1), F.floor((end - a + 1) / MAX_LINES).cast("int"))
 
-        return F.transform(e, chunk)
+            def piece(a: Column, j: Column) -> Column:
+                at = a + j * MAX_LINES
+                n = F.when(j == number(a) - 1, end - at + 1).otherwise(F.lit(MAX_LINES))
+                return F.struct(n.alias("n"), F.array_join(F.slice(ls, at + 1, n), "\n").alias("text"))
 
-    return let(lines, lambda ls: let(let(hashes(ls), ends), lambda e: cut(ls, e)))
+            return let(start, lambda a: F.transform(F.sequence(F.lit(0), number(a) - 1), lambda j: piece(a, j)))
+
+        return F.flatten(F.transform(e, pieces))
+
+    return let(lines, lambda ls: let(let(let(hashes(ls), low), last), lambda e: cut(ls, e)))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -53,33 +67,50 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["none"].eqNullSafe(b["none"]) & a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """Per document (none, doc_id, th) of ``docs`` (and t): the positions of the chunks to remove, as an array gone."""
+def _wanted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (none, doc_id, th, t) and wanted: position, hashes and lead (is it the first one?) of those of its
+    chunks whose hashes occur more than once; null where there is none. A table."""
+    spark = docs.sparkSession
     each = docs.select(*KEY, F.posexplode(chunks(F.col("t"))).alias("k", "c")).where((F.col("c.n") >= MIN_LINES) & F.col("c.text").rlike(r"[^\x20\x09-\x0D]"))
-    hashed, _ = materialize(each.select(*KEY, "k", F.xxhash64("c.text").alias("h1"), F.xxhash64(F.lit(1), "c.text").alias("h2")), "chunks")
+    hashed, path = materialize(each.select(*KEY, "k", F.xxhash64("c.text").alias("h1"), F.xxhash64(F.lit(1), "c.text").alias("h2")), "chunks")
     first = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "k")).alias("first")).where("n > 1").drop("n")
-    first, _ = materialize(first, "first")  # as a table, so that the join may split a chunk that is everywhere
+    first, first_path = materialize(first, "first")  # as a table, so that the join may split a chunk that is everywhere
     met = hashed.join(first, ["h1", "h2"]).withColumn("lead", F.struct(*KEY, "k") == F.col("first")).drop("first")
     wanted = met.groupBy(*KEY).agg(F.collect_list(F.struct("k", "h1", "h2", "lead")).alias("wanted"))
-    found = docs.join(wanted.hint("merge"), _same(docs, wanted)).select(docs["none"], docs["doc_id"], docs["th"], "t", "wanted")
-    texts = found.withColumn("c", chunks(F.col("t"))).select(*KEY, F.explode(F.expr("transform(wanted, w -> struct(w.k AS k, w.h1 AS h1, w.h2 AS h2, w.lead AS lead, c[w.k].text AS text))")).alias("w")).select(*KEY, "w.*")
-    texts, _ = materialize(texts, "repeats")
+    found, _ = materialize(docs.join(wanted.hint("merge"), _same(docs, wanted), "left").select(docs["none"], docs["doc_id"], docs["th"], "t", "wanted"), "found")
+    discard(spark, path, first_path)
+    return found
+
+
+def repeated(found: DataFrame) -> DataFrame:
+    """Per document (none, doc_id, th) of ``found``: the positions of the chunks to remove, as an array gone. A table."""
+    own = F.expr("transform(wanted, w -> struct(w.k AS k, w.h1 AS h1, w.h2 AS h2, w.lead AS lead, c[w.k].text AS text))")
+    texts = found.where("wanted is not null").withColumn("c", chunks(F.col("t"))).select(*KEY, F.explode(own).alias("w")).select(*KEY, "w.*")
+    texts, path = materialize(texts, "repeats")
     lead = texts.where("lead").select("h1", "h2", F.col("text").alias("lead_text")).dropDuplicates(["h1", "h2"])
-    lead, _ = materialize(lead, "lead")
+    lead, lead_path = materialize(lead, "lead")
     same = texts.where("not lead").join(lead, ["h1", "h2"]).where("text = lead_text")
-    return same.groupBy(*KEY).agg(F.array_sort(F.collect_set("k")).alias("gone"))
+    gone, _ = materialize(same.groupBy(*KEY).agg(F.array_sort(F.collect_set("k")).alias("gone")), "gone")
+    discard(found.sparkSession, path, lead_path)
+    return gone
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text (without the repeated chunks), n_lines, n_removed (lines)."""
-    rows = _keyed(docs, id_col, text_col)
-    gone, _ = materialize(repeated(rows), "gone")
-    met = rows.join(gone.hint("merge"), _same(rows, gone), "left").select(rows["doc_id"], "t", "gone")
-    split = met.select("doc_id", "gone", chunks(F.col("t")).alias("c"))
-    stays = F.when(F.col("gone").isNull(), F.col("c")).otherwise(F.filter("c", lambda x, k: ~F.array_contains("gone", k)))
-    lines = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    kept = split.select("doc_id", lines(F.col("c")).alias("n_lines"), stays.alias("kept"))
-    return kept.select("doc_id", F.array_join(F.transform("kept", lambda x: x["text"]), "\n").alias("text"), "n_lines", (F.col("n_lines") - lines(F.col("kept"))).alias("n_removed"))
+    found = _wanted(_keyed(docs, id_col, text_col))
+    gone = repeated(found)
+    some = found.where("wanted is not null")
+    met = some.join(gone.hint("merge"), _same(some, gone), "left").select(some["doc_id"], "t", "gone")
+    whole = F.struct(F.col("t").alias("text"), F.lit(0).cast("long").alias("n"))
+
+    def without(c: Column) -> Column:
+        stays = F.filter(c, lambda x, k: ~F.array_contains("gone", k))
+        lost = F.aggregate(F.filter(c, lambda x, k: F.array_contains("gone", k)), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        return F.struct(F.array_join(F.transform(stays, lambda x: x["text"]), "\n").alias("text"), lost.alias("n"))
+
+    rest = found.where("wanted is null").select("doc_id", "t", whole.alias("r"))
+    both = rest.union(met.select("doc_id", "t", F.when(F.col("gone").isNull(), whole).otherwise(let(chunks(F.col("t")), without)).alias("r")))
+    return both.select("doc_id", "r.text", F.size(F.split("t", "\n", -1)).cast("long").alias("n_lines"), F.col("r.n").alias("n_removed"))
 
 
 def report(docs: DataFrame, **columns) -> DataFrame:
@@ -88,18 +119,21 @@ def report(docs: DataFrame, **columns) -> DataFrame:
     return dedup(docs, **columns).select("doc_id", "n_lines", "n_removed", F.length(t).cast("long").alias("kept_chars"), F.sha2(t, 256).alias("kept_sha256"))
 
 
-ORACLE_SQL = r"""
+ORACLE_SQL = f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
 ), h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS v FROM l
-), b AS (SELECT *, CAST((v + 31 * coalesce(lag(v) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4 = 0 AS INT) AS last FROM h
-), c AS (SELECT *, coalesce(sum(last) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b
-), chunks AS (SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text FROM c GROUP BY doc_id, k
-), seen AS (SELECT doc_id, k, row_number() OVER (PARTITION BY text ORDER BY doc_id, k) AS nth FROM chunks WHERE n >= 2 AND regexp_matches(text, '[^\x20\x09-\x0D]')
-), marked AS (SELECT chunks.*, coalesce(nth > 1, false) AS gone FROM chunks LEFT JOIN seen USING (doc_id, k)
+), r AS (SELECT *, (v + {FACTOR} * coalesce(lag(v) OVER (PARTITION BY doc_id ORDER BY i), 0)) % {PRIME} < {PRIME // 2} AS low FROM h
+), b AS (SELECT *, CAST(low AND NOT coalesce(lag(low) OVER (PARTITION BY doc_id ORDER BY i), true) AS INT) AS last FROM r
+), c AS (SELECT *, coalesce(sum(last) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stretch FROM b
+), p AS (
+  SELECT *, least((row_number() OVER (PARTITION BY doc_id, stretch ORDER BY i) - 1) // {MAX_LINES}, greatest(count(*) OVER (PARTITION BY doc_id, stretch) // {MAX_LINES}, 1) - 1) AS piece FROM c
+), chunks AS (SELECT doc_id, stretch, piece, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text FROM p GROUP BY doc_id, stretch, piece
+), seen AS (SELECT doc_id, stretch, piece, row_number() OVER (PARTITION BY text ORDER BY doc_id, stretch, piece) AS nth FROM chunks WHERE n >= {MIN_LINES} AND regexp_matches(text, '[^\\x20\\x09-\\x0D]')
+), marked AS (SELECT chunks.*, coalesce(nth > 1, false) AS gone FROM chunks LEFT JOIN seen USING (doc_id, stretch, piece)
 ), kept AS (
   SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
-    coalesce(string_agg(text, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id
+    coalesce(string_agg(text, chr(10) ORDER BY stretch, piece) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id
 )
 SELECT doc_id, n_lines, n_removed, CAST(length(text) AS BIGINT) AS kept_chars, sha256(text) AS kept_sha256 FROM kept
 """

@@ -148,6 +148,39 @@ def test_line_chunks_follow_content(spark, long_text):
     assert next(r for r in got if r.doc_id == 5).text == long_text and next(r for r in got if r.doc_id == 4).text == ""
 
 
+def brute_chunks(text):
+    lines = (text or "").split("\n")
+    v = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    low = [(v[i] + line_chunks.FACTOR * (v[i - 1] if i else 0)) % line_chunks.PRIME < line_chunks.PRIME // 2 for i in range(len(v))]
+    out, start = [], 0
+    for i in range(len(lines)):
+        if i == len(lines) - 1 or i and low[i] and not low[i - 1]:
+            stretch = lines[start : i + 1]
+            n = max(1, len(stretch) // line_chunks.MAX_LINES)
+            out += [stretch[j * line_chunks.MAX_LINES : (j + 1) * line_chunks.MAX_LINES if j < n - 1 else None] for j in range(n)]
+            start = i + 1
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark, sf, long_text):
+    """Boundaries, first occurrences and removal in plain Python; runs of one repeated line among them."""
+    banner, block = "\n".join(["== banner =="] * 50), "\n".join(f"shared line {i}" for i in range(12))
+    texts = [r.text for r in table(spark, sf, "documents").collect()] + [long_text, "a\n\n\n\n" * 9, None, "", "\n"]
+    texts += [f"intro {i}\nmore {i}\n{banner}\n{block}\nend {i}" for i in range(5)]
+    got = by_id(line_chunks.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    seen = set()
+    for i, t in enumerate(texts):
+        kept, removed = [], 0
+        for c in brute_chunks(t):
+            x = "\n".join(c)
+            again = len(c) >= 2 and x.strip() != "" and x in seen
+            seen.add(x)
+            removed += len(c) * again
+            kept += [] if again else [x]
+        assert (got[i].text, got[i].n_lines, got[i].n_removed) == ("\n".join(kept), len((t or "").split("\n")), removed), i
+    assert all(got[i].n_removed >= 40 for i in range(len(texts) - 4, len(texts)))
+
+
 def test_line_chunks_odd_tables(odd, empty):
     assert line_chunks.report(odd).count() == len(ODD) and line_chunks.report(empty).count() == 0
 
