@@ -26,19 +26,24 @@ def by_id(rows):
 
 
 def test_license_families_and_confusers(spark):
-    texts = [t for ts in license_scan.TEMPLATES.values() for t in ts if t != "Licensed under CC BY 4.0"] + license_scan.CONFUSERS
-    want = [f for f, ts in license_scan.TEMPLATES.items() for t in ts if t != "Licensed under CC BY 4.0"] + [""] * len(license_scan.CONFUSERS)
+    others = license_scan.CONFUSERS + license_scan.STRANGERS
+    texts = [t for ts in license_scan.TEMPLATES.values() for t in ts] + others
+    want = [f for f, ts in license_scan.TEMPLATES.items() for t in ts] + [""] * len(others)
     got = by_id(license_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     assert [got[i].licenses for i in range(len(texts))] == want
 
 
+def blocks_of(text):
+    return [b for b in re.split(r"\n(?:(?:[^\w\n]|_)*\n)+", text or "") if re.search(r"[^\W_]", b)]
+
+
 def test_license_lines_in_documents(spark, sf):
     docs = table(spark, sf, "documents")
     got = by_id(license_scan.report(docs).collect())
     assert len(got) == docs.count()
     for r in docs.collect():
         assert bool(got[r.doc_id].n_licensed) == bool(re.search("(?i)licen[sc]e", r.text or "")), r.doc_id
-        assert got[r.doc_id].n_paragraphs == sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (r.text or "").split("\n"))
+        assert got[r.doc_id].n_paragraphs == len(blocks_of(r.text))
 
 
 def test_license_model_agrees_with_numpy(spark):
@@ -68,6 +73,9 @@ def test_all_rights_reserved_is_reported(spark, sf):
 HEADERS = {
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights',
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
 }
 
 
@@ -78,7 +86,7 @@ def test_wrapped_notices(spark):
     texts += [wrap("bsd", "", 72) + "\n" + wrap("gpl", "", 72), "Released under the MIT License\n" + wrap("gpl", "", 72), wrap("bsd", "", 40).replace("\n", "\n\n"), "it was permitted\nprovided that the source\nand the conditions of the work\nare free to all"]
     got = by_id(license_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     assert [(c, got[i].licenses) for i, c in enumerate(cases)] == [(c, c[0]) for c in cases]
-    assert all(got[i].n_licensed == 1 for i, c in enumerate(cases) if c[2] >= 72)
+    assert all(got[i].n_licensed == 1 and got[i].n_paragraphs == 3 for i in range(len(cases)))
     assert [got[len(cases) + i].licenses for i in range(4)] == ["bsd,gpl", "gpl,mit", "", ""]
 
 
@@ -88,6 +96,65 @@ def test_families_with_a_word_more(spark):
     assert [got[i].licenses for i in range(6)] == ["gpl", "gpl", "lgpl", "agpl", "cc-by", "cc-by-sa"]
 
 
+def test_identifiers_denials_and_near_misses(spark):
+    named = [(f, n) for f, ns in license_scan.IDENTIFIERS.items() for n in ns]
+    texts = [f"// SPDX-License-Identifier: {n}\nint main() {{}}" for _, n in named]
+    others = ["This file is not covered by the MIT License.", "the code is no longer released under the BSD license", "it was never licensed under the GPL version 2", "License and mit version copy software permission granted person charge", "SPDX-License-Identifier: EPL-2.0", "met under the terms of the Eclipse Public License 2.0"]
+    got = by_id(license_scan.report(spark.createDataFrame(list(enumerate(texts + others)), "doc_id long, text string")).collect())
+    assert [(n, got[i].licenses) for i, (_, n) in enumerate(named)] == [(n, f) for f, n in named]
+    assert [got[len(named) + i].licenses for i in range(len(others))] == [""] * len(others)
+
+
+def brute_scan(text, m):
+    """Families of each paragraph in plain Python: lines alone, then runs between lines that stand."""
+    index = {g: i for i, g in enumerate(m.vocabulary)}
+    single = {w for g in m.vocabulary for w in g.split() if w not in license_scan.FUNCTION_WORDS}
+
+    def family(s):
+        w = license_scan.words(s)
+        x = np.zeros(len(index) + 1)
+        x[-1] = 1
+        x[[index[g] for g in (*w, *map(" ".join, zip(w, w[1:]))) if g in index]] = 1
+        z = x @ m.weights / m.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        f = m.families[int(p.argmax())]
+        if f == license_scan.UNKNOWN or p.max() < m.threshold or re.search(license_scan.DENIED, " ".join(w)):
+            return None
+        have = set(map(" ".join, zip(w, w[1:])))
+        share = lambda t: (f" {' '.join(license_scan.words(t))} " in f" {' '.join(w)} ") if len(set(license_scan.words(t))) < license_scan.MIN_SHARED else len(have & set(license_scan.pairs(t))) / len(license_scan.pairs(t))
+        marked = f not in license_scan.MARKS or set(w) & set(license_scan.MARKS[f])
+        return f if marked and max(map(share, license_scan.TEMPLATES[f])) >= license_scan.MIN_COVER else None
+
+    out = set()
+    for k, b in enumerate(blocks_of(text)):
+        ls = b.split("\n")
+        held = [i for i, x in enumerate(ls) if single & set(license_scan.words(x))]
+        alone = {i: family(ls[i]) for i in held}
+        out |= {f"{k}:{f}" for f in alone.values() if f}
+        hits = []
+        for i in held:
+            for j in held:
+                if i < j < i + license_scan.JOINED and not any(alone[h] for h in held if i <= h <= j) and (f := family(" ".join(ls[i : j + 1]))):
+                    hits.append((j, j - i, i, f))
+        last = -1
+        for j, _, i, f in sorted(hits):
+            if i > last:
+                last = j
+                out.add(f"{k}:{f}")
+    return out
+
+
+def test_license_scan_equals_brute_force(spark, sf, odd, empty, long_text):
+    m = license_scan.fit()
+    wrap = lambda f, mark, width: "\n".join(mark + x for x in textwrap.wrap(HEADERS[f], width))
+    texts = [r.text for r in table(spark, sf, "documents").collect()] + [r[1] for r in ODD] + [wrap(f, mark, w) + "\n" + wrap(g, mark, w) for f in HEADERS for g in HEADERS for mark, w in (("# ", 50), ("", 79))]
+    texts += [" ".join(w) for w, _ in license_scan.training_paragraphs(1, 200)] + [long_text + "\nReleased under the MIT License\n" + long_text, "Released under the MIT License\n" * 3000]
+    got = by_id(license_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    for i, t in enumerate(texts):
+        assert set(filter(None, got[i].paragraphs.split(","))) == brute_scan(t, m), (i, (t or "")[:200], got[i].paragraphs)
+    assert license_scan.report(odd).count() == len(ODD) and license_scan.report(empty).count() == 0
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------------------
 
 
