@@ -1,6 +1,7 @@
 """Operators 3, 5, 6, 10 and the pipeline against plain Python and on odd tables."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -129,6 +130,21 @@ def test_formulas_charts_forms_and_rules_for_screens():
 
 
 
+def test_visible_children_rowspans_and_wide_tables():
+    assert render('<div style="visibility:hidden">no <b style="visibility:visible">seen</b> no</div>after') == "seen\nafter"
+    assert render("<style>.h{visibility:hidden} .v{visibility:visible}</style><ul class=h><li>no<li class=v>yes</ul>") == "- yes"
+    assert render('<div style="display:none"><b style="display:block;visibility:visible">no</b></div>yes') == "yes"
+    assert render("<style>.x{display:none}</style><p class=x style='display:block'>seen") == "seen"
+    assert render("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>") == "a  b  c\n   d  e\nf  g  h"
+    assert render("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>") == "a  b\n   c\n   d"
+    assert render("<table><tr><td rowspan=3 colspan=2>ab<td>b<tr><td>c<tr><td>d<tr><td>x<td>y<td>z</table>") == "ab    b\n      c\n      d\nx  y  z"
+    article = " ".join(f"w{i}" for i in range(3000))
+    page = "<table>" + "".join(f"<tr><td>{article if i == 5 else 'n'}<td>row {i}" for i in range(5000)) + "</table>"
+    got = render(page)
+    assert len(got) < 2 * len(page) and got.split() == re.sub("<[^>]*>", " ", page).split()
+    assert render("<table><tr><td colspan=1000>x<td>y</table>" * 3).count("y") == 3
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers
