@@ -16,6 +16,7 @@ their row; an empty table gives no rows, an empty benchmark finds nothing; extra
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 from .common import bounded_batches, col, fresh_name, materialize, text_bytes
 
 WINDOW = 13
-#: bytes of benchmark text whose windows are broadcast together
-BLOCK_BYTES = 32 * 1024 * 1024
+#: bytes of benchmark text that are broadcast together; their tables take about 40 bytes for each in a worker, 170 MB
+BLOCK_BYTES = 4 * 1024 * 1024
 #: a document is contaminated from this share of hit words
 MIN_HIT_SHARE = 1 / 20
 
@@ -40,53 +41,70 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Searcher:
-    """Wu-Manber tables for windows of one length."""
+    """Wu-Manber tables for windows of one length: items, their words and the windows' starts in them.
 
-    def __init__(self, length: int, windows: dict[tuple, set[str]]):
+    Shifts are kept by the block's hash, where blocks that meet only shorten a shift. Windows are chained by the hash of their
+    first and last block and point into the words of their items, which are compared directly.
+    """
+
+    def __init__(self, length: int, texts: list[tuple[str, list[bytes]]]):
         self.m = length
         self.b = b = min(2, length)
-        self.windows = windows
+        self.texts = texts
         self.default = length - b + 1
-        self.shift: dict = {}
-        self.bucket: dict = {}
-        for w in windows:
-            for end in range(b, length + 1):
-                block = w[end - b : end]
-                self.shift[block] = min(self.shift.get(block, self.default), length - end)
-            self.bucket.setdefault(w[-b:], {}).setdefault(w[:b], set()).add(w)
+        windows = sum(len(w) - length + 1 for _, w in texts)
+        self.mask = (1 << max(10, (4 * windows).bit_length())) - 1
+        self.shift = bytearray([self.default]) * (self.mask + 1)
+        self.head: dict[int, int] = {}
+        self.next, self.place = array("q"), array("q")
+        shift, mask = self.shift, self.mask
+        for t, (_, w) in enumerate(texts):
+            last = len(w) - length
+            for k in range(len(w) - b + 1):
+                step = max(0, length - b - k)  # its least distance from the end of a window that holds it
+                at = hash(tuple(w[k : k + b])) & mask
+                if step < shift[at]:
+                    shift[at] = step
+            for k in range(last + 1):
+                key = self._key(w[k : k + b], w[k + length - b : k + length])
+                self.next.append(self.head.get(key, -1))
+                self.head[key] = len(self.place)
+                self.place.append(t << 32 | k)
+
+    @staticmethod
+    def _key(first: list[bytes], last: list[bytes]) -> int:
+        return hash((*first, *last))
 
     def find(self, words: list[bytes], ends: list[int], items: set[str]) -> None:
         """Append the end of each occurrence, in order, and add the items that it belongs to."""
-        m, b, default, shift, bucket, windows = self.m, self.b, self.default, self.shift.get, self.bucket, self.windows
+        m, b, shift, mask, head, after, place, texts = self.m, self.b, self.shift, self.mask, self.head.get, self.next, self.place, self.texts
         i, n = m, len(words)
-        if b == 1:
-            for i, w in enumerate(words, 1):
-                if (w,) in windows:
-                    ends.append(i)
-                    items |= windows[(w,)]
-            return
         while i <= n:
-            block = (words[i - 2], words[i - 1])
-            step = shift(block, default)
+            step = shift[hash((words[i - 2], words[i - 1]) if b == 2 else (words[i - 1],)) & mask]
             if step:
                 i += step
                 continue
-            if found := bucket[block].get((words[i - m], words[i - m + 1])):
-                w = tuple(words[i - m : i])
-                if w in found:
-                    ends.append(i)
-                    items |= windows[w]
+            at, found = head(self._key(words[i - m : i - m + b], words[i - b : i]), -1), False
+            while at >= 0:
+                item, w = texts[place[at] >> 32]
+                k = place[at] & 0xFFFFFFFF
+                if w[k : k + m] == words[i - m : i]:
+                    found = True
+                    items.add(item)
+                at = after[at]
+            if found:
+                ends.append(i)
             i += 1
 
 
 def searchers(items: list[tuple[str, bytes]]) -> list[Searcher]:
-    by_length: dict[int, dict[tuple, set[str]]] = {}
+    known: dict[bytes, bytes] = {}  # each word once
+    by_length: dict[int, dict[tuple, tuple[str, list[bytes]]]] = {}
     for item, text in items:
-        w = tuple(words_of(text))
-        m = min(WINDOW, len(w))
-        for i in range(len(w) - m + 1 if m else 0):
-            by_length.setdefault(m, {}).setdefault(w[i : i + m], set()).add(item)
-    return [Searcher(m, windows) for m, windows in sorted(by_length.items())]
+        w = [known.setdefault(x, x) for x in words_of(text)]
+        if w:
+            by_length.setdefault(min(WINDOW, len(w)), {}).setdefault((item, text), (item, w))
+    return [Searcher(m, list(texts.values())) for m, texts in sorted(by_length.items())]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[int]:

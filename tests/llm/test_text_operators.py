@@ -188,6 +188,22 @@ def test_wu_manber_equals_brute_force(spark, block_bytes):
     assert sorted(repr(tuple(r)) for r in got) == brute_windows(DOCS, ITEMS)
 
 
+def test_wu_manber_block_memory():
+    """The tables of half a megabyte take at most 50 bytes for a byte, so a block stays within a worker."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    text = " ".join(f"word{x}" for x in rng.integers(0, 30_000, 50_000)).encode()
+    tracemalloc.start()
+    try:
+        s = wm.searchers([(str(k), text[k * 5000 : (k + 1) * 5000]) for k in range(len(text) // 5000)])
+        used = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(s) == 1 and used < 50 * len(text)
+    assert used / len(text) * wm.BLOCK_BYTES < 250e6
+
+
 def test_wu_manber_odd_tables(spark, odd, empty, long_text):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert wm.report(odd, items).count() == len(ODD) and wm.report(empty, items).count() == 0
