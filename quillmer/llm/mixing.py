@@ -16,12 +16,10 @@ all every target is 0; extra columns are ignored (or kept, by ``mix``).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh_name, materialize
+from .common import col, discard, fresh_name, materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -31,29 +29,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
 
 
-@dataclass(frozen=True)
-class Share:
-    source: str | None
-    size: int
-    target: float
-
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``sizes`` (src, size and further columns, a row per source) with weight and target: weight shares of all words, none above
+    ``max_epochs`` times its size.
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> list[Share]:
-    """Targets of all sources: weight shares of all words, none above ``max_epochs`` times its size."""
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    # sources reach their limits in the order of limit / weight; the rest share by weight what is left then
-    order = sorted(names, key=lambda s: sizes[s] / weight[s])
-    left, share = sum(sizes.values()), sum(weight.values())
-    level, capped = 0.0, set()
-    for s in order:
-        level = left / share
-        if level * weight[s] <= max_epochs * sizes[s]:
-            break
-        capped.add(s)
-        left -= max_epochs * sizes[s]
-        share -= weight[s]
-    return [Share(s, sizes[s], float(max_epochs * sizes[s]) if s in capped else level * weight[s]) for s in names]
+    Sources reach their limits in the order of size / weight; those that do leave the rest to the others. Running sums over
+    that order give, for each source, the level if all before it are at their limits; the first one that stays below its own
+    limit then sets the level. These windows stream over one row per source; nothing is gathered.
+    """
+    ranked = F.row_number().over(Window.orderBy(F.col("src") == "n", "src"))
+    weight = F.get(F.array(*[F.lit(w) for w in weights]), (ranked - 1) % len(weights))
+    weighed = sizes.withColumn("weight", weight.cast("long")).withColumn("ratio", F.col("size") / F.col("weight"))
+    upto = Window.orderBy("ratio", "src").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = F.sum("size").over(every) - max_epochs * F.coalesce(F.sum("size").over(upto), F.lit(0))
+    share = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(upto), F.lit(0))
+    leveled = weighed.withColumn("own", left.cast("double") / share.cast("double"))
+    below = F.col("own") * F.col("weight") <= max_epochs * F.col("size")
+    at = leveled.where(below).agg(F.min(F.struct("ratio", "src", "own")).alias("at"))
+    target = F.when(F.col("ratio") >= F.col("at.ratio"), F.col("at.own") * F.col("weight")).otherwise((max_epochs * F.col("size")).cast("double"))
+    return weighed.join(F.broadcast(at)).withColumn("target", target).drop("ratio", "at")  # one row
 
 
 def size_of(text_col: str = "text") -> Column:
@@ -82,30 +77,24 @@ def _range(n: Column) -> Column:
 def cuts(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, int]:
     """Per source of ``rows`` (src, size, key): source_size, target, epochs, cut_key, cut_each; and the number of sources.
 
-    A row gives ``epochs`` times its size, once more its size if its key is below cut_key, and cut_each at cut_key. What the
-    driver gathers is one row per source.
+    A row gives ``epochs`` times its size, once more its size if its key is below cut_key, and cut_each at cut_key.
     """
-    spark = rows.sparkSession
-    total = rows.groupBy("src").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    shares = targets({None if r.src == "n" else r.src[1:]: r["size"] for r in total}, weights, max_epochs)
-    count = {r.src: r.n for r in total}
-    planned = []
-    for s in shares:
-        src = "n" if s.source is None else "s" + s.source
-        budget = int(s.target + 0.5)
-        epochs = budget // s.size if s.size else 0
-        planned.append((src, s.size, s.target, epochs, budget - epochs * s.size, max(1, int(count[src] ** 0.5))))
-    planned = spark.createDataFrame(planned, "src string, source_size long, target double, epochs long, rest long, ranges long")
-    joined = rows.join(_small(planned.where("rest > 0").select("src", "rest", "ranges"), len(shares)), "src").withColumn("rng", _range(F.col("ranges")))
+    total = targets(rows.groupBy("src").agg(F.sum("size").alias("size"), F.count("*").alias("n")), weights, max_epochs)
+    budget = F.floor(F.col("target") + 0.5)
+    planned = total.select("src", F.col("size").alias("source_size"), "target", F.expr("CASE WHEN size > 0 THEN CAST(floor(target + 0.5D) AS BIGINT) div size ELSE 0L END").alias("epochs"), budget.cast("long").alias("budget"), F.greatest(F.lit(1), F.floor(F.sqrt("n"))).cast("long").alias("ranges"))
+    planned, planned_path = materialize(planned.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")).drop("budget"), "targets")
+    n = planned.count()
+    joined = rows.join(_small(planned.where("rest > 0").select("src", "rest", "ranges"), n), "src").withColumn("rng", _range(F.col("ranges")))
     before = F.sum("size").over(Window.partitionBy("src").orderBy("rng")) - F.col("size")
     ranges = joined.groupBy("src", "rng").agg(F.sum("size").alias("size"), F.first("rest").alias("rest")).withColumn("base", before)
     ranges = ranges.where("base < rest and rest <= base + size").select("src", "rng", "base")
-    base, _ = materialize(ranges, "ranges")
-    within = joined.join(_small(base, len(shares)), ["src", "rng"]).groupBy("src", "key").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.first("rest").alias("rest"), F.first("base").alias("base"))
+    base, base_path = materialize(ranges, "ranges")
+    within = joined.join(_small(base, n), ["src", "rng"]).groupBy("src", "key").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.first("rest").alias("rest"), F.first("base").alias("base"))
     upto = F.col("base") + F.sum("size").over(Window.partitionBy("src").orderBy("key"))
     at = within.withColumn("upto", upto).where("upto - size < rest and rest <= upto").select("src", F.col("key").alias("cut_key"), F.expr("(rest - (upto - size)) div n").alias("cut_each"))
     found, _ = materialize(planned.join(at, "src", "left").drop("rest", "ranges"), "cuts")
-    return found, len(shares)
+    discard(rows.sparkSession, planned_path, base_path)
+    return found, n
 
 
 def taken() -> Column:
