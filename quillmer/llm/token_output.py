@@ -147,6 +147,17 @@ def _encoder(vocabulary: str) -> PieceEncoder:
     return _encoders[vocabulary]
 
 
+#: bytes of scanned input for a token file
+FILE_BYTES = 256 * 1024 * 1024
+
+
+def _files(docs: DataFrame) -> int:
+    """As many files as shuffle partitions, or more where these would be larger than ``FILE_BYTES`` by the scan's statistics."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, size // FILE_BYTES) if size < 1 << 56 else least  # as much is said where nothing is known
+
+
 def encode_sorted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID, files: int | None = None) -> DataFrame:
     """The rows of a token file (see ``TOKENS``), range-partitioned and sorted by document."""
     spark = docs.sparkSession
@@ -164,7 +175,7 @@ def encode_sorted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")), type=pa.list_(pa.field("element", pa.int32(), False)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(raw), shard, np.int32)), pa.array(starts), pa.array(n), ids], names=TOKENS.names)
 
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or _files(docs)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("t"))
     return rows.repartitionByRange(files, "doc_id", F.xxhash64("t")).sortWithinPartitions("doc_id", F.xxhash64("t")).mapInArrow(encode, TOKENS)
 

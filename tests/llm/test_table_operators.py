@@ -36,9 +36,10 @@ def brute_targets(sizes):
 
 
 @pytest.mark.parametrize("sizes", [{"a": 100, "b": 10, "c": 1, None: 50}, {"a": 1, "b": 1000}, {"z": 0, "a": 7}, {None: 5}, {f"s{i}": (i * 37) % 101 for i in range(40)}])
-def test_targets_equal_repeated_resharing(sizes):
+def test_targets_equal_repeated_resharing(spark, sizes):
     want = brute_targets(sizes)
-    got = {s.source: s.target for s in mixing.targets(sizes)}
+    rows = spark.createDataFrame([("n" if s is None else "s" + s, n) for s, n in sizes.items()], "src string, size long")
+    got = {None if r.src == "n" else r.src[1:]: r.target for r in mixing.targets(rows).collect()}
     assert all(abs(got[s] - want[s]) < 1e-6 for s in sizes) and abs(sum(got.values()) - sum(sizes.values())) < 1e-6
 
 
@@ -118,6 +119,13 @@ def test_html_odd_tables(spark):
 
 # --- 6 ------------------------------------------------------------------------------------------------------------------
 
+def test_token_files_follow_the_bytes(spark, sf, monkeypatch):
+    docs = table(spark, sf, "documents")
+    assert token_output._files(docs) == 4
+    monkeypatch.setattr(token_output, "FILE_BYTES", 20_000)
+    assert token_output._files(docs) > 4 and token_output._files(docs.limit(3).withColumn("x", F.lit(1))) >= 4
+
+
 STRANGE = [None, "", " ", "\n", "a  b", " a", "a ", "a\n\nb", "a \n b", "x\tb c\x01d", "it's don't we'll I'm", "<|endoftext|> a<|endoftext|>b", " a b c", "é́ ñ 中文 字 𝒳 😀 😀😀", "1.5 2,000 $$$ ***a", "a\r\nb c\x1cd e", "a\x0bb", "a b  c", 'word. word, (word) "word" — … ', "'s 's\n's", "\x01", "a\u0085 b"]
 
 
