@@ -59,24 +59,29 @@ def word_reference(n: int = 20) -> list[float]:
     return [*shares, 1 - sum(shares)]
 
 
-def n_repeat_words(words: Column) -> Column:
-    """Words in windows of five that occur twice or more in ``words`` (a column, as it is used many times).
-
-    Hashes that are all distinct prove that no window repeats; otherwise the windows themselves are sorted and compared.
-    """
+def window_hashes(words: Column) -> Column:
+    """Hashes of the windows of five words, in order."""
     ahead = [words, *[F.slice(words, F.lit(k + 1), F.size(words)) for k in range(1, WINDOW)]]
-    hashes = F.transform(F.slice(F.arrays_zip(*ahead), F.lit(1), F.size(words) - WINDOW + 1), lambda w: F.xxhash64(w))
-    starts = F.sequence(F.lit(0), F.size(words) - WINDOW)
-    windows = F.array_sort(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", *[words[i + k] for k in range(WINDOW)]).alias("w"), i.alias("i"))))
+    return F.slice(F.transform(F.arrays_zip(*ahead), lambda w: F.xxhash64(w)), F.lit(1), F.greatest(F.lit(0), F.size(words) - WINDOW + 1))
 
-    def repeated(s: Column) -> Column:
-        same = lambda x, k: (k >= 0) & (k < F.size(s)) & (F.get(s, k)["w"] == x["w"])
-        return F.sort_array(F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
 
+def n_repeat_words(words: Column, hashes: Column) -> Column:
+    """Words in windows of five that occur twice or more in ``words``, given the windows' hashes (both columns).
+
+    Hashes that are all distinct prove that no window repeats; otherwise the windows of equal hashes are sorted and compared.
+    """
+    def beside(xs: Column, f: str) -> Column:
+        """Those of the sorted structs that have a neighbour with the same ``f``."""
+        same = lambda x, k: (k >= 0) & (F.get(xs, k)[f] == x[f])
+        return F.filter(xs, lambda x, k: F.coalesce(same(x, k - 1), F.lit(False)) | F.coalesce(same(x, k + 1), F.lit(False)))
+
+    window = lambda i: F.array_join(F.slice(words, i + 1, F.lit(WINDOW)), " ")
+    alike = let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda xs: beside(xs, "h"))
+    equal = let(F.sort_array(F.transform(alike, lambda x: F.struct(window(x["i"]).alias("w"), x["i"].alias("i")))), lambda xs: beside(xs, "w"))
+    places = F.sort_array(F.transform(equal, lambda x: x["i"]))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
-    covered = F.aggregate(let(windows, repeated), zero, lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(i, a["end"])).alias("n"), (i + WINDOW).alias("end")))["n"]
-    distinct = let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
-    return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).when(distinct, F.lit(0).cast("long")).otherwise(covered)
+    covered = F.aggregate(places, zero, lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(i, a["end"])).alias("n"), (i + WINDOW).alias("end")))["n"]
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(covered)
 
 
 def _without(text: Column, pattern: str) -> Column:
@@ -84,11 +89,6 @@ def _without(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def _occurrences(joined: Column, word: str) -> Column:
-    """How often a word occurs among words that each have a space of their own on both sides."""
-    return (F.length(joined) - F.length(F.replace(joined, F.lit(f" {word} "), F.lit("")))) / (len(word) + 2)
-
-
 def n_dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
 
@@ -109,19 +109,23 @@ def counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     known = F.filter(F.transform(words, lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))), lambda w: w.isin(listed))
     # all classes that are counted are among the characters that are neither a to z nor spaces
     counted = split.select(
-        "doc_id", "lang", F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), F.length(t).cast("long").alias("n_chars"),
-        n_dup_lines(t).alias("n_dup_lines"), n_repeat_words(words).alias("n_repeat_words"), F.regexp_replace(t, r"[a-z\x20]++", "").alias("rest"),
-        let(known, lambda ws: F.when(F.size(ws) > 0, F.concat(F.lit(" "), F.array_join(ws, "  "), F.lit(" "))).otherwise("")).alias("known"),
+        "doc_id", "lang", "words", F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), F.length(t).cast("long").alias("n_chars"),
+        n_dup_lines(t).alias("n_dup_lines"), window_hashes(words).alias("hashes"), F.regexp_replace(t, r"[a-z\x20]++", "").alias("rest"), known.alias("known"),
+    )
+    # expressions for each word or language are kept small: generated code that is too large isn't compiled
+    n, names = F.col("n_words"), sorted(COMMON_WORDS)
+    lists = F.array(*[F.struct(F.lit(x).alias("x"), F.array(*map(F.lit, COMMON_WORDS[x])).alias("ws")) for x in names])
+    by_lang = F.transform(lists, lambda g: F.struct(F.size(F.filter("known", lambda w: F.array_contains(g["ws"], w))).alias("n"), g["x"].alias("x")))
+    best = lambda gs: F.filter(gs, lambda g: g["n"] == F.aggregate(gs, F.lit(0), lambda a, o: F.greatest(a, o["n"])))[0]
+    guess = let(let(by_lang, best), lambda g: F.when(g["n"] >= MIN_KNOWN * n, g["x"]))
+    named = counted.withColumn("lang", F.when(F.col("lang").isin(names), F.col("lang")).when(F.col("lang").isNull() & (n > 0), guess)).select(
+        "doc_id", "lang", "n_words", "n_chars", "word_chars", "n_dup_lines", n_repeat_words(words, F.col("hashes")).alias("n_repeat_words"),
+        F.concat(F.lit(" "), F.array_join("known", "  "), F.lit(" ")).alias("known"), *[_without(F.col("rest"), p).alias(f"c{i}") for i, p in enumerate(CLASSES)],
     )
-    joined, n = F.col("known"), F.col("n_words")
-    by_lang = {x: sum(_occurrences(joined, w) for w in ws) for x, ws in sorted(COMMON_WORDS.items())}
-    most = F.greatest(*by_lang.values())
-    guess = F.when(most >= MIN_KNOWN * n, F.coalesce(*[F.when(c == most, F.lit(x)) for x, c in by_lang.items()]))
-    named = counted.withColumn("lang", F.when(F.col("lang").isin(list(COMMON_WORDS)), F.col("lang")).when(F.col("lang").isNull() & (n > 0), guess)).select(
-        "doc_id", "lang", "n_words", "n_chars", "word_chars", "n_dup_lines", "n_repeat_words", "known", *[_without(F.col("rest"), p).alias(f"c{i}") for i, p in enumerate(CLASSES)]
-    )
-    histogram = lambda ws: let(F.array(*[_occurrences(joined, w).cast("double") for w in ws]), lambda b: F.concat(b, F.array(n - F.aggregate(b, F.lit(0.0), lambda s, x: s + x))))
-    common = F.coalesce(*[F.when(F.col("lang") == x, histogram(ws)) for x, ws in COMMON_WORDS.items()])
+    # each listed word has a space of its own on both sides, so that its occurrences can be cut out and measured
+    mine = F.coalesce(*[F.when(F.col("lang") == x, F.array(*[F.lit(f" {w} ") for w in ws])) for x, ws in COMMON_WORDS.items()])
+    number = lambda w: (F.length("known") - F.length(F.replace(F.col("known"), w, F.lit("")))) / F.length(w)
+    common = F.when(F.col("lang").isNotNull(), let(F.transform(mine, number), lambda b: F.concat(b, F.array(n - F.aggregate(b, F.lit(0.0), lambda s, x: s + x)))))
     own = [F.col(f"c{i}") for i in range(len(CLASSES))]
     chars = F.array(*[c.cast("double") for c in (*own, F.col("n_chars") - F.col("word_chars"), F.col("word_chars") - sum(own))])
     return named.select("doc_id", "lang", "n_words", "n_chars", "word_chars", F.col(f"c{len(CLASSES) - 1}").alias("n_symbols"), "n_dup_lines", "n_repeat_words", chars.alias("chars"), common.alias("common"))
