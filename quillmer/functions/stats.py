@@ -108,3 +108,14 @@ def normal_cdf(z: pd.Series) -> pd.Series:
 def binomial_tail(k: int, n: int) -> float:
     """P(X <= k) for n fair coins."""
     return sum(math.comb(n, i) for i in range(k + 1)) / 2.0**n
+
+
+def binomial_cdf(k: Column, n: Column) -> Column:
+    """P(X <= k) for n fair coins: 0 below none, 1 from all on."""
+    tail = incomplete_beta_column((n - k).cast("double"), (k + 1).cast("double"), F.lit(0.5))
+    return F.when(k < 0, 0.0).when(k >= n, 1.0).otherwise(tail)
+
+
+def two_sided(cdf: Column) -> Column:
+    """p of both tails of a continuous distribution."""
+    return 2 * F.least(cdf, 1 - cdf)

@@ -5,11 +5,15 @@ Counts stay long and sparse. What absent samples add to a test is a constant, so
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stats
-from ..sources.tables import group_of
 
 
 def row_totals(counts: DataFrame, n_samples: int) -> DataFrame:
@@ -43,33 +47,88 @@ def lognorm(vectors: DataFrame, offsets: dict[int, float], samples: list[int]) -
 
 
 def per_million(counts: DataFrame, sample_stats: DataFrame) -> DataFrame:
-    """(sample_id, kmer, freq): counts by a million of the sample's coverage."""
+    """(sample_id, kmer, freq): counts by a million of the sample's coverage, the sum of ln(count) of its k-mers."""
     return counts.join(F.broadcast(sample_stats.select("sample_id", "coverage")), "sample_id").select("sample_id", "kmer", (F.col("cnt") * 1e6 / F.col("coverage")).alias("freq"))  # a row per sample
 
 
-def group_moments(counts: DataFrame, offsets: dict[int, float], samples: list[int]) -> tuple[DataFrame, int, int]:
-    """Per k-mer: mean and sample variance of the normalised values in each group (ma, va, mb, vb), and the group sizes."""
-    from ..sources.tables import GROUP_A
-
-    a = [s for s in samples if s < GROUP_A]
-    b = [s for s in samples if s >= GROUP_A]
-    off = F.coalesce(*[F.when(F.col("sample_id") == s, F.lit(float(offsets.get(s, 0.0)))) for s in samples])
-    v = F.log(F.col("cnt") + 1) - off
-    is_a = group_of() == "A"
-    sums = counts.groupBy("kmer").agg(*[f.alias(n) for n, f in (
-        ("sa", F.sum(F.when(is_a, v + off).otherwise(0.0))), ("sb", F.sum(F.when(is_a, 0.0).otherwise(v + off))),
-        ("qa", F.sum(F.when(is_a, v * v - off * off).otherwise(0.0))), ("qb", F.sum(F.when(is_a, 0.0).otherwise(v * v - off * off))))])
-
-    def finish(s: Column, q: Column, group: list[int]) -> tuple[Column, Column]:
-        o = [float(offsets.get(x, 0.0)) for x in group]
-        n = len(group)
-        total, square = s - sum(o), q + sum(x * x for x in o)
-        var = (square - total * total / n) / max(1, n - 1)
-        return total / n, F.when(F.abs(var) < 1e-12, 0.0).otherwise(F.greatest(var, F.lit(0.0)))
-
-    ma, va = finish(F.col("sa"), F.col("qa"), a)
-    mb, vb = finish(F.col("sb"), F.col("qb"), b)
-    return sums.select("kmer", ma.alias("ma"), va.alias("va"), mb.alias("mb"), vb.alias("vb")), len(a), len(b)
+def frequencies(counts: DataFrame, coverage: dict[int, float], group_a: list[int], group_b: list[int]) -> DataFrame:
+    """(kmer, a, b, zeros, total): per million of coverage in each group's samples in order, absences, and the sum of counts."""
+    samples = group_a + group_b
+    scale = F.array(*[F.lit(float(coverage.get(s, 1.0))) for s in samples])
+    wide = dense(counts, samples).withColumn("f", F.zip_with("values", scale, lambda c, t: F.when(c > 0, c * 1e6 / t).otherwise(0.0)))
+    zeros, total = F.size(F.filter("values", lambda x: x == 0)), F.aggregate("values", F.lit(0.0), lambda s, x: s + x)
+    return wide.select("kmer", F.slice("f", 1, len(group_a)).alias("a"), F.slice("f", len(group_a) + 1, len(group_b)).alias("b"), zeros.alias("zeros"), total.cast("long").alias("total"))
+
+
+def group_moments(counts: DataFrame, offsets: dict[int, float], group_a: list[int], group_b: list[int]) -> tuple[DataFrame, int, int]:
+    """Per k-mer: mean and sample variance of the normalised values in each group of samples (ma, va, mb, vb), and the group sizes.
+
+    Present values are averaged about their mean by the engine; what a group's absent samples add, their offsets with 0 counts,
+    follows from sums over the group less those over the present ones. Offsets are taken from their mean, so nothing cancels.
+    """
+    samples = group_a + group_b
+    middle = sum(float(offsets.get(x, 0.0)) for x in samples) / max(1, len(samples))
+    o = {x: float(offsets.get(x, 0.0)) - middle for x in samples}
+    off = F.coalesce(*[F.when(F.col("sample_id") == x, F.lit(o[x])) for x in samples]) if samples else F.lit(0.0)
+    groups = {"a": group_a, "b": group_b}
+    aggs = []
+    for g, ids in groups.items():
+        here = F.col("sample_id").isin(ids)
+        v = F.when(here, F.log(F.col("cnt") + 1) - off)
+        aggs += [F.count(v).alias("n" + g), F.avg(v).alias("m" + g), F.var_pop(v).alias("q" + g), F.sum(F.when(here, off)).alias("o" + g), F.sum(F.when(here, off * off)).alias("s" + g)]
+    present = counts.groupBy("kmer").agg(*aggs)
+
+    def finish(g: str, ids: list[int]) -> tuple[Column, Column]:
+        size = float(len(ids))
+        get = lambda c: F.coalesce(F.col(c + g), F.lit(0.0))
+        n, m, q = get("n"), get("m"), get("q")
+        absent = size - n
+        lost = F.when(absent > 0, -(sum(o[x] for x in ids) - get("o")) / absent).otherwise(0.0)
+        spread = F.when(absent > 0, F.greatest(F.lit(0.0), sum(o[x] ** 2 for x in ids) - get("s") - absent * lost * lost)).otherwise(0.0)
+        mean = (n * m + absent * lost) / size
+        var = (n * q + spread + (m - lost) * (m - lost) * n * absent / size) / max(1.0, size - 1)
+        return mean - middle, F.when(var < 1e-12, 0.0).otherwise(var)
+
+    none = (F.lit(None).cast("double"),) * 2
+    (ma, va), (mb, vb) = (finish(g, ids) if ids else none for g, ids in groups.items())
+    return present.select("kmer", ma.alias("ma"), va.alias("va"), mb.alias("mb"), vb.alias("vb")), len(group_a), len(group_b)
+
+
+_PRODUCTS = T.StructType([T.StructField("sa", T.IntegerType()), T.StructField("sb", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("c", T.DoubleType())])
+
+
+def sample_products(vectors: DataFrame, samples: list[int]) -> DataFrame:
+    """(sa, sb, n, c), sa <= sb: sums over all rows of products of two samples' deviations from their means.
+
+    ``values`` holds one value per sample in order. A block of rows is one matrix product; a task keeps one number per pair of samples and
+    only those are shuffled.
+    """
+    dim = len(samples)
+    mean = np.zeros(dim)
+    for pos, m in vectors.select(F.posexplode("values").alias("pos", "v")).groupBy("pos").agg(F.avg("v")).collect():  # a row per sample
+        mean[pos] = m
+    left, right = np.triu_indices(dim)
+    ids = np.asarray(samples, dtype=np.int32)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((dim, dim)), 0
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) - mean
+            total += x.T @ x
+            n += len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(ids[right]), pa.array(np.full(len(left), n)), pa.array(total[left, right])], names=_PRODUCTS.names)
+
+    parts = vectors.select("values").mapInArrow(products, _PRODUCTS)
+    return parts.groupBy("sa", "sb").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+
+
+def correlations(products: DataFrame) -> DataFrame:
+    """(sa, sb, n, cov, r) of every two different samples from :func:`sample_products`; r is null where a sample has no variance."""
+    own = products.where("sa = sb")
+    a, b = own.select("sa", F.col("c").alias("ca")), own.select("sb", F.col("c").alias("cb"))
+    met = products.where("sa < sb").join(F.broadcast(a), "sa").join(F.broadcast(b), "sb")  # a row per sample
+    return met.select("sa", "sb", "n", (F.col("c") / (F.col("n") - 1)).alias("cov"), (F.col("c") / F.nullif(F.sqrt(F.col("ca") * F.col("cb")), F.lit(0.0))).alias("r"))
 
 
 def classify(left: Column, right: Column, p: float) -> Column:

@@ -52,5 +52,29 @@ def sign_count(values: Column, centre: float) -> tuple[Column, Column]:
     return F.size(F.filter(values, lambda x: x > centre)).cast("long"), F.size(F.filter(values, lambda x: x != centre)).cast("long")
 
 
+def signed_rank_z(values: Column, centre: float) -> Column:
+    """|W+| from its mean in standard deviations, with tie and continuity corrections; 0 where every value is ``centre``."""
+    d = F.filter(F.transform(values, lambda x: F.abs(x - centre)), lambda x: x != 0)
+    m = F.size(d).cast("double")
+    shift = signed_rank(values, centre) - m * (m + 1) / 4
+    sigma = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - tie_term(d) / 48)
+    return F.when(m > 0, F.greatest(F.lit(0.0), F.abs(shift) - 0.5) / sigma).otherwise(0.0)
+
+
+def signed_rank_p(z: Column) -> Column:
+    """p of both sides by the normal approximation; ``z`` from :func:`signed_rank_z`, as a column of its own."""
+    return F.least(F.lit(1.0), 2 * stats.normal_cdf(-z))
+
+
+def sign_p(above: Column, n: Column) -> Column:
+    """p of both sides of a sign test: ``above`` of ``n`` fair coins, exact."""
+    return F.least(F.lit(1.0), 2 * F.least(stats.binomial_cdf(above, n), 1 - stats.binomial_cdf(above - 1, n)))
+
+
 def jarque_bera(n: Column, skew: Column, excess: Column) -> Column:
     return n / 6.0 * (skew * skew + excess * excess / 4.0)
+
+
+def jarque_bera_p(jb: Column) -> Column:
+    """The limit for many values: chi-square with two degrees of freedom."""
+    return F.exp(-jb / 2)

@@ -94,11 +94,9 @@ class Pipeline:
         """The variant without clusters: each k-mer's frequencies per million, present in enough samples, by the rank test;
         (kmer, grp, large). Group ids decide the order of values, A first."""
         counts = self.table("counts")
-        total = {r[0]: r[1] for r in counts.groupBy("sample_id").agg(F.sum("cnt")).collect()}  # a row per sample
-        scale = F.array(*[F.lit(float(total.get(s, 1))) for s in self.samples])
-        dense = M.dense(counts, self.samples).withColumn("f", F.zip_with("values", scale, lambda c, t: c * 1e6 / t))
+        coverage = {r["sample_id"]: r["coverage"] for r in C.sample_stats(counts).collect()}  # a row per sample
         n = len(self.samples)
-        wide = dense.select("kmer", F.slice("f", 1, self.n1).alias("a"), F.slice("f", self.n1 + 1, self.n2).alias("b"), F.size(F.filter("values", lambda x: x == 0)).alias("zeros"), F.aggregate("values", F.lit(0.0), lambda s, x: s + x).alias("total"))
+        wide = M.frequencies(counts, coverage, self.samples[: self.n1], self.samples[self.n1 :])
         tested = R.mann_whitney(wide.where(F.col("zeros") < 0.7 * n), self.n1, self.n2)
         return self._write(tested.select("kmer", M.classify(F.col("p_left"), F.col("p_right"), self.params.p_value).alias("grp"), (F.col("total") > 2 * n).alias("large")), "per_feature")
 

@@ -33,7 +33,7 @@ _CANON = "least(w, reverse(translate(w, 'ACGT', 'TGCA')))"
 _C1 = f"{_READS}, {_WINDOWS}, c1 AS MATERIALIZED (SELECT sample_id, {_CANON} AS kmer, least(count(*), 65535) AS cnt FROM windows GROUP BY ALL)"
 _C2 = f"{_C1}, c2 AS MATERIALIZED (SELECT * FROM c1 WHERE cnt >= 2), samples AS (SELECT DISTINCT sample_id FROM reads), feats AS (SELECT DISTINCT kmer FROM c2)"
 _STATS = f"{_C2}, st AS MATERIALIZED (SELECT sample_id, sum(ln(cnt)) AS coverage, (SELECT count(*) FROM feats) AS n_features, CAST(sum(cnt) AS BIGINT) AS total FROM c2 GROUP BY sample_id)"
-_DENSE = f"{_STATS}, dense AS MATERIALIZED (SELECT kmer, sample_id, coalesce(cnt, 0) AS cnt, ln(coalesce(cnt, 0) + 1) - coalesce(coverage / n_features, 0) AS v, coalesce(cnt * 1e6 / total, 0) AS freq FROM feats CROSS JOIN samples LEFT JOIN c2 USING (kmer, sample_id) LEFT JOIN st USING (sample_id))"
+_DENSE = f"{_STATS}, dense AS MATERIALIZED (SELECT kmer, sample_id, coalesce(cnt, 0) AS cnt, ln(coalesce(cnt, 0) + 1) - coalesce(coverage / n_features, 0) AS v, coalesce(cnt * 1e6 / coverage, 0) AS freq FROM feats CROSS JOIN samples LEFT JOIN c2 USING (kmer, sample_id) LEFT JOIN st USING (sample_id))"
 _MOMENTS = f"{_DENSE}, mo AS (SELECT kmer, avg(v) FILTER (sample_id < 10) AS ma, avg(v) FILTER (sample_id >= 10) AS mb, var_samp(v) FILTER (sample_id < 10) AS va, var_samp(v) FILTER (sample_id >= 10) AS vb, count(*) FILTER (sample_id < 10) AS na, count(*) FILTER (sample_id >= 10) AS nb FROM dense GROUP BY kmer)"
 _T18 = "(0.5 + 0.5 * sin(atan(t / sqrt(18.0))) * " + "".join(f"(1.0 + {j - 1}.0 / {j}.0 * (18.0 / (18.0 + t * t)) * " for j in range(2, 17, 2)) + "1.0" + ")" * 8 + ")"
 _TTEST = f"{_MOMENTS}, tt AS (SELECT *, (ma - mb) / sqrt((9 * va + 9 * vb) / 18 * 0.2) AS t FROM mo), tp AS (SELECT *, {_T18} AS p_left FROM tt)"
@@ -104,20 +104,19 @@ def _long(spark: SparkSession, d: str) -> DataFrame:
 
 def _moments(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
     samples, counts = _samples(spark, d), _kept(_counts(spark, d))
-    return M.group_moments(counts, _offsets(counts), samples)
+    return M.group_moments(counts, _offsets(counts), *_groups(samples))
+
+
+def _groups(samples: list[int]) -> tuple[list[int], list[int]]:
+    return [x for x in samples if x < tables.GROUP_A], [x for x in samples if x >= tables.GROUP_A]
 
 
 def _frequencies(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
     """(kmer, a, b, zeros, total): frequencies per million of each group's samples."""
     samples, counts = _samples(spark, d), _kept(_counts(spark, d))
-    total = {r[0]: r[1] for r in counts.groupBy("sample_id").agg(F.sum("cnt")).collect()}  # a row per sample
-    scale = F.array(*[F.lit(float(total.get(s, 1))) for s in samples])
-    n1 = sum(s < tables.GROUP_A for s in samples)
-    dense = M.dense(counts, samples).withColumn("f", F.zip_with("values", scale, lambda c, t: c * 1e6 / t))
-    return dense.select(
-        "kmer", F.slice("f", 1, n1).alias("a"), F.slice("f", n1 + 1, len(samples) - n1).alias("b"),
-        F.size(F.filter("values", lambda x: x == 0)).alias("zeros"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).cast("long").alias("total"),
-    ), n1, len(samples) - n1
+    coverage = {r["sample_id"]: r["coverage"] for r in C.sample_stats(counts).collect()}  # a row per sample
+    a, b = _groups(samples)
+    return M.frequencies(counts, coverage, a, b), len(a), len(b)
 
 
 def _embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -337,6 +336,37 @@ def welch_stat(spark, d):
     return _text(m, r6(t, "t"), r6(df, "df"))
 
 
+def _simpson(f: Callable[[str], str], high: str, steps: int = 1600) -> str:
+    """SQL of the integral of ``f`` from 0 to ``high``."""
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(list_sum(list_transform(range(0, {steps + 1}), lambda i: ({weight}) * ({f(f'(i * ({high}) / {steps}.0)')}))) * ({high}) / {3 * steps}.0)"
+
+
+def _beta_sql(a: str, b: str, x: str, steps: int = 1600) -> str:
+    """SQL of the regularised incomplete beta function as an integral over an angle."""
+    f = lambda y: f"power(sin({y}), 2 * ({a}) - 1) * power(cos({y}), 2 * ({b}) - 1)"
+    return f"({_simpson(f, f'asin(sqrt({x}))', steps)} / {_simpson(f, 'pi() / 2', steps)})"
+
+
+_T_BOTH = lambda t, df, steps=1600: _beta_sql(f"({df}) / 2.0", "0.5", f"({df}) / (({df}) + ({t}) * ({t}))", steps)
+_NORMAL = lambda z: f"(0.5 + sign({z}) * {_simpson(lambda y: f'exp(-{y} * {y} / 2)', f'abs({z})')} / sqrt(2 * pi()))"
+
+
+@query(f"WITH {_MOMENTS}, f AS (SELECT kmer, va / vb AS f, (na - 1) * va / ((na - 1) * va + (nb - 1) * vb) AS x, (na - 1) / 2.0 AS a, (nb - 1) / 2.0 AS b FROM mo WHERE va > 1e-12 AND vb > 1e-12), c AS (SELECT kmer, f, {_beta_sql('a', 'b', 'x')} AS c FROM f) SELECT kmer, {_R('f')} AS f, {_R('2 * least(c, 1 - c)')} AS p_both FROM c")
+def ftest_p(spark, d):
+    m, n1, n2 = _moments(spark, d)
+    f = m.where("va > 0 AND vb > 0").select("kmer", (F.col("va") / F.col("vb")).alias("f"))
+    return _text(f, r6(F.col("f"), "f"), r6(stats.two_sided(stats.f_cdf(F.col("f"), F.lit(n1 - 1.0), F.lit(n2 - 1.0))), "p_both"))
+
+
+@query(f"WITH {_MOMENTS}, w AS (SELECT kmer, (ma - mb) / sqrt(va / na + vb / nb) AS t, power(va / na + vb / nb, 2) / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1)) AS df FROM mo WHERE va + vb > 1e-11) SELECT kmer, {_R('t')} AS t, {_R(_T_BOTH('t', 'df'))} AS p_both FROM w")
+def welch_p(spark, d):
+    m, n1, n2 = _moments(spark, d)
+    t, df = stats.welch(n1, F.col("ma"), F.col("va"), n2, F.col("mb"), F.col("vb"))
+    w = m.where("va + vb > 1e-11").select("kmer", t.alias("t"), df.alias("df"))
+    return _text(w, r6(F.col("t"), "t"), r6(stats.two_sided(stats.student_cdf_real(F.col("t"), F.col("df"))), "p_both"))
+
+
 _UTEST = f"""{_DENSE}, u AS (SELECT a.kmer, sum(CASE WHEN a.freq > b.freq THEN 1.0 WHEN a.freq = b.freq THEN 0.5 ELSE 0.0 END) AS u, count(DISTINCT a.sample_id) AS n1, count(DISTINCT b.sample_id) AS n2
   FROM dense a JOIN dense b ON a.kmer = b.kmer AND a.sample_id < 10 AND b.sample_id >= 10 GROUP BY a.kmer),
   ties AS (SELECT kmer, sum(c * c * c - c) AS ties FROM (SELECT kmer, freq, CAST(count(*) AS DOUBLE) AS c FROM dense GROUP BY ALL) GROUP BY kmer),
@@ -349,6 +379,11 @@ def mannwhitney_u(spark, d):
     return _text(R.mann_whitney(*_frequencies(spark, d)), "u", r6(F.col("z"), "z"))
 
 
+@query(f"WITH {_UTEST}, p AS (SELECT kmer, {_NORMAL('z')} AS c FROM z) SELECT kmer, {_R('least(0.25, greatest(0.0001, c))')} AS p_left, {_R('least(0.25, greatest(0.0001, 1 - c))')} AS p_right FROM p")
+def mannwhitney_p(spark, d):
+    return _text(R.mann_whitney(*_frequencies(spark, d)), r6(F.col("p_left"), "p_left"), r6(F.col("p_right"), "p_right"))
+
+
 @query(f"""WITH {_UTEST}, g AS (SELECT kmer, count(*) FILTER (cnt = 0) AS zeros, count(*) AS n, CAST(sum(cnt) AS BIGINT) AS total FROM dense GROUP BY kmer)
   SELECT kmer, CASE WHEN z <= -2.3263478740408408 THEN 'B' WHEN z >= 2.3263478740408408 THEN 'A' END AS grp, total > 2 * n AS large FROM z JOIN g USING (kmer) WHERE zeros < 0.7 * n""")
 def per_feature_variant(spark, d):
@@ -364,6 +399,13 @@ def one_sample_t(spark, d):
     return _text(o, r6((F.col("m") + 0.5) / (F.col("s") / F.sqrt("n")), "t"))
 
 
+@query(f"WITH {_DENSE}, o AS (SELECT kmer, avg(v) AS m, stddev_samp(v) AS s, count(*) AS n FROM dense GROUP BY kmer), t AS (SELECT kmer, n, (m + 0.5) / (s / sqrt(n)) AS t FROM o WHERE s > 1e-9) SELECT kmer, {_R(_T_BOTH('t', '(n - 1)'))} AS p_both FROM t")
+def one_sample_t_p(spark, d):
+    o = _long(spark, d).groupBy("kmer").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"), F.count("*").alias("n")).where("s > 1e-9")
+    t = o.select("kmer", ((F.col("m") + 0.5) / (F.col("s") / F.sqrt("n"))).alias("t"), (F.col("n") - 1.0).alias("df"))
+    return _text(t, r6(stats.two_sided(stats.student_cdf_real(F.col("t"), F.col("df"))), "p_both"))
+
+
 def _integers(spark, d):
     return M.dense(_counts(spark, d), _samples(spark, d))
 
@@ -380,6 +422,23 @@ def sign_test(spark, d):
     return _text(_integers(spark, d), above.alias("above"), n.alias("n"))
 
 
+@query(f"""WITH {_DENSE}, x AS (SELECT kmer, CAST(cnt AS DOUBLE) - 4 AS x FROM dense WHERE cnt <> 4), k AS (SELECT kmer, x, CAST(count(*) OVER (PARTITION BY kmer, abs(x)) AS DOUBLE) AS c, rank() OVER o + (count(*) OVER (PARTITION BY kmer, abs(x)) - 1) / 2.0 AS r FROM x WINDOW o AS (PARTITION BY kmer ORDER BY abs(x))),
+  s AS (SELECT kmer, CAST(count(*) AS DOUBLE) AS m, coalesce(sum(r) FILTER (x > 0), 0) AS w, sum(c * c - 1) AS ties FROM k GROUP BY kmer),
+  z AS (SELECT kmer, greatest(0.0, abs(w - m * (m + 1) / 4) - 0.5) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48) AS z FROM s)
+  SELECT kmer, {_R(f"coalesce(least(1.0, 2 * (1 - {_NORMAL('z')})), 1.0)")} AS p_both FROM feats LEFT JOIN z USING (kmer)""")
+def signed_rank_p(spark, d):
+    z = _kept(_integers(spark, d).select("kmer", R.signed_rank_z(F.col("values"), 4.0).alias("z")))  # a Python function over an aggregate isn't extracted
+    return _text(z, r6(R.signed_rank_p(F.col("z")), "p_both"))
+
+
+_TAIL = lambda k: f"coalesce(list_sum(list_transform(range(0, {k} + 1), lambda i: CAST(factorial(CAST(n AS INT)) AS DOUBLE) / factorial(CAST(i AS INT)) / factorial(CAST(n - i AS INT)))), 0) / power(2.0, n)"
+
+
+@query(f"WITH {_DENSE}, s AS (SELECT kmer, count(*) FILTER (cnt > 4) AS k, count(*) FILTER (cnt <> 4) AS n FROM dense GROUP BY kmer) SELECT kmer, {_R(f'least(1.0, 2 * least({_TAIL("k")}, 1 - {_TAIL("(k - 1)")}))')} AS p_both FROM s")
+def sign_test_p(spark, d):
+    return _text(_integers(spark, d), r6(R.sign_p(*R.sign_count(F.col("values"), 4.0)), "p_both"))
+
+
 _POP = f"{_DENSE}, mu AS (SELECT sample_id, avg(v) AS m FROM dense GROUP BY sample_id), cm AS (SELECT sample_id, count(*) AS n, any_value(m) AS m, avg(power(v - m, 2)) AS m2, avg(power(v - m, 3)) AS m3, avg(power(v - m, 4)) AS m4, avg(abs(v - m)) AS adev FROM dense JOIN mu USING (sample_id) GROUP BY sample_id)"
 
 
@@ -400,6 +459,12 @@ def jarque_bera(spark, d):
     return _sample_moments(spark, d).select("sample_id", r6(R.jarque_bera(F.col("n"), F.col("skew"), F.col("kurt")), "jb"))
 
 
+@query(f"WITH {_POP} SELECT sample_id, {_R('exp(-(n / 12.0 * (power(m3 / power(m2, 1.5), 2) + power(m4 / (m2 * m2) - 3, 2) / 4)))')} AS p FROM cm")
+def jarque_bera_p(spark, d):
+    jb = _sample_moments(spark, d).select("sample_id", R.jarque_bera(F.col("n"), F.col("skew"), F.col("kurt")).alias("jb"))
+    return jb.select("sample_id", r6(R.jarque_bera_p(F.col("jb")), "p"))
+
+
 @query(f"WITH {_DENSE} SELECT sample_id, {_R('quantile_cont(v, 0.5)')} AS median, {_R('quantile_cont(v, 0.1)')} AS p10, {_R('quantile_cont(v, 0.9)')} AS p90 FROM dense GROUP BY sample_id")
 def percentiles(spark, d):
     p = lambda q, n: r6(F.expr(f"percentile(v, {q})"), n)
@@ -407,18 +472,15 @@ def percentiles(spark, d):
 
 
 def _sample_pairs(spark, d, value="v"):
-    """Values of every two samples of one k-mer, as columns: the matrix forms of covariance and correlation."""
-    long = _long(spark, d)
-    if value != "v":
-        # mean ranks over the distinct values of a sample: counts saturate, so these are at most 65 536
-        each = long.groupBy("sample_id", "v").agg(F.count("*").alias("c"))
-        w = Window.partitionBy("sample_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        ranks = each.select("sample_id", "v", (F.sum("c").over(w) - (F.col("c") - 1) / 2.0).alias("rank"))
-        long = long.join(ranks, ["sample_id", "v"]).select("kmer", "sample_id", F.col("rank").alias("v"))
-    both = F.array_sort(F.collect_list(F.struct("sample_id", "v")))
-    rows = long.groupBy("kmer").agg(both.alias("x"))  # a list of the samples
-    pair = rows.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).where("a.sample_id < b.sample_id")
-    return pair.select(F.col("a.sample_id").alias("sa"), F.col("b.sample_id").alias("sb"), F.col("a.v").alias("x"), F.col("b.v").alias("y")).groupBy("sa", "sb")
+    """Covariance and correlation of every two samples."""
+    if value == "v":
+        return M.correlations(M.sample_products(*_vectors(spark, d)))
+    samples, long = _samples(spark, d), _long(spark, d)
+    # mean ranks over the distinct values of a sample: counts saturate, so these are at most 65 536
+    each = long.groupBy("sample_id", "v").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("sample_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = each.select("sample_id", "v", (F.sum("c").over(w) - (F.col("c") - 1) / 2.0).alias("rank"))
+    return M.correlations(M.sample_products(M.dense(long.join(ranks, ["sample_id", "v"]), samples, "rank"), samples))
 
 
 _PAIR = "FROM {0} a JOIN {0} b ON a.kmer = b.kmer AND a.sample_id < b.sample_id GROUP BY a.sample_id, b.sample_id"
@@ -426,23 +488,35 @@ _PAIR = "FROM {0} a JOIN {0} b ON a.kmer = b.kmer AND a.sample_id < b.sample_id
 
 @query(f"WITH {_DENSE} SELECT a.sample_id AS sa, b.sample_id AS sb, {_R('corr(a.v, b.v)')} AS r {_PAIR.format('dense')}")
 def corr_pearson(spark, d):
-    return _sample_pairs(spark, d).agg(r6(F.corr("x", "y"), "r"))
+    return _sample_pairs(spark, d).select("sa", "sb", r6(F.col("r"), "r"))
 
 
 @query(f"WITH {_DENSE}, r AS (SELECT a.sample_id AS sa, b.sample_id AS sb, corr(a.v, b.v) AS r, count(*) AS n {_PAIR.format('dense')}) SELECT sa, sb, round(r * sqrt((n - 2) / (1 - r * r)), 4) + 0.0 AS t FROM r")
 def corr_significance(spark, d):
-    both = _sample_pairs(spark, d).agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
-    return both.select("sa", "sb", (F.round(stats.corr_t(F.col("r"), F.col("n")), 4) + 0.0).alias("t"))
+    return _sample_pairs(spark, d).select("sa", "sb", (F.round(stats.corr_t(F.col("r"), F.col("n")), 4) + 0.0).alias("t"))
+
+
+@query(f"WITH {_DENSE}, r AS (SELECT a.sample_id AS sa, b.sample_id AS sb, corr(a.v, b.v) AS r, count(*) AS n {_PAIR.format('dense')}), t AS (SELECT sa, sb, n, r * sqrt((n - 2) / (1 - r * r)) AS t FROM r) SELECT sa, sb, {_R(_T_BOTH('t', '(n - 2)', 20000))} AS p_both FROM t")
+def corr_p(spark, d):
+    t = _sample_pairs(spark, d).select("sa", "sb", stats.corr_t(F.col("r"), F.col("n")).alias("t"), (F.col("n") - 2.0).alias("df"))
+    return t.select("sa", "sb", r6(stats.two_sided(stats.student_cdf_real(F.col("t"), F.col("df"))), "p_both"))
 
 
 @query(f"WITH {_DENSE} SELECT a.sample_id AS sa, b.sample_id AS sb, {_R('covar_samp(a.v, b.v)')} AS c {_PAIR.format('dense')}")
 def cov(spark, d):
-    return _sample_pairs(spark, d).agg(r6(F.covar_samp("x", "y"), "c"))
+    return _sample_pairs(spark, d).select("sa", "sb", r6(F.col("cov"), "c"))
+
+
+@query(f"WITH {_DENSE} SELECT a.sample_id AS sa, b.sample_id AS sb, {_R('covar_samp(a.v, b.v)')} AS c, {_R('corr(a.v, b.v)')} AS r {_PAIR.format('dense').replace('a.sample_id < b.sample_id', 'a.sample_id < 10 AND b.sample_id >= 10')}")
+def cross_cov(spark, d):
+    """Covariance and correlation between the samples of the two groups."""
+    across = _sample_pairs(spark, d).where((F.col("sa") < tables.GROUP_A) & (F.col("sb") >= tables.GROUP_A))
+    return across.select("sa", "sb", r6(F.col("cov"), "c"), r6(F.col("r"), "r"))
 
 
 @query(f"WITH {_DENSE}, rk AS MATERIALIZED (SELECT kmer, sample_id, rank() OVER (PARTITION BY sample_id ORDER BY cnt) + (count(*) OVER (PARTITION BY sample_id, cnt) - 1) / 2.0 AS v FROM dense) SELECT a.sample_id AS sa, b.sample_id AS sb, {_R('corr(a.v, b.v)')} AS r {_PAIR.format('rk')}")
 def corr_spearman(spark, d):
-    return _sample_pairs(spark, d, "rank").agg(r6(F.corr("x", "y"), "r"))
+    return _sample_pairs(spark, d, "rank").select("sa", "sb", r6(F.col("r"), "r"))
 
 
 # --- vectors, keys, pairs ---------------------------------------------------------------------------------------------

@@ -202,3 +202,26 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
     q.stop()
     rows = lambda df: sorted(tuple(r) for r in df.select("sample_id", "kmer", "cnt").collect())
     assert rows(spark.table("streamed")) == rows(C.count_kmers(reads, 5, min_count=1))
+
+
+def test_moments_of_given_groups_and_products_of_samples(spark):
+    """Groups in any order of sample ids, absent samples, nearly equal large values; against numpy."""
+    rng = np.random.default_rng(3)
+    samples, a, b = [3, 7, 12, 20, 31], [20, 3], [31, 7, 12]
+    cnt = rng.integers(0, 4, (40, 5))
+    cnt[0], cnt[1] = [0, 5, 0, 0, 0], [60000, 60001, 60000, 60001, 60000]
+    cnt[:, 1] = np.maximum(cnt[:, 1], 1)  # each k-mer is somewhere
+    offsets = dict(zip(samples, [5.0, 5.25, 4.5, 6.0, 5.5]))
+    counts = spark.createDataFrame([(s, k, int(cnt[k, j])) for k in range(40) for j, s in enumerate(samples) if cnt[k, j]], "sample_id int, kmer long, cnt long")
+    v = np.log(cnt + 1) - np.array([offsets[s] for s in samples])
+    moments, n1, n2 = M.group_moments(counts, offsets, a, b)
+    assert (n1, n2) == (2, 3)
+    at = {s: j for j, s in enumerate(samples)}
+    for r in moments.collect():
+        for ids, m, var in ((a, r.ma, r.va), (b, r.mb, r.vb)):
+            x = v[r.kmer, [at[s] for s in ids]]
+            assert abs(m - x.mean()) < 1e-12 and abs(var - x.var(ddof=1)) < 1e-12
+    dense = M.dense(counts, samples)
+    got = {(r.sa, r.sb): (r.cov, r.r) for r in M.correlations(M.sample_products(dense, samples)).collect()}
+    cov, corr = np.cov(cnt.T), np.corrcoef(cnt.T)
+    assert len(got) == 10 and all(np.isclose(c, cov[at[s], at[t]]) and np.isclose(r, corr[at[s], at[t]]) for (s, t), (c, r) in got.items())
