@@ -34,8 +34,8 @@ from .decontam_wm import words_of
 
 BUCKETS = 10_000
 MIN_WORDS, PERCENT, SEED = 20, 5, 42
-#: text of a block, and occurrences of features for each part of the dictionary: a worker holds about 15 and 30 bytes for each
-BLOCK_BYTES, PART_FEATURES = 16 * 1024 * 1024, 8_000_000
+#: text of a block, and occurrences of features for each part of the dictionary: a worker holds about 15 and 50 bytes for each
+BLOCK_BYTES, PART_FEATURES = 16 * 1024 * 1024, 5_000_000
 #: distinct features whose strings are hashed between two clearings of Python objects
 CHUNK = 100_000
 
@@ -140,7 +140,7 @@ def dealt(table: DataFrame, parts: int) -> DataFrame:
                     used, at = np.unique(f.grams[:, own], return_inverse=True)
                     local = at.reshape(3, -1) + (used[0] != 0)  # 0 stays none
                     local[0, 1:] = np.diff(local[0])
-                    words = b" ".join(f.words[x - 1] for x in used.tolist() if x)
+                    words = b" ".join(f.words[x - 1] for x in used.tolist() if x)  # in the order of their numbers
                     yield pa.RecordBatch.from_arrays([
                         pa.array([p], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([zstandard.compress(words, 3)], pa.binary()), pa.array([_packed(local.ravel())], pa.binary()), pa.array([_packed(n[own])], pa.binary()),
                     ], names=["part", "block", "words", "grams", "n"])
@@ -158,12 +158,20 @@ class Part:
             to = np.array([0, *map(names.__getitem__, zstandard.decompress(r["words"]).split(b" "))], np.int64)
             local = _unpacked(r["grams"]).astype("<u4").view("<i4").reshape(3, -1)
             local = np.vstack([np.cumsum(local[0]), local[1:]])
-            grams.append(to[local].astype(np.int32))
-            n.append(_unpacked(r["n"]))
+            grams.append(to.astype(np.int32)[local])
+            n.append(_unpacked(r["n"]).astype(np.int32))
             self.sizes.append(local.shape[1])
+            del r["words"], r["grams"], r["n"]
         g, v = np.concatenate(grams, axis=1), len(names) + 1
-        _, pair = np.unique(g[0].astype(np.int64) * v + g[1], return_inverse=True)
-        _, first, self.at = np.unique(pair * v + g[2], return_index=True, return_inverse=True)
+        grams.clear()
+        pair = g[0].astype(np.int64) * v + g[1]
+        if v**3 >= 1 << 63:  # numbers of pairs are smaller than pairs
+            pair = np.unique(pair, return_inverse=True)[1]
+        pair *= v
+        pair += g[2]
+        _, first, self.at = np.unique(pair, return_index=True, return_inverse=True)
+        del pair
+        self.at = self.at.astype(np.int32)
         self.grams, self.names = g[:, first], [b"", *names]
         self.n = np.bincount(self.at, np.concatenate(n)).astype(np.int64)
 
