@@ -30,7 +30,7 @@ from .common import bounded_batches, col, fresh_name
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: stretches that a worker remembers, up to LONG characters each (about 200 bytes on average), and pairs of tokens
-MEMORY_STRETCHES, LONG, MEMORY_PAIRS = 300_000, 64, 1_000_000
+MEMORY_STRETCHES, LONG, MEMORY_PAIRS = 500_000, 64, 1_000_000
 
 
 class PieceCoder:
@@ -41,7 +41,8 @@ class PieceCoder:
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = [i for i in range(m.get_piece_size()) if not (m.is_unknown(i) or m.is_control(i) or m.is_byte(i) or m.is_unused(i))]
         self.piece = {i: m.id_to_piece(i) for i in normal}
-        self.rank = {self.piece[i]: (-m.get_score(i), i) for i in normal}
+        self.id = {p: i for i, p in self.piece.items()}
+        self.rank = {self.piece[i]: -m.get_score(i) for i in normal}
         self.automaton = ahocorasick.Automaton()
         for i, piece in self.piece.items():
             if self.merge(piece) == [i]:  # a piece that merging never reaches is never used
@@ -52,36 +53,47 @@ class PieceCoder:
         self.has_bytes = all(m.is_byte(i) for i in self.bytes)
         over = any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p) for p in self.piece.values())
         self.stretches = re.compile(".+" if over else f"\n+|{SPACE}*[^{SPACE}\n]+|{SPACE}+", re.DOTALL).findall
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.memory: dict[str, bytes] = {}
 
-    def merge(self, text: str) -> list[int]:
-        """Ids after merging the characters of a short text, best pair first, the leftmost of equals; -1 for an unknown character."""
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            score, at = min(((rank[a + b][0], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank), default=(0, -1))
-            if at < 0:
-                break
+    def merge(self, text: str, cut: int = 0) -> list[int] | None:
+        """Ids after merging the characters of a short text, best pair first, the leftmost of equals; -1 for an unknown character.
+        None as soon as a merge goes over the ``cut``-th character's start."""
+        parts, rank, none = list(text), self.rank.get, float("inf")
+        ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
+            if at == cut - 1:
+                return None
+            cut -= at < cut
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [rank[p][1] if p in rank else -1 for p in parts]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], none)
+        return [self.id.get(p, -1) for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= MEMORY_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(self.piece[a] + self.piece[b]) == [a, b]
+        if len(self.pairs) >= MEMORY_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[a << 32 | b] = self.merge(self.piece[a] + self.piece[b], len(self.piece[a])) is not None
         return known
 
     def ids_of(self, text: str) -> list[int]:
         """Ids of a normalised text."""
         last = [-1] * (len(text) + 1)  # the last token of each prefix; -1: an unknown character, which no merge goes over
-        compatible = self.compatible
+        known = self.pairs.get
         for end, (token, n) in self.automaton.iter(text):
-            if last[end + 1] < 0:
-                before = last[end + 1 - n]
-                if before < 0 or compatible(before, token):
-                    last[end + 1] = token
+            end += 1
+            if last[end] < 0:
+                before = last[end - n]
+                if before < 0:
+                    last[end] = token
+                else:
+                    fit = known(before << 32 | token)
+                    if fit or fit is None and self.compatible(before, token):
+                        last[end] = token
         out, at = [], len(text)
         while at:
             token = last[at]
