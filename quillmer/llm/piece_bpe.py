@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, col, fresh_name
+from .common import bounded_batches, col
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -141,15 +141,15 @@ def _with(docs: DataFrame, source: str, out: str, kind: T.DataType, make) -> Dat
     """``docs`` with a column ``out``, in the place of one of that name, that ``make`` gives for the Arrow array of ``source``."""
     bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != out.lower()]
-    given = fresh_name(docs, "given")
-    rows = docs.select(*[col(c) for c in kept], col(source).alias(given))
-    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField(out, kind)])
+    # plain names meanwhile: those of the table may hold dots
+    rows = docs.select(*[col(c).alias(f"c{k}") for k, c in enumerate(kept)], col(source).alias("given"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("made", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], make(batch.columns[-1])], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*kept, out)
 
 
 def encode(docs: DataFrame, *, text_col: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
