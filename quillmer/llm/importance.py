@@ -34,8 +34,8 @@ from .decontam_wm import words_of
 
 BUCKETS = 10_000
 MIN_WORDS, PERCENT, SEED = 20, 5, 42
-#: text of a block, and occurrences of features for each part of the dictionary: a worker holds about 15 and 50 bytes for each
-BLOCK_BYTES, PART_FEATURES = 16 * 1024 * 1024, 5_000_000
+#: text of a block, and occurrences of features for each part of the dictionary: a worker holds about 35 and 60 bytes for each
+BLOCK_BYTES, PART_FEATURES = 8 * 1024 * 1024, 3_000_000
 #: distinct features whose strings are hashed between two clearings of Python objects
 CHUNK = 100_000
 
@@ -101,7 +101,7 @@ class Features:
             self.grams[0, v : v + len(pairs)], self.grams[1, v : v + len(pairs)] = pairs // v + 1, pairs % v + 1
         if len(triples):
             self.grams[:2, v + len(pairs) :], self.grams[2, v + len(pairs) :] = self.grams[:2, v + triples // v], triples % v + 1
-        self.places = ((seq, doc), (at2 + v, doc[two]), (at3 + v + len(pairs), doc[three]))
+        self.places = ((seq, doc), ((at2 + v).astype(np.int32), doc[two]), ((at3 + v + len(pairs)).astype(np.int32), doc[three]))
         self.words = words
 
     def counts(self) -> np.ndarray:
@@ -110,9 +110,13 @@ class Features:
     def parts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Features in the order of their parts, and where each of the ``n`` parts begins in it."""
         h = np.array([0, *(zlib.crc32(w) | 1 << 32 for w in self.words)], np.uint64)
-        a, b, c = self.grams
-        mixed = (h[a] * np.uint64(0x9E3779B97F4A7C15) + h[b] * np.uint64(0xC2B2AE3D27D4EB4F) + h[c] * np.uint64(0x165667B19E3779F9)) >> np.uint64(29)
-        part = (mixed % np.uint64(n)).astype(np.int32)
+        mixed = np.zeros(self.grams.shape[1], np.uint64)
+        for gram, factor in zip(self.grams, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)):
+            mixed += (h * np.uint64(factor))[gram]
+        mixed >>= np.uint64(29)
+        mixed %= np.uint64(n)
+        part = mixed.astype(np.int32)
+        del mixed
         order = np.argsort(part, kind="stable")
         return order, np.searchsorted(part[order], np.arange(n + 1))
 
@@ -178,8 +182,9 @@ class Part:
     def hashes(self) -> np.ndarray:
         """crc32 of each distinct feature's string."""
         begin, more, crc = [zlib.crc32(w) for w in self.names], [b" " + w for w in self.names], zlib.crc32
-        out = []
+        parts = []
         for at in range(0, self.grams.shape[1], CHUNK):
+            out = []
             for x, y, z in zip(*self.grams[:, at : at + CHUNK].tolist()):
                 h = begin[x]
                 if y:
@@ -187,7 +192,8 @@ class Part:
                     if z:
                         h = crc(more[z], h)
                 out.append(h)
-        return np.array(out, np.int64)
+            parts.append(np.array(out, np.int64))
+        return np.concatenate(parts)
 
     def strings(self) -> list[str]:
         return [b" ".join(self.names[x] for x in g if x).decode() for g in self.grams.T.tolist()]

@@ -129,7 +129,7 @@ def test_pieces_of_odd_rows(spark, odd, empty, library):
     for r in back:
         assert r["ids"] == library.encode(r["text"] or "") and r["again"] == (r["text"] or "") and r["given"] == 3
     assert piece_bpe.report(empty).count() == 0
-    assert piece_bpe.decode(spark.createDataFrame([(None,), ([],)], "ids array<int>")).collect() == [("",), ("",)]
+    assert piece_bpe.decode(spark.createDataFrame([(None,), ([],)], "ids array<int>")).select("text").collect() == [("",), ("",)]
 
 
 def mined(rows, k=5, low=80, high=100):
