@@ -72,45 +72,94 @@ def kmers(seq: Column, k: int) -> Column:
     return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
+#: bases that kernels take at once: their arrays take about 60 bytes for each
+GROUP_BASES = 1 << 20
+#: between sequences: no byte of UTF-8 text
+_SEP = 255
+
+
+def groups(*columns: list, bases: int = GROUP_BASES) -> Iterator[tuple]:
+    """Cut parallel lists, sequences last, into groups of about ``bases``; null and empty sequences go."""
+    held, size = [], 0
+    for row in zip(*columns):
+        if row[-1]:
+            held.append(row)
+            size += len(row[-1])
+            if size >= bases:
+                yield tuple(map(list, zip(*held)))
+                held, size = [], 0
+    if held:
+        yield tuple(map(list, zip(*held)))
+
+
+def joined(seqs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all sequences, a separator after each; where each begins; how long each is."""
+    parts = [s.encode() for s in seqs]
+    n = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.frombuffer(b"\xff".join(parts), np.uint8), np.cumsum(n + 1) - n - 1, n
+
+
+def _rolled(c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Packed forms of all windows of ``k`` codes, forward and as reverse complements, by doubling their length."""
+
+    def both(x, nx: int, y, ny: int):
+        n = len(c) - nx - ny + 1
+        return x[0][:n] << 2 * ny | y[0][nx : nx + n], y[1][nx : nx + n] << 2 * nx | x[1][:n]
+
+    out, size, p, step = None, 0, (c, 3 - c), 1
+    while True:
+        if k & step:
+            out, size = (both(out, size, p, step), size + step) if out else (p, step)
+        if size == k:
+            return out
+        p, step = both(p, step, p, step), 2 * step
+
+
 def pack_windows(seq: bytes | np.ndarray, k: int, invalid: str = "skip", both_strands: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Packed k-mers of all windows and whether each is valid (always, for ``as_a``)."""
+    """Packed k-mers of all windows and whether each is valid; for ``as_a`` all are but those over a separator."""
     raw = np.frombuffer(seq, np.uint8) if isinstance(seq, bytes) else seq
-    code = _CODE[raw] if invalid == "as_a" else _CODE_LOWER[raw]
-    bad = code == 4
-    if invalid == "as_a":
-        code, bad = np.where(bad, 0, code), np.zeros(len(code), bool)
-    n = len(code) - k + 1
-    if n <= 0:
+    if len(raw) < k:
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    c = (code & 3).astype(np.int64)
-    fwd = np.zeros(n, np.int64)
-    rc = np.zeros(n, np.int64)
-    for i in range(k):
-        w = c[i : i + n]
-        fwd = (fwd << 2) | w
-        rc |= (3 - w) << (2 * i)
-    total = np.concatenate([[0], np.cumsum(bad)])
+    code = _CODE[raw] if invalid == "as_a" else _CODE_LOWER[raw]
+    bad = raw == _SEP if invalid == "as_a" else code == 4
+    fwd, rc = _rolled(np.where(code == 4, 0, code).astype(np.int64), k)
+    total = np.concatenate([[0], np.cumsum(bad, dtype=np.int32)])
     return np.minimum(fwd, rc) if both_strands else fwd, total[k:] == total[:-k]
 
 
+def windows_of(starts: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows that lie in one sequence: their place, the sequence's number and the position in it."""
+    n = np.maximum(lengths - k + 1, 0)
+    which = np.repeat(np.arange(len(n)), n)
+    pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return starts[which] + pos, which, pos
+
+
 def count_in_batches(reads: DataFrame, k: int, *, invalid: str = "skip", both_strands: bool = True) -> DataFrame:
     """(sample_id, kmer, cnt) partial counts: one combined row per k-mer, sample and batch, before any shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            samples = batch.column(0).to_numpy(zero_copy_only=False)
-            by_sample: dict[int, list[np.ndarray]] = {}
-            for sample, seq in zip(samples, batch.column(1).to_pylist()):
-                if seq and sample == sample:
-                    kmer, ok = pack_windows(seq.encode(), k, invalid, both_strands)
-                    by_sample.setdefault(int(sample), []).append(kmer[ok])
+            by_sample: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for samples, seqs in groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                order = np.argsort(samples, kind="stable")
+                bounds = np.flatnonzero(np.diff(np.array(samples)[order], prepend=-(1 << 40)))
+                for x, y in zip(bounds, np.append(bounds[1:], len(order))):
+                    kmer, ok = pack_windows(joined([seqs[i] for i in order[x:y]])[0], k, invalid, both_strands)
+                    by_sample.setdefault(samples[order[x]], []).append(np.unique(kmer[ok], return_counts=True))
             for sample, parts in by_sample.items():
-                kmer, cnt = np.unique(np.concatenate(parts), return_counts=True)
+                kmer, cnt = parts[0] if len(parts) == 1 else added(*(np.concatenate(x) for x in zip(*parts)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kmer), sample, np.int32)), pa.array(kmer), pa.array(cnt.astype(np.int64))], names=COUNTS.names)
 
     return reads.select("sample_id", "seq").where("sample_id is not null").mapInArrow(count, COUNTS)
 
 
+def added(kmer: np.ndarray, cnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct k-mers and their summed counts."""
+    distinct, at = np.unique(kmer, return_inverse=True)
+    return distinct, np.bincount(at, cnt, len(distinct)).astype(np.int64)
+
+
 def signature(m: int, kmer: Column) -> Column:
     """Smallest normalised m-mer of a k-mer: the smaller of an m-mer and its reverse complement, of those that are allowed.
 
@@ -144,15 +193,42 @@ def signature_table(m: int) -> np.ndarray:
     return np.minimum(value(x), value(rev))
 
 
-def signature_runs(seq: bytes, k: int, m: int, table: np.ndarray, invalid: str = "skip") -> Iterator[tuple[int, int, int]]:
-    """(start, length, signature) of the runs of neighbouring valid k-mers with one signature."""
+def _lowest(x: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of each ``w`` neighbours, by doubling."""
+    step = 1
+    while 2 * step <= w:
+        x, step = np.minimum(x[:-step], x[step:]), 2 * step
+    return np.minimum(x[: len(x) - (w - step)], x[w - step :]) if w > step else x
+
+
+def signature_runs(seq: bytes | np.ndarray, k: int, m: int, table: np.ndarray, invalid: str = "skip") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, signature) of the runs of neighbouring valid k-mers with one signature; sequences may be joined."""
     part, fine = pack_windows(seq, m, invalid, both_strands=False)
     _, ok = pack_windows(seq, k, invalid)
     if not len(ok):
-        return
-    low = np.lib.stride_tricks.sliding_window_view(np.where(fine, table[part], 4**m), k - m + 1).min(1)
-    new = np.append(True, (low[1:] != low[:-1]) | (ok[1:] != ok[:-1]))
-    starts = np.flatnonzero(new)
-    for a, b in zip(starts.tolist(), np.append(starts[1:], len(ok)).tolist()):
-        if ok[a]:
-            yield a, b - a + k - 1, int(low[a])
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = _lowest(np.where(fine, table[part], 4**m), k - m + 1)
+    starts = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (ok[1:] != ok[:-1])))
+    n = np.diff(starts, append=len(ok))
+    return starts[ok[starts]], n[ok[starts]], low[starts[ok[starts]]]
+
+
+def two_bits(raw: np.ndarray, start: np.ndarray, length: np.ndarray, first: np.ndarray, end: np.ndarray, invalid: str = "skip") -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``raw`` from ``start`` on, two bits a base, those from ``first[g]`` to ``end[g]`` together in whole bytes; and each group's bytes."""
+    total = np.add.reduceat(length, first)
+    padding = -total % 4
+    extra = np.zeros(len(start), np.int64)
+    extra[end - 1] = padding
+    n = length + extra
+    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    code = (_CODE if invalid == "as_a" else _CODE_LOWER)[raw[np.minimum(at, len(raw) - 1)]] & 3  # what pads is never read
+    return code.reshape(-1, 4) @ np.array([64, 16, 4, 1], np.uint8), (total + padding) // 4
+
+
+def kmers_of_runs(runs: np.ndarray, bases: np.ndarray, k: int) -> np.ndarray:
+    """Packed canonical k-mers of super-k-mers with ``runs`` k-mers each, from their joined bases, two bits each."""
+    code = (bases[:, None] >> np.array([6, 4, 2, 0], np.uint8) & 3).ravel().astype(np.int64)
+    fwd, rc = _rolled(code, k)
+    n = runs + k - 1
+    at = np.repeat(np.cumsum(n) - n - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+    return np.minimum(fwd[at], rc[at])

@@ -2,6 +2,10 @@
 
 Deterministic under any partitioning: planes are seeded, rows of a bucket are walked in id order, and a merged cluster takes
 its smallest id. Membership is a mapping table (feature_id, cluster_id), never an array in a row.
+
+Equal vectors are one weighted row from the start (they would merge at any threshold), so copies never fill a bucket. A bucket above the threshold is
+split by fresh planes, its parts again, and what planes can't part (vectors of one direction) goes in pieces by a hash of
+the id, which meet again in later rounds. So a task never walks more rows of a bucket than the threshold.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import planes
-from ..storage import stored
+from ..storage import discard, materialize, stored
 
 #: oversized buckets (a row each) up to which their table is broadcast
 MAX_BROADCAST_ROWS = 200_000
+#: times that a bucket is split by planes before it goes in pieces
+LEVELS = 3
 
 _MERGED = T.StructType([T.StructField("old_id", T.LongType()), T.StructField("cluster_id", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
 
@@ -86,23 +92,34 @@ def bucket_key(bits: int, dim: int, seed: int) -> Column:
     return key(F.col("values"))
 
 
-def with_buckets(clusters: DataFrame, n: int, dim: int, seed: int, bucket_threshold: int) -> DataFrame:
-    """``clusters`` with bucket and bucket2; a bucket above ``bucket_threshold`` is split by fresh planes."""
+def with_buckets(clusters: DataFrame, n: int, dim: int, seed: int, bucket_threshold: int, temporary: list[str] | None = None) -> DataFrame:
+    """``clusters`` with bucket, of at most about ``bucket_threshold`` rows each; places of tables to discard go to ``temporary``."""
     bits = int(math.log2(n)) if n > 1 else 0
-    keyed = stored(clusters.withColumn("bucket", bucket_key(bits, dim, seed)), "buckets")
-    large = keyed.groupBy("bucket").count().where(F.col("count") > bucket_threshold)
-    most = large.agg(F.max("count"), F.count("*")).first()
-    if most[0] is None:
-        return keyed.withColumn("bucket2", F.lit(0).cast("long"))
-    deepest = int(math.log2(most[0]))
-    split = large.select("bucket", F.floor(F.log2("count")).cast("int").alias("bits2"))
-    split = F.broadcast(split) if most[1] <= MAX_BROADCAST_ROWS else split
-    fine = keyed.join(split, "bucket", "left").withColumn("fine", bucket_key(deepest, dim, seed + 1_000_003))
-    shift = F.expr(f"shiftright(fine, {deepest} - bits2)")
-    return fine.withColumn("bucket2", F.when(F.col("bits2").isNull(), F.lit(0).cast("long")).otherwise(shift)).drop("fine", "bits2")
-
-
-def merge_round(clusters: DataFrame, threshold: float, *, n: int, dim: int, seed: int, bucket_threshold: int) -> DataFrame:
+    keyed = clusters.withColumn("bucket", bucket_key(bits, dim, seed))
+    if n <= bucket_threshold:  # no bucket can be larger
+        return keyed
+    for level in range(1, LEVELS + 2):
+        keyed, path = materialize(keyed, "buckets")
+        if temporary is not None:
+            temporary.append(path)
+        large = keyed.groupBy("bucket").agg(F.count("*").alias("rows")).where(F.col("rows") > bucket_threshold).select("bucket", F.ceil(F.col("rows") / bucket_threshold).alias("parts"))
+        most = large.agg(F.max("parts"), F.count("*")).first()
+        if most[0] is None:
+            break
+        large = F.broadcast(large) if most[1] <= MAX_BROADCAST_ROWS else large
+        deepest = int(math.log2(most[0])) + 1
+        if level <= LEVELS:  # as many planes as the bucket needs, of those of the largest
+            keyed = keyed.withColumn("fine", bucket_key(deepest, dim, seed + level * 1_000_003))
+            part = F.expr(f"shiftright(fine, {deepest - 1} - CAST(floor(log2(parts)) AS INT))")
+        else:
+            keyed, part = keyed.withColumn("fine", F.lit(0)), F.pmod(F.xxhash64("cluster_id"), F.col("parts"))
+        # a clash of these keys only joins two buckets
+        split = F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.lit(level), part))
+        keyed = keyed.join(large, "bucket", "left").withColumn("bucket", split).drop("fine", "parts")
+    return keyed
+
+
+def merge_round(clusters: DataFrame, threshold: float, *, n: int, dim: int, seed: int, bucket_threshold: int, temporary: list[str] | None = None) -> DataFrame:
     """(old_id, cluster_id, values, n): runs of a bucket are walked in sorted partitions; a run may go over Arrow batches."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,40 +137,70 @@ def merge_round(clusters: DataFrame, threshold: float, *, n: int, dim: int, seed
             m = batch.num_rows
             if not m:
                 continue
-            b = np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-            ids, weights = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            values = batch.column(3).flatten().to_numpy().reshape(m, dim)
-            starts = np.flatnonzero(np.append(True, (b[1:] != b[:-1]).any(1)))
+            b, ids, weights = (batch.column(k).to_numpy() for k in (0, 1, 3))
+            values = batch.column(2).flatten().to_numpy().reshape(m, dim)
+            starts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
             out: list[tuple] = []
             for s, e in zip(starts, np.append(starts[1:], m)):
-                if key is not None and tuple(b[s]) != key:
+                if key is not None and b[s] != key:
                     out += rows(held)
                     held = []
-                key = tuple(b[s])
+                key = b[s]
                 held.append((ids[s:e], values[s:e], weights[s:e]))
             if out:
                 yield batch_of(out)
         if held:
             yield batch_of(rows(held))
 
-    keyed = with_buckets(clusters, n, dim, seed, bucket_threshold).select("bucket", "bucket2", "cluster_id", "values", "n")
+    keyed = with_buckets(clusters, n, dim, seed, bucket_threshold, temporary).select("bucket", "cluster_id", "values", "n")
     parts = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "bucket", "bucket2").sortWithinPartitions("bucket", "bucket2", "cluster_id").mapInArrow(walk, _MERGED)
-
-
-def cluster(vectors: DataFrame, dim: int, *, min_similarity: float = 0.8, iterations: int = 100, bucket_threshold: int = 1_000_000, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(clusters, members) of ``vectors`` (cluster_id, values, n). Each round is a stored table."""
-    now = stored(vectors.select("cluster_id", "values", "n"), "clusters")
-    members = now.select(F.col("cluster_id").alias("feature_id"), "cluster_id")
+    return keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "cluster_id").mapInArrow(walk, _MERGED)
+
+
+def equal_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Equal ``vectors`` (cluster_id, values, n) as one row with their smallest id and all their weight; and (old_id, cluster_id) of the others.
+    Vectors that never merge stay alone: zero ones and those with a null or non-finite value."""
+    fit = F.coalesce(F.forall("values", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("values", lambda x: x != 0), F.lit(False))
+    own = vectors.where(fit)
+    grouped = own.groupBy("values").agg(F.min("cluster_id").alias("first"), F.sum("n").alias("n"), F.count("*").alias("rows"))
+    classes = grouped.select(F.col("first").alias("cluster_id"), "values", "n").unionByName(vectors.where(~fit).select("cluster_id", "values", "n"))
+    # one side of the join is unique, so a large class can be split on the other
+    moved = own.select("values", F.col("cluster_id").alias("old_id")).join(grouped.where("rows > 1").select("values", F.col("first").alias("cluster_id")), "values").where("old_id <> cluster_id")
+    return classes, moved.select("old_id", "cluster_id")
+
+
+def resolved(moves: DataFrame) -> DataFrame:
+    """(old_id, cluster_id): where each id has come to at last, from all rounds' moves; an id moves once. Chains halve in each pass."""
+    spark = moves.sparkSession
+    now, path = materialize(moves.select("old_id", "cluster_id"), "moves")
+    while True:
+        up = now.select(F.col("old_id").alias("cluster_id"), F.col("cluster_id").alias("up"))
+        after, new = materialize(now.join(up, "cluster_id", "left").select("old_id", F.coalesce("up", "cluster_id").alias("cluster_id"), F.col("up").isNotNull().alias("moved")), "moves")
+        discard(spark, path)
+        if after.where("moved").isEmpty():
+            return after.select("old_id", "cluster_id")
+        now, path = after, new
+
+
+def cluster(vectors: DataFrame, dim: int, *, min_similarity: float = 0.8, iterations: int = 100, bucket_threshold: int = 20_000, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(clusters, members) of ``vectors`` (cluster_id, values, n). Each round is a stored table, deleted when the next one is written."""
+    spark = vectors.sparkSession
+    start = stored(vectors.select("cluster_id", "values", "n"), "vectors")
+    classes, moved = equal_classes(start)
+    now, path = materialize(classes, "clusters")
+    moves = stored(moved, "moves")
     for i, threshold in enumerate(schedule(min_similarity, iterations)):
         n = now.count()
         if n <= 1:
             break
-        merged = stored(merge_round(now, threshold, n=n, dim=dim, seed=seed + i, bucket_threshold=bucket_threshold), "round")
+        temporary = [path]
+        merged, path = materialize(merge_round(now, threshold, n=n, dim=dim, seed=seed + i, bucket_threshold=bucket_threshold, temporary=temporary), "round")
+        discard(spark, *temporary)
         now = merged.where(F.col("values").isNotNull()).select("cluster_id", "values", "n")
-        moved = merged.select(F.col("old_id").alias("cluster_id"), F.col("cluster_id").alias("new_id"))
-        members = stored(members.join(moved, "cluster_id").select("feature_id", F.col("new_id").alias("cluster_id")), "members")
-    return now, members
+        moves = moves.unionByName(stored(merged.where("old_id <> cluster_id").select("old_id", "cluster_id"), "moves"))
+    ids = start.select(F.col("cluster_id").alias("feature_id"))
+    last = resolved(moves).select(F.col("old_id").alias("feature_id"), "cluster_id")
+    return now, ids.join(last, "feature_id", "left").select("feature_id", F.coalesce("cluster_id", "feature_id").alias("cluster_id"))
 
 
 def consensus(rows: DataFrame, by: str) -> DataFrame:
@@ -162,18 +209,12 @@ def consensus(rows: DataFrame, by: str) -> DataFrame:
     return each.groupBy(by, "pos").agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("value"), F.sum("n").alias("n"))
 
 
-def test_clusters(clusters: DataFrame, n1: int, n2: int, *, p: float = 0.01, size_threshold: int = 500_000) -> DataFrame:
-    """Clusters of more than ``size_threshold`` members, tested on their centroids (first ``n1`` values against the rest)."""
-    from .matrix import ttest
-
-    def moments(part: Column, n: int) -> tuple[Column, Column]:
-        mean = F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / n
-        return mean, part
+def test_clusters(clusters: DataFrame, n1: int, n2: int, *, p: float = 0.01, size_threshold: int = 500_000, test: str = "student") -> DataFrame:
+    """Clusters of more than ``size_threshold`` members, tested on their centroids (first ``n1`` values against the rest) by the
+    ``student``, ``welch``, ``ftest`` or ``mannwhitney`` test."""
+    from .matrix import two_sample
 
-    a, b = F.slice("values", 1, n1), F.slice("values", n1 + 1, n2)
-    means = clusters.where(F.col("n") > size_threshold).select("cluster_id", "n", a.alias("a"), b.alias("b")).withColumns({"ma": moments(F.col("a"), n1)[0], "mb": moments(F.col("b"), n2)[0]})
-    var = lambda v, m, n: F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / max(1, n - 1)
-    return ttest(means.withColumns({"va": var("a", F.col("ma"), n1), "vb": var("b", F.col("mb"), n2)}).drop("a", "b"), n1, n2, p)
+    return two_sample(clusters.where(F.col("n") > size_threshold).select("cluster_id", "n", F.slice("values", 1, n1).alias("a"), F.slice("values", n1 + 1, n2).alias("b")), n1, n2, test, p)
 
 
 def similar_pairs(vectors: DataFrame, table: np.ndarray, threshold: float) -> DataFrame:

@@ -11,17 +11,117 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import seq
-from ..storage import spread, with_dense_ids
+from ..schema import COUNTS
+from ..storage import fresh_path, materialize, spread, stored, with_dense_ids
+
+
+#: k from which k-mers go to their counters as super-k-mers: shorter ones repeat so often that counts of batches are smaller
+PACKED_FROM = 15
+#: length of signatures; bins of them, at least; bytes of scanned input for a further bin
+SIGNATURE, BINS, BIN_BYTES = 9, 128, 64 * 1024 * 1024
+#: k-mers of a bin that one task counts, and that it counts together: about 60 bytes for each
+BIN_KMERS, FLUSH = 4_000_000, 1_000_000
+#: large bins (a row each) up to which their table is broadcast
+MAX_BROADCAST_BINS = 200_000
+
+_PACKED = T.StructType([T.StructField("sample_id", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("runs", T.BinaryType()), T.StructField("bases", T.BinaryType())])
 
 
 def count_kmers(reads: DataFrame, k: int, *, min_count: int = 2, max_count: int = 65535, invalid: str = "skip", both_strands: bool = True) -> DataFrame:
     """(sample_id, kmer, cnt): packed canonical k-mers seen at least ``min_count`` times in a sample, counts saturated.
 
-    Small scans are dealt out first; each batch combines its own counts before the shuffle.
+    Small scans are dealt out first. Short k-mers are combined in each batch before the shuffle, longer ones of both strands go as super-k-mers.
+    """
+    if k >= PACKED_FROM and both_strands:
+        total = count_packed(pack_super_kmers(reads, k, invalid=invalid), k)
+    else:
+        partial = seq.count_in_batches(spread(reads), k, invalid=invalid, both_strands=both_strands)
+        total = partial.groupBy("sample_id", "kmer").agg(F.sum("cnt").alias("cnt"))
+    return total.where(F.col("cnt") >= min_count).withColumn("cnt", F.least("cnt", F.lit(max_count).cast("long")))
+
+
+def pack_super_kmers(reads: DataFrame, k: int, *, m: int = SIGNATURE, bins: int | None = None, invalid: str = "skip") -> DataFrame:
+    """(sample_id, bin, n, runs, bases): the super-k-mers of a batch of reads by bin of their signature, two bits a base.
+
+    All occurrences of a canonical k-mer have one signature and so one bin. ``runs`` has a byte for each super-k-mer, its number of
+    k-mers (longer runs are cut), ``n`` is their sum.
+    """
+    bins = bins or max(BINS, int(str(reads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // BIN_BYTES)
+    bins = min(bins, 4**m // 4)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = seq.signature_table(m)
+        for batch in batches:
+            for samples, seqs in seq.groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw, begin, _ = seq.joined(seqs)
+                start, n, low = seq.signature_runs(raw, k, m, table, invalid)
+                pieces = -(-n // 255)
+                start, n, low = np.repeat(start, pieces), np.repeat(n, pieces), np.repeat(low, pieces)
+                nth = np.arange(len(start)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start, n = start + 255 * nth, np.minimum(255, n - 255 * nth)
+                sample = np.array(samples, np.int64)[np.searchsorted(begin, start, "right") - 1]
+                # a multiplicative hash: neighbouring signatures are unequally frequent
+                group = sample * bins + ((low * 0x9E3779B1 & 0xFFFFFFFF) * bins >> 32)
+                order = np.argsort(group, kind="stable")
+                start, n, group = start[order], n[order], group[order]
+                first = np.flatnonzero(np.diff(group, prepend=-1))
+                if not len(first):
+                    continue
+                ends = np.append(first[1:], len(group))
+                bases, lengths = seq.two_bits(raw, start, n + k - 1, first, ends, invalid)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((group[first] // bins).astype(np.int32)), pa.array((group[first] % bins).astype(np.int32)), pa.array(np.add.reduceat(n, first)),
+                    _binary(n.astype(np.uint8), ends - first), _binary(bases, lengths),
+                ], names=_PACKED.names)
+
+    return spread(reads.select("sample_id", "seq").where("sample_id IS NOT NULL AND seq IS NOT NULL")).mapInArrow(pack, _PACKED)
+
+
+def _binary(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def count_packed(packed: DataFrame, k: int, *, bin_kmers: int = BIN_KMERS) -> DataFrame:
+    """(sample_id, kmer, cnt) of the k-mers of packed super-k-mers, each row's occurrences together.
+
+    A task sorts the k-mers of whole bins, so no k-mer crosses the network by itself. A bin of more than ``bin_kmers`` is dealt out by a hash of its rows,
+    and the counts of its parts are added up.
     """
-    partial = seq.count_in_batches(spread(reads), k, invalid=invalid, both_strands=both_strands)
-    total = partial.groupBy("sample_id", "kmer").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= min_count)
-    return total.withColumn("cnt", F.least("cnt", F.lit(max_count).cast("long")))
+    packed, _ = materialize(packed, "super_kmers")
+    size = packed.groupBy("sample_id", "bin").agg(F.sum("n").alias("n"))
+    large = stored(size.where(F.col("n") > bin_kmers).select("sample_id", "bin", F.ceil(F.col("n") / bin_kmers).cast("int").alias("parts")), "large_bins")
+    n_large = large.count()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, size = [], None, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for sample in sorted({h[0] for h in held}):
+                kmer, cnt = np.unique(np.concatenate([seq.kmers_of_runs(runs, bases, k) for s, runs, bases in held if s == sample]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kmer), sample, np.int32)), pa.array(kmer), pa.array(cnt.astype(np.int64))], names=COUNTS.names)
+
+        for batch in batches:
+            for sample, bin_, part, n, runs, bases in zip(*(c.to_pylist() for c in batch.columns)):
+                if size >= FLUSH and key != (sample, bin_, part):
+                    yield from flush()
+                    held, size = [], 0
+                key, size = (sample, bin_, part), size + n
+                held.append((sample, np.frombuffer(runs, np.uint8).astype(np.int64), np.frombuffer(bases, np.uint8)))
+        if held:
+            yield from flush()
+
+    def counted(rows: DataFrame) -> DataFrame:
+        by = ["sample_id", "bin", "part"]
+        dealt = rows.select(*by, "n", "runs", "bases").repartition(*by).sortWithinPartitions(*by)
+        return dealt.mapInArrow(count, COUNTS)
+
+    if not n_large:
+        return counted(packed.withColumn("part", F.lit(0)))
+    large = F.broadcast(large) if n_large <= MAX_BROADCAST_BINS else large
+    whole = counted(packed.join(large, ["sample_id", "bin"], "left_anti").withColumn("part", F.lit(0)))
+    parts = counted(packed.join(large, ["sample_id", "bin"]).withColumn("part", F.pmod(F.xxhash64("runs", "bases"), F.col("parts")).cast("int")))
+    return whole.unionByName(parts.groupBy("sample_id", "kmer").agg(F.sum("cnt").alias("cnt")))
 
 
 def universe(counts: DataFrame) -> DataFrame:
@@ -50,6 +150,18 @@ def in_range(counts: DataFrame, low: int, high: int) -> DataFrame:
     return counts.where(F.col("cnt").between(low, high))
 
 
+def sorted_store(counts: DataFrame, buckets: int | None = None) -> DataFrame:
+    """``counts`` as a stored table, bucketed and sorted by (sample_id, kmer): a join on both reads it without a shuffle. The
+    table is external, in the folder of this application's tables, and its name is known to this application alone."""
+    spark = counts.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(spark, "sorted")
+    name = "counts_" + path[-32:]
+    by = ["sample_id", "kmer"]
+    counts.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def lookup(queries: DataFrame, counts: DataFrame) -> DataFrame:
     """``queries`` (sample_id, kmer) with cnt (0 where absent) and found."""
     met = queries.join(counts, ["sample_id", "kmer"], "left")
@@ -65,33 +177,37 @@ def _dealt(reads: DataFrame, *columns: str) -> DataFrame:
     return spread(reads.select(*columns).where("seq IS NOT NULL"))
 
 
-def _each(batch: pa.RecordBatch, names: list[str], make) -> Iterator[pa.RecordBatch]:
-    """One batch of rows for each read; ``make`` gives the columns after sample_id and read_no from the sequence."""
-    for sample, read, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
-        rest = make(s.encode())
-        if n := len(rest[0]):
-            yield pa.RecordBatch.from_arrays([pa.array([sample] * n, pa.int32()), pa.array([read] * n, pa.int64()), *rest], names=names)
-
-
 def read_kmers(reads: DataFrame, k: int, invalid: str = "as_a") -> DataFrame:
     """(sample_id, read_no, pos, kmer): packed canonical k-mers of each read; null where a window has another character."""
 
-    def positions(s: bytes) -> list[pa.Array]:
-        kmer, ok = seq.pack_windows(s, k, invalid)
-        return [pa.array(np.arange(len(kmer), dtype=np.int32)), pa.array(kmer, mask=~ok)]
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for samples, reads_, seqs in seq.groups(*(c.to_pylist() for c in batch.columns)):
+                raw, starts, n = seq.joined(seqs)
+                kmer, ok = seq.pack_windows(raw, k, invalid)
+                at, which, pos = seq.windows_of(starts, n, k)
+                yield pa.RecordBatch.from_arrays([pa.array(samples, pa.int32()).take(pa.array(which)), pa.array(reads_, pa.int64()).take(pa.array(which)), pa.array(pos.astype(np.int32)), pa.array(kmer[at], mask=~ok[at])], names=_AT.names)
 
-    return _dealt(reads, "sample_id", "read_no", "seq").mapInArrow(lambda it: (b for batch in it for b in _each(batch, _AT.names, positions)), _AT)
+    return _dealt(reads, "sample_id", "read_no", "seq").mapInArrow(positions, _AT)
 
 
 def read_kmer_counts(reads: DataFrame, k: int, invalid: str = "as_a") -> DataFrame:
     """(sample_id, read_no, kmer, n): each k-mer of a read once, with its number; null for windows with another character."""
 
-    def sums(s: bytes) -> list[pa.Array]:
-        kmer, ok = seq.pack_windows(s, k, invalid)
-        values, n = np.unique(np.where(ok, kmer, -1), return_counts=True)
-        return [pa.array(values, mask=values < 0), pa.array(n.astype(np.int64))]
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for samples, reads_, seqs in seq.groups(*(c.to_pylist() for c in batch.columns)):
+                raw, starts, n = seq.joined(seqs)
+                kmer, ok = seq.pack_windows(raw, k, invalid)
+                at, which, _ = seq.windows_of(starts, n, k)
+                value = np.where(ok[at], kmer[at], -1)
+                order = np.lexsort((value, which))
+                value, which = value[order], which[order]
+                first = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (which[1:] != which[:-1]))[: len(value)])
+                value, which, times = value[first], pa.array(which[first]), np.diff(first, append=len(order))
+                yield pa.RecordBatch.from_arrays([pa.array(samples, pa.int32()).take(which), pa.array(reads_, pa.int64()).take(which), pa.array(value, mask=value < 0), pa.array(times.astype(np.int64))], names=_SUMS.names)
 
-    return _dealt(reads, "sample_id", "read_no", "seq").mapInArrow(lambda it: (b for batch in it for b in _each(batch, _SUMS.names, sums)), _SUMS)
+    return _dealt(reads, "sample_id", "read_no", "seq").mapInArrow(sums, _SUMS)
 
 
 def counters_for_reads(reads: DataFrame, counts: DataFrame, k: int) -> DataFrame:
@@ -107,8 +223,10 @@ def super_kmers(reads: DataFrame, k: int, m: int) -> DataFrame:
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = seq.signature_table(m)
         for batch in batches:
-            out = [(read, *run) for read, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for run in seq.signature_runs(s.encode(), k, m, table)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=_RUNS.names)
+            for reads_, seqs in seq.groups(*(c.to_pylist() for c in batch.columns)):
+                raw, starts, _ = seq.joined(seqs)
+                first, n, low = seq.signature_runs(raw, k, m, table)
+                which = np.searchsorted(starts, first, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(reads_, pa.int64()).take(pa.array(which)), pa.array((first - starts[which]).astype(np.int32)), pa.array(n + k - 1), pa.array(low)], names=_RUNS.names)
 
     return _dealt(reads, "read_no", "seq").mapInArrow(runs, _RUNS)

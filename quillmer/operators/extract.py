@@ -37,13 +37,11 @@ def extract(reads: DataFrame, groups: DataFrame, classes: DataFrame, k: int, vot
     ``groups`` is (sample_id, grp), ``classes`` (kmer, grp), one grp per k-mer. A ratio must be above ``vote``.
     """
     known = reads.join(F.broadcast(groups), "sample_id")  # a row per sample
-    kept = None
-    for g in ("A", "B"):
-        own = known.where(F.col("grp") == g)
-        won = votes(own, classes.where(F.col("grp") == g), k).where(F.col("ratio") > vote).select("sample_id", "read_no")
-        part = own.join(won, ["sample_id", "read_no"], "left_semi")
-        kept = part if kept is None else kept.unionByName(part)
-    return kept
+    each = read_kmer_counts(reads.where(F.length("seq") >= k + 10), k, "as_a").join(F.broadcast(groups), "sample_id")
+    met = each.join(checked(classes.select("kmer", "grp", F.lit(1).alias("hit"))), ["kmer", "grp"], "left")
+    hits = F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0))
+    won = met.groupBy("sample_id", "read_no").agg((hits / F.sum("n")).alias("ratio")).where(F.col("ratio") > vote)
+    return known.join(won.select("sample_id", "read_no"), ["sample_id", "read_no"], "left_semi")
 
 
 def genome_quant(members: DataFrame, features: DataFrame, genome_kmers: DataFrame) -> DataFrame:

@@ -146,3 +146,40 @@ def ttest(moments: DataFrame, n1: int, n2: int, p: float = 0.01) -> DataFrame:
     out = moments.withColumn("t", t)
     both, left, right = stats.tails(F.col("t"), df, F.col("ma"), F.col("mb"))
     return out.withColumns({"p_both": both, "p_left": left, "p_right": right}).withColumn("grp", classify(F.col("p_left"), F.col("p_right"), p))
+
+
+TESTS = ("student", "welch", "ftest", "mannwhitney")
+
+
+def two_sample(df: DataFrame, n1: int, n2: int, test: str = "student", p: float = 0.01) -> DataFrame:
+    """``df`` (a, b arrays of ``n1`` and ``n2`` values), the arrays dropped, with t (the test's statistic), p_left, p_right and grp by the chosen test.
+
+    Left is small where the first group is lower (``ftest``: varies less). Without variance the means alone decide, as in :func:`ttest`;
+    the F test takes equal variances, zero ones too, for p = 1 on both sides.
+    """
+    from .ranks import mann_whitney
+
+    if test not in TESTS:
+        raise ValueError(f"test must be one of {', '.join(TESTS)}")
+    if test == "mannwhitney":
+        ranked = mann_whitney(df, n1, n2)
+        return ranked.withColumn("t", F.col("u")).withColumn("grp", classify(F.col("p_left"), F.col("p_right"), p)).drop("a", "b", "u", "z")
+    mean = lambda v, n: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / max(1, n)
+    var = lambda v, m, n: F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / max(1, n - 1)
+    means = df.withColumns({"ma": mean("a", n1), "mb": mean("b", n2)})
+    moments = means.withColumns({"va": var("a", F.col("ma"), n1), "vb": var("b", F.col("mb"), n2)}).drop("a", "b")
+    if test == "student" or not n1 or not n2:
+        return ttest(moments, n1, n2, p)
+    ma, mb, va, vb = (F.col(c) for c in ("ma", "mb", "va", "vb"))
+    if test == "welch":
+        t, freedom = stats.welch(n1, ma, va, n2, mb, vb)
+        flat, cdf = va + vb <= 0, stats.student_cdf_real(F.col("t"), F.col("df"))
+        out = moments.withColumns({"t": t, "df": freedom})
+        left = F.when(flat, F.when(ma < mb, 0.0).otherwise(1.0)).otherwise(cdf)
+        right = F.when(flat, F.when(ma > mb, 0.0).otherwise(1.0)).otherwise(1 - cdf)
+    else:
+        out = moments.withColumn("t", F.when(vb > 0, va / F.nullif(vb, F.lit(0.0))))
+        cdf = stats.f_cdf(F.col("t"), F.lit(n1 - 1.0), F.lit(n2 - 1.0))
+        left = F.when(vb > 0, cdf).otherwise(1.0)
+        right = F.when(vb > 0, 1 - cdf).when(va > 0, 0.0).otherwise(1.0)
+    return out.withColumns({"p_left": left, "p_right": right}).withColumn("grp", classify(F.col("p_left"), F.col("p_right"), p)).drop("df")

@@ -15,7 +15,7 @@ class Params:
     vote: float = 0.5
     size_threshold: int = 500_000
     ignore_small: int = 5
-    bucket_threshold: int = 1_000_000
+    bucket_threshold: int = 20_000
     rarity: float = 0.1
     invalid: str = "skip"
     test: str = "student"

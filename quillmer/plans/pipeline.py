@@ -64,7 +64,7 @@ class Pipeline:
         p, start = self.params, self.table("vectors")
         members = None
         if p.warm_up_rounds:
-            start, members = clustering.cluster(start, len(self.samples), min_similarity=p.start_similarity, iterations=p.warm_up_rounds, bucket_threshold=100_000, seed=p.seed + 7919)
+            start, members = clustering.cluster(start, len(self.samples), min_similarity=p.start_similarity, iterations=p.warm_up_rounds, bucket_threshold=p.bucket_threshold, seed=p.seed + 7919)
         clusters, moved = clustering.cluster(start, len(self.samples), min_similarity=p.min_similarity, iterations=p.iterations, bucket_threshold=p.bucket_threshold, seed=p.seed)
         if members is not None:
             moved = members.join(moved.select(F.col("feature_id").alias("cluster_id"), F.col("cluster_id").alias("new")), "cluster_id").select("feature_id", F.col("new").alias("cluster_id"))
@@ -74,7 +74,7 @@ class Pipeline:
     def classes(self) -> DataFrame:
         """(kmer, grp) of the clusters that differ; a k-mer in both classes is A's."""
         p = self.params
-        tested = self._write(clustering.test_clusters(self.table("clusters"), self.n1, self.n2, p=p.p_value, size_threshold=p.size_threshold), "tested")
+        tested = self._write(clustering.test_clusters(self.table("clusters"), self.n1, self.n2, p=p.p_value, size_threshold=p.size_threshold, test=p.test), "tested")
         marked = self.table("members").join(tested.where("grp IS NOT NULL").select("cluster_id", "grp"), "cluster_id").join(self.table("features"), "feature_id")
         return self._write(marked.groupBy("kmer").agg(F.min("grp").alias("grp")), "classes")
 

@@ -17,7 +17,8 @@ from .operators import counts as C
 from .operators import extract as X
 from .operators import matrix as M
 from .operators import ranks as R
-from .sources import files, tables
+from .sources import fastx, files, kmerdb, tables
+from .storage import fresh_path
 
 K, SIG = 7, 5
 DIM, PLANES, WIDTH, OFFSET = 64, vectors.planes(8, 64), 0.7, 0.35
@@ -29,6 +30,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 _READS = f"reads AS MATERIALIZED (SELECT CAST(substr(source, 4) AS INT) AS sample_id, doc_id AS read_no, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), '{tables.LETTERS}', '{tables.AS_BASES}') AS seq FROM documents)"
 _WINDOWS = f"windows AS (SELECT sample_id, read_no, i - 1 AS pos, substr(seq, i, {K}) AS w FROM (SELECT *, unnest(range(1, length(seq) - {K - 2})) AS i FROM reads))"
+_LONG = lambda k: f"windows AS (SELECT sample_id, substr(seq, i, {k}) AS w FROM (SELECT *, unnest(range(1, length(seq) - {k - 2})) AS i FROM reads))"
 _CANON = "least(w, reverse(translate(w, 'ACGT', 'TGCA')))"
 _C1 = f"{_READS}, {_WINDOWS}, c1 AS MATERIALIZED (SELECT sample_id, {_CANON} AS kmer, least(count(*), 65535) AS cnt FROM windows GROUP BY ALL)"
 _C2 = f"{_C1}, c2 AS MATERIALIZED (SELECT * FROM c1 WHERE cnt >= 2), samples AS (SELECT DISTINCT sample_id FROM reads), feats AS (SELECT DISTINCT kmer FROM c2)"
@@ -253,12 +255,54 @@ def db_range_filter(spark, d):
     return _text(C.in_range(_counts(spark, d), 3, 20), "sample_id", "cnt")
 
 
-@query(f"WITH {_C2}, q AS (SELECT sample_id + 1 AS sample_id, kmer FROM c2) SELECT q.sample_id, q.kmer, CAST(coalesce(cnt, 0) AS BIGINT) AS cnt, cnt IS NOT NULL AS found FROM q LEFT JOIN c2 USING (sample_id, kmer)")
+@query(f"WITH {_C2}, q AS MATERIALIZED (SELECT sample_id + 1 AS sample_id, kmer FROM c2), met AS (SELECT sample_id, kmer, max(cnt) AS cnt FROM (SELECT sample_id, kmer, NULL AS cnt FROM q UNION ALL SELECT c2.sample_id, kmer, cnt FROM c2 SEMI JOIN q USING (sample_id, kmer)) GROUP BY ALL) SELECT sample_id, kmer, CAST(coalesce(cnt, 0) AS BIGINT) AS cnt, cnt IS NOT NULL AS found FROM met")
 def db_exists(spark, d):
-    counts = _kept(_counts(spark, d))
+    """Point lookups in a stored table that is bucketed and sorted by its key: only what is looked up is shuffled."""
+    counts = C.sorted_store(_counts(spark, d))
     return _text(C.lookup(counts.select((F.col("sample_id") + 1).alias("sample_id"), "kmer"), counts), "sample_id", "cnt", "found")
 
 
+@query(f"WITH {_READS}, {_LONG(23)} SELECT sample_id, {_CANON} AS kmer, CAST(least(count(*), 65535) AS BIGINT) AS cnt FROM windows GROUP BY ALL HAVING count(*) >= 2")
+def kmer_counts_long(spark, d):
+    """k = 23, through super-k-mers."""
+    return C.count_kmers(_reads(spark, d), 23, min_count=2).select(seq.decode(F.col("kmer"), 23).alias("kmer"), "sample_id", "cnt")
+
+
+_DB = f"{_READS}, {_LONG(15)}, db AS (SELECT {_CANON} AS kmer, CAST(least(count(*), 65535) AS BIGINT) AS cnt FROM windows GROUP BY ALL)"
+
+
+def _database(spark, d) -> str:
+    """A k-mer database (k = 15) of all documents in the shared folder."""
+    path = fresh_path(spark, "kmerdb")
+    kmerdb.write_kmerdb(C.count_kmers(_reads(spark, d).withColumn("sample_id", F.lit(0)), 15, min_count=1), path, 15)
+    return path
+
+
+@query(f"WITH {_DB} SELECT kmer, cnt FROM db WHERE cnt BETWEEN 3 AND 200")
+def db_scan(spark, d):
+    """Written as a database and scanned in ranges of its records; the bounds are pushed into the scan."""
+    scan = kmerdb.read_kmerdb(spark, _database(spark, d), records=500_000).where(F.col("cnt").between(3, 200))
+    return scan.select(seq.decode(F.col("kmer"), 15).alias("kmer"), "cnt")
+
+
+@query(f"WITH {_DB} SELECT kmer, cnt FROM db WHERE kmer >= 'CAAAAAAAAAAAAAA' AND kmer < 'CCAAAAAAAAAAAAA'")
+def db_range_scan(spark, d):
+    """The k-mers of a range: only the prefixes in it are read."""
+    low, high = 4**14, 4**14 + 4**13
+    scan = kmerdb.read_kmerdb(spark, _database(spark, d), records=500_000).where((F.col("kmer") >= low) & (F.col("kmer") < high))
+    return scan.select(seq.decode(F.col("kmer"), 15).alias("kmer"), "cnt")
+
+
+@query(f"WITH {_READS} SELECT 'doc' || CAST(read_no AS VARCHAR) AS name, CAST(length(seq) AS BIGINT) AS bases, md5(seq) AS digest, CAST(length(seq) AS BIGINT) AS n_qual FROM reads")
+def fastq_ranges(spark, d):
+    """The documents as FASTQ files, a folder for each sample, read back in byte ranges."""
+    path = fresh_path(spark, "fastq")
+    reads = _reads(spark, d).select(tables.group_of().alias("grp"), F.coalesce(F.col("sample_id").cast("string"), F.lit("none")).alias("sample"), "name", "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual"))
+    files.write_fastq(reads, path)
+    back = fastx.read_fastx(spark, [path], split_bytes=1 << 20)
+    return back.select("name", F.length("seq").cast("long").alias("bases"), F.md5("seq").alias("digest"), F.length("qual").cast("long").alias("n_qual"))
+
+
 @query(f"WITH {_C2}, w AS (SELECT sample_id, read_no, pos, {_CANON} AS kmer FROM windows) SELECT w.sample_id, read_no, count(*) AS n, CAST(sum(coalesce(cnt, 0)) AS BIGINT) AS total, CAST(sum(coalesce(cnt, 0) * (pos % 97)) AS BIGINT) AS weighted FROM w LEFT JOIN c2 USING (sample_id, kmer) GROUP BY ALL")
 def counters_for_read(spark, d):
     c = C.counters_for_reads(_reads(spark, d), _kept(_counts(spark, d)), K)
@@ -609,7 +653,7 @@ def greedy_cluster(spark, d):
     """One round at the first threshold: the mapping from k-mers to clusters."""
     dense, samples = _vectors(spark, d)
     v = _kept(dense.select(F.col("kmer").alias("cluster_id"), "values", F.lit(1).cast("long").alias("n")))
-    merged = clustering.merge_round(v, 0.95, n=v.count(), dim=len(samples), seed=1, bucket_threshold=1_000_000)
+    merged = clustering.merge_round(v, 0.95, n=v.count(), dim=len(samples), seed=1, bucket_threshold=20_000)
     return merged.select(F.col("old_id").alias("feature"), "cluster_id")
 
 
@@ -665,6 +709,19 @@ def extract_reads(spark, d):
     return _extracted(spark, d).select("sample_id", "read_no", "grp")
 
 
+_TESTED = f"""WITH {_TTEST}, cl AS (SELECT kmer, CASE WHEN p_left <= 0.01 THEN 'B' ELSE 'A' END AS grp FROM tp WHERE p_left <= 0.01 OR 1 - p_left <= 0.01)
+  SELECT windows.sample_id, windows.read_no, CASE WHEN windows.sample_id < 10 THEN 'A' ELSE 'B' END AS grp FROM windows JOIN reads ON windows.read_no = reads.read_no AND length(seq) >= {K + 10}
+  LEFT JOIN cl ON cl.kmer = {_CANON} AND cl.grp = CASE WHEN windows.sample_id < 10 THEN 'A' ELSE 'B' END GROUP BY ALL HAVING count(cl.kmer) / count(*) > 0.005"""
+
+
+@query(_TESTED)
+def tested_reads(spark, d):
+    """From texts to reads: counts, two-sample test of each k-mer, and the reads that vote for their group's k-mers."""
+    classes = M.ttest(*_moments(spark, d)).where("grp IS NOT NULL").select("kmer", "grp")
+    groups = spark.createDataFrame([(s, "A" if s < tables.GROUP_A else "B") for s in _samples(spark, d)], "sample_id int, grp string")
+    return X.extract(_reads(spark, d), groups, classes, K, 0.005).select("sample_id", "read_no", "grp")
+
+
 @query(f"WITH {_WON} SELECT won.read_no, md5('@doc' || CAST(won.read_no AS VARCHAR) || chr(10) || seq || chr(10) || '+' || chr(10)) AS digest FROM won JOIN reads USING (read_no)")
 def extract_fastq(spark, d):
     return _extracted(spark, d).select("read_no", F.md5(files.fastq_lines()).alias("digest"))
