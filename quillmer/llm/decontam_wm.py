@@ -1,12 +1,14 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
-The patterns are the benchmark items' windows of 13 consecutive words (an item of fewer words is one window). A shift table
-over blocks of two words tells how far a position can move on when no window ends there; where the shift is zero, the hash
-of the window's last block selects a bucket, the hash of its first block a part of it, and the words are compared directly.
-Windows of one length form one searcher, since the shift of a searcher is bounded by its shortest pattern.
+The patterns are the benchmark items' windows of 13 consecutive words (an item of fewer words is one window), each distinct window
+once with all its items. A shift table over blocks of two words tells how far a position can move on when no window ends there; where the
+shift is zero, the hash of the window's last block selects a bucket, the hash of all its words a part of it, and the words are compared directly.
+Windows of one length form one searcher, since the shift of a searcher is bounded by its shortest pattern. A document reports
+each set of items once, however often their windows occur in it.
 
-The windows are broadcast in blocks of items whose text size has been counted; a benchmark that is larger than one block
-is searched block by block, and what a document's earlier blocks found travels in its row.
+The windows are broadcast in blocks of items whose text size has been counted; items that are larger go in overlapping pieces. A benchmark of more
+than one block is searched block by block: the documents are written once with a number, each block adds a narrow table of the rows
+in which it found something, and these are added up by that number.
 
 Defined results: a null text, document or item, has no words; a document without words is clean; items without words are
 never found; items that share an id count as one, a null item_id reads as an empty string; repeated document rows each get
@@ -15,16 +17,18 @@ their row; an empty table gives no rows, an empty benchmark finds nothing; extra
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, col, fresh_name, materialize, text_bytes
+from .common import bounded_batches, col, discard, fresh_name, materialize, text_bytes
 
 WINDOW = 13
 #: bytes of benchmark text that are broadcast together; their tables take about 40 bytes for each in a worker, 170 MB
@@ -41,24 +45,26 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Searcher:
-    """Wu-Manber tables for windows of one length: items, their words and the windows' starts in them.
+    """Wu-Manber tables for windows of one length: the words of distinct texts and the windows' places in them.
 
-    Shifts are kept by the block's hash, where blocks that meet only shorten a shift. Windows are chained by the hash of their
-    first and last block and point into the words of their items, which are compared directly.
+    Shifts are kept by the block's hash, where blocks that meet only shorten a shift. Distinct windows are chained by the hash of their
+    last block and of all their words, and point into the words of a text, which are compared directly. ``owners`` holds the sets of
+    items that windows have in common, each once.
     """
 
-    def __init__(self, length: int, texts: list[tuple[str, list[bytes]]]):
+    def __init__(self, length: int, texts: list[tuple[tuple[str, ...], list[bytes]]]):
         self.m = length
         self.b = b = min(2, length)
-        self.texts = texts
-        self.default = length - b + 1
-        windows = sum(len(w) - length + 1 for _, w in texts)
+        self.words = [w for _, w in texts]
+        windows = sum(len(w) - length + 1 for w in self.words)
         self.mask = (1 << max(10, (4 * windows).bit_length())) - 1
-        self.shift = bytearray([self.default]) * (self.mask + 1)
+        self.shift = bytearray([length - b + 1]) * (self.mask + 1)
         self.head: dict[int, int] = {}
-        self.next, self.place = array("q"), array("q")
+        self.next, self.place, owner = array("q"), array("q"), array("q")
+        sets: dict[tuple[int, int], int] = {}  # (set, text added to it) -> set; set 0 is empty
+        members: list[tuple[int, int]] = [(0, -1)]  # the set before and the text added
         shift, mask = self.shift, self.mask
-        for t, (_, w) in enumerate(texts):
+        for t, w in enumerate(self.words):
             last = len(w) - length
             for k in range(len(w) - b + 1):
                 step = max(0, length - b - k)  # its least distance from the end of a window that holds it
@@ -66,45 +72,63 @@ class Searcher:
                 if step < shift[at]:
                     shift[at] = step
             for k in range(last + 1):
-                key = self._key(w[k : k + b], w[k + length - b : k + length])
-                self.next.append(self.head.get(key, -1))
-                self.head[key] = len(self.place)
-                self.place.append(t << 32 | k)
-
-    @staticmethod
-    def _key(first: list[bytes], last: list[bytes]) -> int:
-        return hash((*first, *last))
+                window = w[k : k + length]
+                at = self.find_window(window)
+                if at < 0:
+                    key = self._key(window)
+                    self.next.append(self.head.get(key, -1))
+                    self.head[key] = at = len(self.place)
+                    self.place.append(t << 32 | k)
+                    owner.append(0)
+                now = owner[at]
+                if members[now][1] != t:  # texts come one after another, so the last one added tells
+                    if (now, t) not in sets:
+                        sets[now, t] = len(members)
+                        members.append((now, t))
+                    owner[at] = sets[now, t]
+        self.owner, self.members, self.items = owner, members, [items for items, _ in texts]
+
+    def _key(self, window: list[bytes]) -> int:
+        return hash((*window[-self.b :], hash(tuple(window))))
+
+    def find_window(self, window: list[bytes]) -> int:
+        """Number of a distinct window, -1 if there is none."""
+        at = self.head.get(self._key(window), -1)
+        while at >= 0:
+            t, k = self.place[at] >> 32, self.place[at] & 0xFFFFFFFF
+            if self.words[t][k : k + self.m] == window:
+                break
+            at = self.next[at]
+        return at
 
     def find(self, words: list[bytes], ends: list[int], items: set[str]) -> None:
         """Append the end of each occurrence, in order, and add the items that it belongs to."""
-        m, b, shift, mask, head, after, place, texts = self.m, self.b, self.shift, self.mask, self.head.get, self.next, self.place, self.texts
-        i, n = m, len(words)
+        m, b, shift, mask, found, owner, members = self.m, self.b, self.shift, self.mask, self.find_window, self.owner, self.members
+        i, n, seen = m, len(words), {0}
         while i <= n:
             step = shift[hash((words[i - 2], words[i - 1]) if b == 2 else (words[i - 1],)) & mask]
             if step:
                 i += step
                 continue
-            at, found = head(self._key(words[i - m : i - m + b], words[i - b : i]), -1), False
-            while at >= 0:
-                item, w = texts[place[at] >> 32]
-                k = place[at] & 0xFFFFFFFF
-                if w[k : k + m] == words[i - m : i]:
-                    found = True
-                    items.add(item)
-                at = after[at]
-            if found:
+            at = found(words[i - m : i])
+            if at >= 0:
                 ends.append(i)
+                now = owner[at]
+                while now not in seen:  # a set is the one before and a text
+                    seen.add(now)
+                    now, t = members[now]
+                    items.update(self.items[t])
             i += 1
 
 
 def searchers(items: list[tuple[str, bytes]]) -> list[Searcher]:
     known: dict[bytes, bytes] = {}  # each word once
-    by_length: dict[int, dict[tuple, tuple[str, list[bytes]]]] = {}
+    by_length: dict[int, dict[tuple, set[str]]] = {}
     for item, text in items:
-        w = [known.setdefault(x, x) for x in words_of(text)]
+        w = tuple(known.setdefault(x, x) for x in words_of(text))
         if w:
-            by_length.setdefault(min(WINDOW, len(w)), {}).setdefault((item, text), (item, w))
-    return [Searcher(m, list(texts.values())) for m, texts in sorted(by_length.items())]
+            by_length.setdefault(min(WINDOW, len(w)), {}).setdefault(w, set()).add(item)
+    return [Searcher(m, [(tuple(ids), list(w)) for w, ids in texts.items()]) for m, texts in sorted(by_length.items())]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[int]:
@@ -124,13 +148,13 @@ _built: dict[str, list[Searcher]] = {}
 
 def _search_udf(block) -> Callable:
     @F.pandas_udf(_FOUND)
-    def search(text: pd.Series, hits: pd.Series, items: pd.Series) -> pd.DataFrame:
+    def search(text: pd.Series) -> pd.DataFrame:
         if block.id not in _built:
             _built.clear()
             _built[block.id] = searchers(block.value)
         rows = []
-        for t, h, before in zip(text, hits, items):
-            words, spans, known = words_of(t), list(zip(h[::2], h[1::2])), set(before)
+        for t in text:
+            words, spans, known = words_of(t), [], set()
             for s in _built[block.id]:
                 ends: list[int] = []
                 s.find(words, ends, known)
@@ -141,6 +165,11 @@ def _search_udf(block) -> Callable:
     return search
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _merge_udf(spans: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else merge(list(zip(x[::2].tolist(), x[1::2].tolist()))) for x in spans])
+
+
 class _Handle:
     """A broadcast and a number that names it in the workers."""
 
@@ -152,14 +181,38 @@ class _Handle:
         return self.broadcast.value
 
 
+#: words of a piece of a large item
+PIECE_WORDS = 20_000
+
+
+def pieces(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item, t): the items with text; of long ones overlapping pieces that hold all their windows."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = [], []
+            for item, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(t) <= 2 * PIECE_WORDS:  # a word and what parts it from the next
+                    ids.append(item)
+                    texts.append(t)
+                    continue
+                w = words_of(t)
+                for k in range(0, max(1, len(w) - WINDOW + 1), PIECE_WORDS):
+                    ids.append(item)
+                    texts.append(b" ".join(w[k : k + PIECE_WORDS + WINDOW - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.binary())], names=["item", "t"])
+
+    return benchmark.select(F.coalesce(col(item_col).cast("string"), F.lit("")).alias("item"), text_bytes(text_col).alias("t")).where("length(t) > 0").mapInArrow(cut, "item string, t binary")
+
+
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
     """The benchmark in blocks of about ``block_bytes``, by a hash of the item; each is read only when it is asked for."""
-    items = benchmark.select(F.coalesce(col(item_col).cast("string"), F.lit("")).alias("item"), text_bytes(text_col).alias("t")).where("length(t) > 0")
+    items = pieces(benchmark, item_col, text_col)
     size = items.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "t"), F.lit(n)) == k)
-        yield [(r.item, bytes(r.t)) for r in part.orderBy("item", "t").toLocalIterator()]
+        yield [(r.item, bytes(r.t)) for r in part.toLocalIterator()]
 
 
 def search(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, out: str = "found") -> DataFrame:
@@ -167,14 +220,23 @@ def search(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", ite
     start, ...) and items (sorted ids of the items with occurring windows)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    none, nobody = F.array().cast("array<int>"), F.array().cast("array<string>")
-    now = docs
-    for k, block in enumerate(blocks(benchmark, item_col, item_text_col, block_bytes)):
-        if k:  # the windows of the block before leave the workers
-            now, _ = materialize(now, "searched")
-        before = (F.col(out)["hits"], F.col(out)["items"]) if k else (none, nobody)
-        now = now.withColumn(out, _search_udf(_Handle(spark.sparkContext.broadcast(block), uuid.uuid4().hex))(text_bytes(text_col), *before))
-    return now
+    found_by = lambda block: _search_udf(_Handle(spark.sparkContext.broadcast(block), uuid.uuid4().hex))(text_bytes(text_col))
+    each = blocks(benchmark, item_col, item_text_col, block_bytes)
+    first, second = next(each), next(each, None)
+    if second is None:
+        return docs.withColumn(out, found_by(first))
+    key = fresh_name(docs, "row")
+    numbered, _ = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "searched")
+    total, path = materialize(numbered.select(key, found_by(first).alias("f")), "found")
+    for block in itertools.chain([second], each):
+        more = numbered.select(key, found_by(block).alias("g")).where(F.size("g.hits") > 0)
+        f, g = F.col("f"), F.col("g")
+        merged = F.struct(f["n_words"].alias("n_words"), _merge_udf(F.concat(f["hits"], g["hits"])).alias("hits"), F.array_sort(F.array_union(f["items"], g["items"])).alias("items"))
+        # narrow rows: a number, and what was found; rows without more keep theirs
+        total, new = materialize(total.join(more, key, "left").select(key, F.when(g.isNull(), f).otherwise(merged).alias("f")), "found")
+        discard(spark, path)
+        path = new
+    return numbered.join(total.withColumnRenamed("f", out), key).drop(key)
 
 
 def n_hit(found: Column) -> Column:
