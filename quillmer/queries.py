@@ -17,7 +17,8 @@ from .operators import counts as C
 from .operators import extract as X
 from .operators import matrix as M
 from .operators import ranks as R
-from .sources import fastx, files, kmerdb, tables
+from .operators import slices
+from .sources import binary, fastx, files, kmerdb, tables
 from .storage import fresh_path
 
 K, SIG = 7, 5
@@ -322,6 +323,46 @@ def count_matrix(spark, d):
     return _text(rows, "x.sample_id", "x.cnt")
 
 
+_NUMBERED = f"{_C2}, f AS (SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS feature_id FROM feats)"
+
+
+@query(f"WITH {_NUMBERED} SELECT sample_id, feature_id, CAST(cnt AS BIGINT) AS cnt FROM c2 JOIN f USING (kmer) WHERE feature_id BETWEEN 1000 AND 3499 AND sample_id < 10")
+def matrix_slice(spark, d):
+    """2,500 features of the first group's samples, from the table by sample and range."""
+    counts, path = _kept(_counts(spark, d)), fresh_path(spark, "slices")
+    slices.write_slices(counts, C.features(counts), path, slice_rows=500)
+    return slices.read_slice(spark, path, 1000, 2500, list(range(tables.GROUP_A)), slice_rows=500)
+
+
+#: clusters by the remainder of the feature's id, with the mean counts of their members
+_GROUPED = f"""{_NUMBERED}, g AS (SELECT feature_id % 700 AS cluster_id, feature_id, kmer FROM f), n AS (SELECT cluster_id, count(*) AS n FROM g GROUP BY ALL HAVING count(*) > 5),
+  w AS (SELECT cluster_id, n, row_number() OVER (ORDER BY cluster_id) - 1 AS row_id FROM n)"""
+
+
+def _pairs(spark, d) -> tuple[str, int]:
+    """The clusters as pairs of a binary and a text file; the number of samples."""
+    samples, counts, path = _samples(spark, d), _kept(_counts(spark, d)), fresh_path(spark, "pairs")
+    rows = _kept(M.dense(counts, samples).join(C.features(counts), "kmer").select((F.col("feature_id") % 700).alias("cluster_id"), "feature_id", "values"))
+    means = rows.select("cluster_id", F.posexplode("values").alias("pos", "x")).groupBy("cluster_id", "pos").agg((F.sum("x") / F.count("*")).alias("x"), F.count("*").alias("n"))
+    clusters = means.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("values"), F.max("n").alias("n"))
+    binary.write_clusters(clusters, rows.select("cluster_id", "feature_id"), path)
+    return path, len(samples)
+
+
+@query(f"WITH {_GROUPED}, v AS (SELECT cluster_id, sample_id, CAST(sum(coalesce(cnt, 0)) AS DOUBLE) AS total FROM g CROSS JOIN samples LEFT JOIN c2 USING (kmer, sample_id) GROUP BY ALL) SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY sample_id) - 1 AS pos, CAST(CAST(total / n AS FLOAT) AS DOUBLE) AS value FROM w JOIN v USING (cluster_id) WHERE row_id BETWEEN 10 AND 209")
+def cluster_window_centroids(spark, d):
+    """A window of centroids from the binary file."""
+    path, width = _pairs(spark, d)
+    return binary.read_clusters(spark, path, "centroids", width, start=10, num=200).select("row_id", F.posexplode("values").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"WITH {_GROUPED} SELECT row_id, feature_id FROM w JOIN g USING (cluster_id) WHERE row_id BETWEEN 10 AND 209")
+def cluster_window_members(spark, d):
+    """A window of members from the text file, through its index of lines."""
+    path, width = _pairs(spark, d)
+    return binary.read_clusters(spark, path, "members", width, start=10, num=200)
+
+
 @query(f"WITH {_DENSE} SELECT kmer, sample_id, {_R('v')} AS v FROM dense")
 def lognorm_matrix(spark, d):
     return _text(_long(spark, d), "sample_id", r6(F.col("v"), "v"))

@@ -12,6 +12,7 @@ from quillmer.functions import seq, stats, vectors
 from quillmer.operators import cluster as clustering
 from quillmer.operators import counts as C
 from quillmer.operators import matrix as M
+from quillmer.operators import slices
 
 SWAP = str.maketrans("ACGT", "TGCA")
 
@@ -223,3 +224,18 @@ def test_lookups_don_t_shuffle_the_stored_side(spark, capsys):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {(s, k): ((k % 5 + 1, True) if s < 3 and k < 200 else (0, False)) for s in range(4) for k in range(150, 250)}
+
+
+def test_slices_read_their_partitions_alone(spark, tmp_path, capsys):
+    counts = spark.createDataFrame([(s, k, s + k + 1) for s in range(4) for k in range(100) if (s + k) % 3], "sample_id int, kmer long, cnt long")
+    features = spark.createDataFrame([(k, k) for k in range(100)], "feature_id long, kmer long")
+    path = str(tmp_path / "slices")
+    slices.write_slices(counts, features, path, slice_rows=10)
+    got = slices.read_slice(spark, path, 25, 30, [1, 3], slice_rows=10)
+    assert sorted(map(tuple, got.collect())) == sorted((s, k, s + k + 1) for s in (1, 3) for k in range(25, 55) if (s + k) % 3)
+    files = {f.rsplit("/", 3)[1] + "/" + f.rsplit("/", 3)[2] for f in got.inputFiles()}
+    assert files == {f"sample_id={s}/slice={k}" for s in (1, 3) for k in range(2, 6)}
+    again = counts.where("sample_id = 1 AND kmer < 20").withColumn("cnt", F.lit(9).cast("long"))
+    slices.write_slices(again, features, path, slice_rows=10)
+    rows = {(r.sample_id, r.feature_id): r.cnt for r in slices.read_slice(spark, path, 0, 100, slice_rows=10).collect()}
+    assert rows == {(s, k): 9 if s == 1 and k < 20 else s + k + 1 for s in range(4) for k in range(100) if (s + k) % 3}
