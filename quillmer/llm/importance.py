@@ -35,7 +35,7 @@ from .decontam_wm import words_of
 BUCKETS = 10_000
 MIN_WORDS, PERCENT, SEED = 20, 5, 42
 #: text of a block, and occurrences of features for each part of the dictionary: a worker holds about 35 and 60 bytes for each
-BLOCK_BYTES, PART_FEATURES = 8 * 1024 * 1024, 3_000_000
+BLOCK_BYTES, PART_FEATURES = 8 * 1024 * 1024, 4_000_000
 #: distinct features whose strings are hashed between two clearings of Python objects
 CHUNK = 100_000
 
@@ -102,7 +102,7 @@ class Features:
         if len(triples):
             self.grams[:2, v + len(pairs) :], self.grams[2, v + len(pairs) :] = self.grams[:2, v + triples // v], triples % v + 1
         self.places = ((seq, doc), ((at2 + v).astype(np.int32), doc[two]), ((at3 + v + len(pairs)).astype(np.int32), doc[three]))
-        self.words = words
+        self.words = np.array(words, object)
 
     def counts(self) -> np.ndarray:
         return sum(np.bincount(f, minlength=self.grams.shape[1]) for f, _ in self.places)
@@ -144,7 +144,7 @@ def dealt(table: DataFrame, parts: int) -> DataFrame:
                     used, at = np.unique(f.grams[:, own], return_inverse=True)
                     local = at.reshape(3, -1) + (used[0] != 0)  # 0 stays none
                     local[0, 1:] = np.diff(local[0])
-                    words = b" ".join(f.words[x - 1] for x in used.tolist() if x)  # in the order of their numbers
+                    words = b" ".join(f.words[used[used > 0] - 1])  # in the order of their numbers
                     yield pa.RecordBatch.from_arrays([
                         pa.array([p], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([zstandard.compress(words, 3)], pa.binary()), pa.array([_packed(local.ravel())], pa.binary()), pa.array([_packed(n[own])], pa.binary()),
                     ], names=["part", "block", "words", "grams", "n"])
@@ -159,10 +159,10 @@ class Part:
         names: dict[bytes, int] = defaultdict(count(1).__next__)
         grams, n, self.sizes = [], [], []
         for r in rows:
-            to = np.array([0, *map(names.__getitem__, zstandard.decompress(r["words"]).split(b" "))], np.int64)
+            to = np.fromiter(chain([0], map(names.__getitem__, zstandard.decompress(r["words"]).split(b" "))), np.int32)
             local = _unpacked(r["grams"]).astype("<u4").view("<i4").reshape(3, -1)
             local = np.vstack([np.cumsum(local[0]), local[1:]])
-            grams.append(to.astype(np.int32)[local])
+            grams.append(to[local])
             n.append(_unpacked(r["n"]).astype(np.int32))
             self.sizes.append(local.shape[1])
             del r["words"], r["grams"], r["n"]
