@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..schema import READS
 from .places import files_of, open_file
@@ -183,7 +183,7 @@ def first_header(text: bytes, fasta: bool, begins_line: bool) -> int:
 
 @dataclass
 class Range(InputPartition):
-    """Compressed bytes of a file; ``base`` is added to the places of its records."""
+    """Compressed bytes of a file; ``base`` is added to the places of its records. ``exact``: a record begins at both ends."""
 
     sample_id: int
     path: str
@@ -192,6 +192,7 @@ class Range(InputPartition):
     fasta: bool
     start: int
     end: int | None
+    exact: bool = False
 
     def open(self) -> Plain:
         return {"plain": Plain, "blocks": Blocks, "stream": Stream}[self.kind](open_file(self.path))
@@ -290,8 +291,8 @@ def read_range(r: Range) -> Iterator[pa.RecordBatch]:
     if r.start == 0 and r.end is None:
         yield from _whole(r, source)
         return
-    start = 0 if r.start == 0 else first_place(source, r.start, r.fasta)
-    stop = None if r.end is None else first_place(source, r.end, r.fasta)
+    start = r.start if r.start == 0 or r.exact else first_place(source, r.start, r.fasta)
+    stop = r.end if r.end is None or r.exact else first_place(source, r.end, r.fasta)
     if start is None or start == stop:
         return
     text, marks, ended = bytearray(), [], False
@@ -358,6 +359,55 @@ class _Reader(DataSourceReader):
         return read_range(partition) if partition.path else iter(())
 
 
+def complete(path: str) -> int:
+    """Bytes of a plain file of four lines a record up to the end of its last whole record."""
+    file = open_file(path)
+    size, back = file.size(), HEAD
+    while size:
+        at = max(0, size - back)
+        begin = 0 if at == 0 else first_place(Plain(file), at, False)
+        if begin is not None:
+            lines = file.read_at(size - begin, begin).split(b"\n")
+            whole = lines[: (len(lines) - 1) // 4 * 4]
+            if whole and four_lines([x.decode("latin-1") for x in whole]) is None:
+                raise ValueError(f"{path} isn't of four lines a record")
+            return begin + sum(map(len, whole)) + len(whole)
+        if at == 0:
+            break
+        back *= 4
+    return 0
+
+
+class _Stream(DataSourceStreamReader):
+    """Whole records of the files of a folder as files come and grow; the offset is the bytes read of each file."""
+
+    def __init__(self, path: str, sample_id: int, split_bytes: int):
+        self.path, self.sample_id, self.split_bytes = path, sample_id, split_bytes
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {f: n for f in files_of(self.path) if (n := complete(f))}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        out = []
+        for path, stop in end.items():
+            begin = start.get(path, 0)
+            # inner cuts are anywhere, as in a batch; the outer ones are where records begin and end
+            cuts = [begin, *range(begin + self.split_bytes, stop, self.split_bytes), stop] if self.split_bytes else [begin, stop]
+            at = [begin, *(first_place(Plain(open_file(path)), c, False) or stop for c in cuts[1:-1]), stop]
+            out += [Range(self.sample_id, path, 0, "plain", False, a, b, True) for a, b in zip(at, at[1:]) if a < b]
+        return out
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        for batch in read_range(partition):
+            yield from (tuple(x.values()) for x in batch.to_pylist())
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class FastxSource(DataSource):
     """Options: path (files or folders, one a sample, by commas), split_bytes."""
 
@@ -371,8 +421,18 @@ class FastxSource(DataSource):
     def reader(self, schema) -> _Reader:
         return _Reader([p for p in self.options.get("path", "").split(",") if p], int(self.options.get("split_bytes", SPLIT_BYTES)))
 
+    def streamReader(self, schema) -> _Stream:  # noqa: N802
+        return _Stream(self.options["path"], int(self.options.get("sample_id", 0)), int(self.options.get("split_bytes", SPLIT_BYTES)))
+
 
 def read_fastx(spark, paths: list[str], split_bytes: int = SPLIT_BYTES):
     """Reads of all files; the sample id is the place in the list of the file, or of the folder it is in."""
     spark.dataSource.register(FastxSource)
     return spark.read.format("fastx").option("path", ",".join(paths)).option("split_bytes", str(split_bytes)).load()
+
+
+def stream_fastx(spark, path: str, *, sample_id: int = 0, split_bytes: int = SPLIT_BYTES):
+    """Reads of a folder's FASTQ files (plain, four lines a record) as they come and grow; a record is read once it is whole.
+    ``read_no`` is the record's place in its own file."""
+    spark.dataSource.register(FastxSource)
+    return spark.readStream.format("fastx").option("path", path).option("sample_id", str(sample_id)).option("split_bytes", str(split_bytes)).load()

@@ -233,7 +233,10 @@ def test_slices_read_their_partitions_alone(spark, tmp_path, capsys):
     slices.write_slices(counts, features, path, slice_rows=10)
     got = slices.read_slice(spark, path, 25, 30, [1, 3], slice_rows=10)
     assert sorted(map(tuple, got.collect())) == sorted((s, k, s + k + 1) for s in (1, 3) for k in range(25, 55) if (s + k) % 3)
-    files = {f.rsplit("/", 3)[1] + "/" + f.rsplit("/", 3)[2] for f in got.inputFiles()}
+    got.explain()
+    filters = capsys.readouterr().out.split("PartitionFilters: ")[1].split("PushedFilters: ")
+    assert "slice" in filters[0] and "sample_id" in filters[0] and "feature_id" in filters[1]
+    files = {r[0].split("/slices/")[1].rsplit("/", 1)[0] for r in got.select(F.input_file_name()).distinct().collect()}
     assert files == {f"sample_id={s}/slice={k}" for s in (1, 3) for k in range(2, 6)}
     again = counts.where("sample_id = 1 AND kmer < 20").withColumn("cnt", F.lit(9).cast("long"))
     slices.write_slices(again, features, path, slice_rows=10)

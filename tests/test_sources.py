@@ -174,3 +174,40 @@ def test_kmers_as_text_of_a_scan(spark, counts, tmp_path):
 def test_registered_form_of_places(tmp_path):
     (tmp_path / "a.fq").write_text(fastq(random.Random(1), 3))
     assert fastx.form_of(str(tmp_path / "a.fq"))[:2] == ("plain", False) and fastx.form_of("file://" + str(tmp_path / "a.fq"))[0] == "plain"
+
+
+def test_a_stream_of_growing_files_restarts_where_it_stopped(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    texts = [fastq(random.Random(k), 60) for k in range(3)]
+    half = len(texts[1]) // 2  # in the middle of a record
+
+    def run():
+        q = fastx.stream_fastx(spark, str(folder), sample_id=4, split_bytes=400).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "at")).start(out)
+        q.processAllAvailable()
+        q.stop()
+        return spark.read.parquet(out).count()
+
+    (folder / "a.fq").write_text(texts[0])
+    (folder / "b.fq").write_text(texts[1][:half])
+    first = run()
+    assert 60 < first < 120
+    assert run() == first
+    (folder / "b.fq").write_text(texts[1])
+    (folder / "c.fq").write_text(texts[2])
+    assert run() == 180
+    got = sorted(tuple(r)[2:] for r in spark.read.parquet(out).collect())
+    assert got == sorted(x for t in texts for x in records(iter(t.splitlines(keepends=True))))
+    assert spark.read.parquet(out).where("sample_id <> 4").isEmpty()
+
+
+def test_whole_records_of_a_growing_file(tmp_path):
+    text = fastq(random.Random(8), 30)
+    ends = {0}
+    lines, at = text.split("\n"), 0
+    for k in range(0, len(lines) - 1, 4):
+        at += sum(map(len, lines[k : k + 4])) + 4
+        ends.add(at)
+    for n in range(0, len(text) + 1, 7):
+        (tmp_path / "g.fq").write_text(text[:n])
+        assert fastx.complete(str(tmp_path / "g.fq")) == max(e for e in ends if e <= n)
