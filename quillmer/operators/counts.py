@@ -92,6 +92,8 @@ def count_packed(packed: DataFrame, k: int, *, bin_kmers: int = BIN_KMERS) -> Da
     size = packed.groupBy("sample_id", "bin").agg(F.sum("n").alias("n"))
     large = stored(size.where(F.col("n") > bin_kmers).select("sample_id", "bin", F.ceil(F.col("n") / bin_kmers).cast("int").alias("parts")), "large_bins")
     n_large = large.count()
+    # tasks of about BIN_KMERS each, as many as the input asks for
+    tasks = max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size.agg(F.sum("n")).first()[0] or 0) // BIN_KMERS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, size = [], None, 0
@@ -113,7 +115,7 @@ def count_packed(packed: DataFrame, k: int, *, bin_kmers: int = BIN_KMERS) -> Da
 
     def counted(rows: DataFrame) -> DataFrame:
         by = ["sample_id", "bin", "part"]
-        dealt = rows.select(*by, "n", "runs", "bases").repartition(*by).sortWithinPartitions(*by)
+        dealt = rows.select(*by, "n", "runs", "bases").repartition(tasks, *by).sortWithinPartitions(*by)
         return dealt.mapInArrow(count, COUNTS)
 
     if not n_large:

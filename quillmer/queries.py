@@ -6,12 +6,13 @@ are rounded to six digits in both engines.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import seq, stats, vectors
+from .functions import distributions, seq, stats, vectors
 from .operators import cluster as clustering
 from .operators import counts as C
 from .operators import extract as X
@@ -550,6 +551,28 @@ def jarque_bera_p(spark, d):
     return jb.select("sample_id", r6(R.jarque_bera_p(F.col("jb")), "p"))
 
 
+#: upper tail of chi-square with 19 degrees of freedom at x: e^-y / gamma(9.5) times the integral of (y + s)^8.5 e^-s, y = x / 2
+_CHI19 = f"(-x / 2) / ln(10) + log10(list_sum(list_transform(range(0, 6001), lambda i: (CASE WHEN i = 0 OR i = 6000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * power(x / 2 + i * 0.01, 8.5) * exp(-i * 0.01))) * 0.01 / 3 / {math.gamma(9.5)!r})"
+
+
+@query(f"WITH {_EMB}, s AS (SELECT vec_id, 384 * list_sum(list_transform(range(1, 20), lambda i: v[i] * v[i])) AS x FROM e) SELECT vec_id, round({_CHI19}, 5) + 0.0 AS log_p FROM s")
+def chi2_tail(spark, d):
+    """Scaled sums of 19 squares as chi-square: logarithms of upper tails, most below 1e-10."""
+    x = F.aggregate(F.slice("v", 1, 19), F.lit(0.0), lambda s, y: s + y * y) * 384
+    p = _embeddings(spark, d).select("vec_id", distributions.sf("chi2", x, F.lit(19.0)).alias("p"))
+    return p.select("vec_id", (F.round(F.log10("p"), 5) + 0.0).alias("log_p"))
+
+
+@query(f"WITH {_EMB}, s AS (SELECT vec_id, power(greatest(abs(v[1]), 1e-3), 6) AS p, 3.0 + vec_id % 40 AS d FROM e) SELECT vec_id, {_R('log10((1 - 2 * p) / sqrt(2 * p * (1 - p)))')} AS t, {_R('-2 * ln(p)')} AS chi2, {_R('log10(d / 2 * (power(p, -2 / d) - 1))')} AS f FROM s")
+def critical_values(spark, d):
+    """Critical values at probabilities down to 1e-18: Student and chi-square with two degrees of freedom, F with two and more."""
+    p = F.pow(F.greatest(F.abs(F.col("v")[0]), F.lit(1e-3)), 6)
+    s = _embeddings(spark, d).select("vec_id", p.alias("p"), (F.lit(3.0) + F.col("vec_id") % 40).alias("d"))
+    two = F.lit(2.0)
+    t, chi2, f = (distributions.critical(n, F.col("p"), two, *more, upper=True) for n, more in (("student", ()), ("chi2", ()), ("f", (F.col("d"),))))
+    return s.select("vec_id", r6(F.log10(t), "t"), r6(chi2, "chi2"), r6(F.log10(f), "f"))
+
+
 @query(f"WITH {_DENSE} SELECT sample_id, {_R('quantile_cont(v, 0.5)')} AS median, {_R('quantile_cont(v, 0.1)')} AS p10, {_R('quantile_cont(v, 0.9)')} AS p90 FROM dense GROUP BY sample_id")
 def percentiles(spark, d):
     p = lambda q, n: r6(F.expr(f"percentile(v, {q})"), n)
