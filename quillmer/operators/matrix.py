@@ -69,14 +69,16 @@ def group_moments(counts: DataFrame, offsets: dict[int, float], group_a: list[in
     samples = group_a + group_b
     middle = sum(float(offsets.get(x, 0.0)) for x in samples) / max(1, len(samples))
     o = {x: float(offsets.get(x, 0.0)) - middle for x in samples}
-    off = F.coalesce(*[F.when(F.col("sample_id") == x, F.lit(o[x])) for x in samples]) if samples else F.lit(0.0)
+    rows = [(int(x), o[x], g) for g, ids in (("a", group_a), ("b", group_b)) for x in ids]
+    known = counts.sparkSession.createDataFrame(rows, "sample_id int, _off double, _grp string")
+    met, off = counts.join(F.broadcast(known), "sample_id", "left"), F.coalesce("_off", F.lit(0.0))  # a row per sample
     groups = {"a": group_a, "b": group_b}
     aggs = []
-    for g, ids in groups.items():
-        here = F.col("sample_id").isin(ids)
+    for g in groups:
+        here = F.col("_grp") == g
         v = F.when(here, F.log(F.col("cnt") + 1) - off)
         aggs += [F.count(v).alias("n" + g), F.avg(v).alias("m" + g), F.var_pop(v).alias("q" + g), F.sum(F.when(here, off)).alias("o" + g), F.sum(F.when(here, off * off)).alias("s" + g)]
-    present = counts.groupBy("kmer").agg(*aggs)
+    present = met.groupBy("kmer").agg(*aggs)
 
     def finish(g: str, ids: list[int]) -> tuple[Column, Column]:
         size = float(len(ids))
