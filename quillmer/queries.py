@@ -276,7 +276,7 @@ _DB = f"{_READS}, {_LONG(15)}, db AS (SELECT {_CANON} AS kmer, CAST(least(count(
 def _database(spark, d) -> str:
     """A k-mer database (k = 15) of all documents in the shared folder."""
     path = fresh_path(spark, "kmerdb")
-    kmerdb.write_kmerdb(C.count_kmers(_reads(spark, d).withColumn("sample_id", F.lit(0)), 15, min_count=1), path, 15)
+    kmerdb.write_kmerdb(C.count_kmers(_reads(spark, d).withColumn("sample_id", F.lit(0)), 15, min_count=1), path, 15, counter_size=2)  # counts stop at 65,535
     return path
 
 

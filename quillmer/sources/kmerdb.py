@@ -302,7 +302,9 @@ def prefix_length(k: int) -> int:
 
 
 def write_kmerdb(counts: DataFrame, path: str, k: int, *, prefix: int | None = None, counter_size: int = 4, files: int | None = None, mode: str = "overwrite") -> None:
-    """(kmer, cnt) of distinct packed k-mers as a folder of pairs, each of a range of k-mers; by default as many as their size asks for."""
+    """(kmer, cnt) of distinct packed k-mers as a folder of pairs: each partition of ``counts`` sorted as it is, or ``files`` pairs
+    of a range of k-mers each. A pair's prefix table tells which of its records a range of k-mers needs, so either reads alike."""
     register(counts.sparkSession)
-    sorted_ = counts.select("kmer", "cnt").repartitionByRange(*([files] if files else []), "kmer").sortWithinPartitions("kmer")
+    rows = counts.select("kmer", "cnt")
+    sorted_ = (rows.repartitionByRange(files, "kmer") if files else rows).sortWithinPartitions("kmer")
     sorted_.write.format("kmerdb").options(k=k, prefix=prefix_length(k) if prefix is None else prefix, counter_size=counter_size).mode(mode).save(path)
