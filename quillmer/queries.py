@@ -135,6 +135,26 @@ def manifest(spark, d):
     return _reads(spark, d).groupBy("sample_id", tables.group_of().alias("grp")).agg(F.count("*").alias("n_reads"), F.sum(F.length("seq")).alias("bases"))
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY grp, n) - 1 AS INTEGER) AS sample_id, grp, '/reads/' || source || '.fq' AS path, 'db_' || source AS db FROM (SELECT DISTINCT source, CAST(substr(source, 4) AS INT) AS n, CASE WHEN CAST(substr(source, 4) AS INT) < 10 THEN 'A' ELSE 'B' END AS grp FROM documents WHERE source IS NOT NULL)")
+def manifest_files(spark, d):
+    """The samples of the documents as two manifest files, read as one."""
+    path = fresh_path(spark, "manifests")
+    own = tables.read_table(spark, d, "documents").where("source IS NOT NULL").select("source", F.substring("source", 4, 10).cast("int").alias("sample_id")).distinct()
+    for g in "AB":
+        lines = own.where(tables.group_of() == g).coalesce(1).sortWithinPartitions("sample_id")  # a row per sample
+        lines.select(F.concat(F.lit("  /reads/"), "source", F.lit(".fq\tdb_"), "source", F.lit("\n")).alias("value")).write.text(f"{path}/{g}")
+    return files.read_manifest(spark, f"{path}/A", f"{path}/B")
+
+
+@query(f"WITH {_EMB} SELECT row_number() OVER (ORDER BY vec_id) - 1 AS feature_id, CAST(len(v) AS BIGINT) AS n, {_R('list_sum(v) / sqrt(list_sum(list_transform(v, lambda x: x * x)))')} AS total, {_R('v[3] / sqrt(list_sum(list_transform(v, lambda x: x * x)))')} AS third FROM e")
+def matrix_text(spark, d):
+    """Vectors written as a text matrix and read back by line, normalised."""
+    path = fresh_path(spark, "matrix")
+    files.write_matrix(_embeddings(spark, d).select(F.col("vec_id").alias("cluster_id"), F.col("v").alias("values"), F.lit(1).alias("n")), path)
+    back = files.read_matrix(spark, path, l2=True)
+    return back.select("feature_id", F.size("values").cast("long").alias("n"), r6(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), "total"), r6(F.col("values")[2], "third"))
+
+
 @query(f"WITH {_READS} SELECT sample_id, read_no, CAST(length(seq) AS BIGINT) AS bases, md5(seq) AS digest FROM reads")
 def reads_encode(spark, d):
     return _reads(spark, d).select("sample_id", "read_no", F.length("seq").cast("long").alias("bases"), F.md5("seq").alias("digest"))

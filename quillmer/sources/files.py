@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _in_order() -> Column:
+    """Key of a line's place: file, split of the file, place in it. Splits are read in any order, large ones first."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+
+
 def read_manifest(spark: SparkSession, path_a: str, path_b: str) -> DataFrame:
     """Two manifests (path and db name by line, white space between) as one; sample ids go on from A to B. Blank lines are left out."""
     rows = []
     for grp, path in (("A", path_a), ("B", path_b)):
         parts = F.split(F.trim("value"), r"\s+")
         lines = spark.read.text(path, wholetext=False).where(F.trim("value") != "")
-        got = lines.select(parts[0].alias("path"), F.get(parts, F.lit(1)).alias("db"), F.monotonically_increasing_id().alias("at")).orderBy("at").collect()  # a row per sample
+        got = lines.select(parts[0].alias("path"), F.get(parts, F.lit(1)).alias("db"), _in_order().alias("at")).orderBy("at").collect()  # a row per sample
         rows += [(grp, r["path"], r["db"]) for r in got]
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "sample_id int, grp string, path string, db string")
 
@@ -22,7 +27,7 @@ def read_matrix(spark: SparkSession, path: str, l2: bool = False) -> DataFrame:
     from ..functions.vectors import l2_normalise
     from ..storage import with_dense_ids
 
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at")).where("value <> '' AND value NOT LIKE '#%' AND substr(value, 1, 1) <> '\t'")
+    lines = spark.read.text(path).select("value", _in_order().alias("at")).where("value <> '' AND value NOT LIKE '#%' AND substr(value, 1, 1) <> '\t'")
     numbered = with_dense_ids(lines, "at", "feature_id")
     values = F.transform(F.filter(F.split("value", r"[\t ]+"), lambda x: x != ""), lambda x: x.try_cast("double"))
     out = numbered.select("feature_id", values.alias("values"))
