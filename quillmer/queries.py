@@ -726,8 +726,8 @@ def vector_equal(spark, d):
 
 
 def _clustered(spark, d):
-    dense, samples = _vectors(spark, d)
-    counts = _kept(_counts(spark, d))
+    samples, counts = _samples(spark, d), _kept(_counts(spark, d))
+    dense = M.lognorm(M.dense(counts, samples), _offsets(counts), samples)
     frequent = dense.join(M.rarity_filter(counts, len(samples)).select("kmer"), "kmer", "left_semi")
     return *clustering.cluster(frequent.select(F.col("kmer").alias("cluster_id"), "values", F.lit(1).cast("long").alias("n")), len(samples), min_similarity=0.8, iterations=5), samples
 
