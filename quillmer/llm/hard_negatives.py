@@ -36,7 +36,6 @@ RADIX = 64
 FEW = 64
 K_POSITIVES, K_NEGATIVES, LOW, HIGH, SCALE = 5, 5, 80, 100, 256
 
-_ROWS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("label", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
 _BUCKETS = T.StructType([T.StructField("w", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
 _FOUND = T.StructType([T.StructField("w", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
