@@ -81,9 +81,9 @@ def with_dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all shuffle partitions if its scan would have fewer: files that are few and small leave most cores idle.
-    A large scan has partitions enough and isn't shuffled; what is moved is bounded by a scan partition for each."""
+    """``df`` over all shuffle partitions if its scan would have fewer partitions than there are cores: files that are few and small
+    leave most cores idle. A larger scan isn't shuffled; what is moved is bounded by a scan partition for each core."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(n) if n > 1 and size < n * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
+    return df.repartition(n) if n > 1 and size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
