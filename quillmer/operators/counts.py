@@ -18,7 +18,7 @@ from ..storage import fresh_path, materialize, spread, stored, with_dense_ids
 #: k from which k-mers go to their counters as super-k-mers: shorter ones repeat so often that counts of batches are smaller
 PACKED_FROM = 15
 #: length of signatures; bins of them, at least; bytes of scanned input for a further bin
-SIGNATURE, BINS, BIN_BYTES = 9, 128, 64 * 1024 * 1024
+SIGNATURE, BINS, BIN_BYTES = 9, 128, 2 * 1024 * 1024
 #: k-mers of a bin that one task counts, and that it counts together: about 60 bytes for each
 BIN_KMERS, FLUSH = 4_000_000, 1_000_000
 #: large bins (a row each) up to which their table is broadcast
