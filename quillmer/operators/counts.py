@@ -17,7 +17,7 @@ from ..storage import fresh_path, materialize, spread, stored, with_dense_ids
 
 #: k from which k-mers go to their counters as super-k-mers: shorter ones repeat so often that counts of batches are smaller
 PACKED_FROM = 15
-#: length of signatures; bins of them, at least; bytes of scanned input for a further bin
+#: length of signatures of long k-mers (two less below 19 bases, where super-k-mers would be short); bins of them, at least; bytes of scanned input for a further bin
 SIGNATURE, BINS, BIN_BYTES = 9, 128, 2 * 1024 * 1024
 #: k-mers of a bin that one task counts, and that it counts together: about 60 bytes for each
 BIN_KMERS, FLUSH = 4_000_000, 1_000_000
@@ -40,12 +40,13 @@ def count_kmers(reads: DataFrame, k: int, *, min_count: int = 2, max_count: int
     return total.where(F.col("cnt") >= min_count).withColumn("cnt", F.least("cnt", F.lit(max_count).cast("long")))
 
 
-def pack_super_kmers(reads: DataFrame, k: int, *, m: int = SIGNATURE, bins: int | None = None, invalid: str = "skip") -> DataFrame:
+def pack_super_kmers(reads: DataFrame, k: int, *, m: int | None = None, bins: int | None = None, invalid: str = "skip") -> DataFrame:
     """(sample_id, bin, n, runs, bases): the super-k-mers of a batch of reads by bin of their signature, two bits a base.
 
     All occurrences of a canonical k-mer have one signature and so one bin. ``runs`` has a byte for each super-k-mer, its number of
     k-mers (longer runs are cut), ``n`` is their sum.
     """
+    m = m or (SIGNATURE if k >= 19 else SIGNATURE - 2)
     bins = bins or max(BINS, int(str(reads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // BIN_BYTES)
     bins = min(bins, 4**m // 4)
 
