@@ -3,9 +3,9 @@
 A tree builder with implied tags turns a page into elements; visibility rules (elements that never show, the hidden
 attribute, inline styles, style sheets by importance, specificity and order) drop what a reader wouldn't see; rendering emits all the rest: blocks on
 lines of their own with their blank lines, lists with markers and indents, preformatted text as it is, and tables with
-aligned cells, those over several rows or columns too. Hidden visibility is inherited, and what is visible in it shows. A table
-that alignment would pad to over PAD times its text, as layout tables with an article in a cell, has its cells below each
-other instead, so the output stays within a factor of the page. Neither building nor rendering recurses, so depth is bounded by memory alone.
+aligned cells, those over several rows or columns too. Hidden visibility is inherited, and what is visible in it shows. Every table
+is laid out alike, whatever its size: a line of over WIDE characters doesn't widen its column, and no column begins beyond PAGE
+characters, so a line has at most PAGE of padding before a cell. Neither building nor rendering recurses, so depth is bounded by memory alone.
 
 Defined results: a null or empty page gives an empty text; text outside any element is text; unclosed elements close at the
 end, end tags without a start are ignored, an unclosed comment or tag ends with the page; repeated rows each get their row; an
@@ -311,13 +311,14 @@ class Flow:
         return out
 
 
-#: an aligned table has at most so many times the characters of its cells, and PAD_FREE more
-PAD, PAD_FREE = 4, 2000
+#: a longer line doesn't widen its column; the column furthest right that cells are aligned to
+WIDE, PAGE = 80, 240
 
 
 def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Lines of a table whose cells are (lines, columns, rows; 0 for all that follow): each column as wide as its widest cell of
-    one column, two spaces apart."""
+    one column, two spaces apart. What follows a line that reaches over its column's end comes two spaces after it."""
+    width = lambda lines: max((len(x) for x in lines if len(x) <= WIDE), default=0)
     placed, until, widths = [], [], []  # until: per column the row from which it is free again
     for r, row in enumerate(rows):
         k, cells = 0, []
@@ -332,25 +333,22 @@ def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
         widths += [0] * (len(until) - len(widths))
         for k, lines, span in cells:
             if span == 1:
-                widths[k] = max([widths[k], *map(len, lines)])
+                widths[k] = max(widths[k], width(lines))
         placed.append(cells)
     for cells in placed:  # what a cell over several columns lacks goes to its last one
         for k, lines, span in cells:
             if span > 1:
-                widths[k + span - 1] += max(0, max([0, *map(len, lines)]) - sum(widths[k : k + span]) - 2 * (span - 1))
+                widths[k + span - 1] += max(0, width(lines) - sum(widths[k : k + span]) - 2 * (span - 1))
     starts = [0]
     for w in widths:
         starts.append(starts[-1] + w + 2)
-    size = sum(max([1, *(len(lines) for _, lines, _ in cells)]) * (starts[cells[-1][0]] if cells else 0) for cells in placed)
-    if size > PAD * sum(len(x) + 1 for cells in placed for _, lines, _ in cells for x in lines) + PAD_FREE:
-        return [x for cells in placed for _, lines, _ in cells for x in lines]
     out = []
     for cells in placed:
         for i in range(max([1, *(len(lines) for _, lines, _ in cells)])):
             line = ""
             for k, lines, _ in cells:
                 if i < len(lines) and lines[i]:
-                    line = line.ljust(starts[k]) + lines[i]
+                    line = (line and line + "  ").ljust(min(starts[k], PAGE)) + lines[i]
             out.append(line.rstrip())
     return out
 

@@ -153,6 +153,16 @@ def test_visible_children_rowspans_and_wide_tables():
     assert render("<table><tr><td colspan=1000>x<td>y</table>" * 3).count("y") == 3
 
 
+def test_tables_of_any_size_are_laid_out_alike():
+    row = lambda i: f"<tr><td>{i % 10}<td>{'long ' * 15 if i % 100 == 7 else 'n'}<td>row"
+    few, many = (render("<table>" + "".join(row(i) for i in range(n)) + "</table>").split("\n") for n in (100, 5000))
+    assert few == many[:100] and {len(x) for x in many} == {82}
+    said = "said " * 60
+    assert render(f"<table><tr><td>a<td>b<tr><td>{said}<td>c<tr><td>{'x' * 80}<td>d</table>").split("\n") == ["a".ljust(82) + "b", said.rstrip() + "  c", "x" * 80 + "  d"]
+    page = "<table><tr>" + f"<td>{'x' * 80}" * 100 + ("<tr>" + "<td>" * 99 + "y") * 500 + "</table>"
+    assert len(render(page)) < len(page) and render(page).count("y") == 500
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers
