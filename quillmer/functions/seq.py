@@ -7,6 +7,7 @@ views. Column functions give null for null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,13 @@ def encode(kmer: Column) -> Column:
 
 
 def decode(packed: Column, k: int) -> Column:
-    return F.translate(F.lpad(F.conv(packed.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+    """String of a packed k-mer, four bases at a time from a table."""
+    pieces = []
+    for at in range(0, k, 4):
+        n = min(4, k - at)
+        table = F.array(*[F.lit("".join(x)) for x in product(BASES, repeat=n)])
+        pieces.append(F.get(table, F.shiftright(packed, 2 * (k - at - n)).bitwiseAND(F.lit(4**n - 1)).cast("int")))
+    return F.concat(*pieces)
 
 
 def roll_forward(packed: Column, base: Column, k: int) -> Column:
@@ -99,6 +106,11 @@ def joined(seqs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"\xff".join(parts), np.uint8), np.cumsum(n + 1) - n - 1, n
 
 
+def _width(k: int) -> type:
+    """The narrower of the types that hold a packed k-mer."""
+    return np.int32 if k <= 15 else np.int64
+
+
 def _rolled(c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed forms of all windows of ``k`` codes, forward and as reverse complements, by doubling their length."""
 
@@ -122,9 +134,9 @@ def pack_windows(seq: bytes | np.ndarray, k: int, invalid: str = "skip", both_st
         return np.zeros(0, np.int64), np.zeros(0, bool)
     code = _CODE[raw] if invalid == "as_a" else _CODE_LOWER[raw]
     bad = raw == _SEP if invalid == "as_a" else code == 4
-    fwd, rc = _rolled(np.where(code == 4, 0, code).astype(np.int64), k)
+    fwd, rc = _rolled((code & 3).astype(_width(k)), k)
     total = np.concatenate([[0], np.cumsum(bad, dtype=np.int32)])
-    return np.minimum(fwd, rc) if both_strands else fwd, total[k:] == total[:-k]
+    return (np.minimum(fwd, rc) if both_strands else fwd).astype(np.int64), total[k:] == total[:-k]
 
 
 def windows_of(starts: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,8 +239,8 @@ def two_bits(raw: np.ndarray, start: np.ndarray, length: np.ndarray, first: np.n
 
 def kmers_of_runs(runs: np.ndarray, bases: np.ndarray, k: int) -> np.ndarray:
     """Packed canonical k-mers of super-k-mers with ``runs`` k-mers each, from their joined bases, two bits each."""
-    code = (bases[:, None] >> np.array([6, 4, 2, 0], np.uint8) & 3).ravel().astype(np.int64)
+    code = (bases[:, None] >> np.array([6, 4, 2, 0], np.uint8) & 3).ravel().astype(_width(k))
     fwd, rc = _rolled(code, k)
     n = runs + k - 1
     at = np.repeat(np.cumsum(n) - n - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
-    return np.minimum(fwd[at], rc[at])
+    return np.minimum(fwd[at], rc[at]).astype(np.int64)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,8 @@ PACKED_FROM = 15
 SIGNATURE, BINS, BIN_BYTES = 9, 128, 2 * 1024 * 1024
 #: k-mers of a bin that one task counts, and that it counts together: about 60 bytes for each
 BIN_KMERS, FLUSH = 4_000_000, 1_000_000
+#: bases of a block of one sample's reads, and of all that a task holds; k-mers of a batch that a block asks for
+BLOCK_BASES, HELD_BASES, ASKED = 4 << 20, 64 << 20, 250_000
 #: large bins (a row each) up to which their table is broadcast
 MAX_BROADCAST_BINS = 200_000
 
@@ -74,7 +78,7 @@ def pack_super_kmers(reads: DataFrame, k: int, *, m: int = SIGNATURE, bins: int
                     _binary(n.astype(np.uint8), ends - first), _binary(bases, lengths),
                 ], names=_PACKED.names)
 
-    return spread(reads.select("sample_id", "seq").where("sample_id IS NOT NULL AND seq IS NOT NULL")).mapInArrow(pack, _PACKED)
+    return spread(reads.select("sample_id", "seq").where("sample_id IS NOT NULL")).mapInArrow(pack, _PACKED)  # groups leave null sequences out
 
 
 def _binary(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -101,7 +105,9 @@ def count_packed(packed: DataFrame, k: int, *, bin_kmers: int = BIN_KMERS) -> Da
         def flush() -> Iterator[pa.RecordBatch]:
             for sample in sorted({h[0] for h in held}):
                 kmer, cnt = np.unique(np.concatenate([seq.kmers_of_runs(runs, bases, k) for s, runs, bases in held if s == sample]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kmer), sample, np.int32)), pa.array(kmer), pa.array(cnt.astype(np.int64))], names=COUNTS.names)
+                for i in range(0, len(kmer), ASKED):
+                    own = kmer[i : i + ASKED]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), sample, np.int32)), pa.array(own), pa.array(cnt[i : i + ASKED].astype(np.int64))], names=COUNTS.names)
 
         for batch in batches:
             for sample, bin_, part, n, runs, bases in zip(*(c.to_pylist() for c in batch.columns)):
@@ -176,7 +182,7 @@ _RUNS = T.StructType([T.StructField("read_no", T.LongType()), T.StructField("sta
 
 
 def _dealt(reads: DataFrame, *columns: str) -> DataFrame:
-    return spread(reads.select(*columns).where("seq IS NOT NULL"))
+    return spread(reads.select(*columns))  # groups leave null sequences out
 
 
 def read_kmers(reads: DataFrame, k: int, invalid: str = "as_a") -> DataFrame:
@@ -212,11 +218,90 @@ def read_kmer_counts(reads: DataFrame, k: int, invalid: str = "as_a") -> DataFra
     return _dealt(reads, "sample_id", "read_no", "seq").mapInArrow(sums, _SUMS)
 
 
+def _blocks(reads: DataFrame, k: int, least: int) -> DataFrame:
+    """(block, sample_id, reads, seqs): reads with a window and of at least ``least`` characters in blocks of about ``BLOCK_BASES`` bases of one sample, stored."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: dict[int | None, tuple[list, list]] = {}
+        size: Counter = Counter()
+
+        def block(sample: int | None) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            size.pop(sample)
+            reads_, seqs = held.pop(sample)
+            return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([sample], pa.int32()), pa.array([reads_], pa.list_(pa.int64())), pa.array([seqs], pa.list_(pa.string()))], names=["block", "sample_id", "reads", "seqs"])
+
+        for batch in batches:
+            for sample, read, bases in zip(*(c.to_pylist() for c in batch.columns)):
+                if bases is None or len(bases) < least or len(bases) < k and len(bases.encode()) < k:
+                    continue
+                own = held.setdefault(sample, ([], []))
+                own[0].append(read)
+                own[1].append(bases)
+                size[sample] += len(bases)
+                if size[sample] >= BLOCK_BASES:
+                    yield block(sample)
+                elif size.total() >= HELD_BASES:  # many samples: the largest go
+                    for x, _ in size.most_common(max(1, len(size) // 2)):
+                        yield block(x)
+        for sample in list(held):
+            yield block(sample)
+
+    return stored(_dealt(reads, "sample_id", "read_no", "seq").mapInArrow(pack, "block long, sample_id int, reads array<long>, seqs array<string>"), "read_blocks")
+
+
+def by_blocks(reads: DataFrame, k: int, find: Callable[[DataFrame], DataFrame], kernel: Callable[..., pa.Array], value: str, *, least: int = 0, invalid: str = "as_a") -> DataFrame:
+    """(sample_id, read_no, value) of each read with a window, by what ``find`` gives for the k-mers of its block.
+
+    A block asks once for each of its distinct k-mers: ``find`` gets (block, sample_id, kmer) and returns (block, kmer, x, a long) of those it knows.
+    ``kernel`` gets x of all windows of some reads, 0 if unknown, and the first window of each read and behind the last one, and returns a value for each read.
+    """
+    blocks = _blocks(reads, k, least)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                parts = []
+                for (seqs,) in seq.groups(row["seqs"]):
+                    kmer, ok = seq.pack_windows(seq.joined(seqs)[0], k, invalid)
+                    parts.append(np.unique(kmer[ok]))
+                kmer = np.unique(np.concatenate(parts))
+                for j in range(0, len(kmer), ASKED):
+                    own = kmer[j : j + ASKED]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row["block"])), pa.array([row["sample_id"]] * len(own), pa.int32()), pa.array(own)], names=["block", "sample_id", "kmer"])
+
+    def answer(block: pa.Table, met: pa.Table) -> pa.Table:
+        order = np.argsort(met.column("kmer").to_numpy())
+        known, x = met.column("kmer").to_numpy()[order], met.column("x").to_numpy()[order]
+        out = []
+        for row in block.to_pylist():  # one
+            for reads_, seqs in seq.groups(row["reads"], row["seqs"]):
+                raw, starts, n = seq.joined(seqs)
+                kmer, ok = seq.pack_windows(raw, k, invalid)
+                at = seq.windows_of(starts, n, k)[0]
+                kmer, ok = kmer[at], ok[at]
+                got = np.zeros(len(at), np.int64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, kmer), len(known) - 1)
+                    ok &= known[place] == kmer
+                    got[ok] = x[place[ok]]
+                bounds = np.concatenate([[0], np.cumsum(n - k + 1)])
+                out.append(pa.table([pa.array([row["sample_id"]] * len(n), pa.int32()), pa.array(reads_, pa.int64()), kernel(got, bounds)], names=["sample_id", "read_no", "value"]))
+        return pa.concat_tables(out)
+
+    asked = blocks.select("block", "sample_id", "seqs").mapInArrow(ask, "block long, sample_id int, kmer long")
+    found = find(asked).select("block", "kmer", "x")
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(answer, f"sample_id int, read_no long, value {value}")
+
+
 def counters_for_reads(reads: DataFrame, counts: DataFrame, k: int) -> DataFrame:
-    """(sample_id, read_no, counters): the sample's count of each k-mer of a read in order, 0 where absent or invalid."""
-    met = read_kmers(reads, k, "skip").join(counts, ["sample_id", "kmer"], "left").select("sample_id", "read_no", "pos", F.coalesce("cnt", F.lit(0).cast("long")).alias("c"))
-    listed = F.array_sort(F.collect_list(F.struct("pos", "c")))
-    return met.groupBy("sample_id", "read_no").agg(F.transform(listed, lambda x: x["c"]).alias("counters"))
+    """(sample_id, read_no, counters) of each read with a k-mer: the sample's count of each k-mer in order, 0 where absent or invalid."""
+    find = lambda asked: asked.join(counts, ["sample_id", "kmer"]).select("block", "kmer", F.col("cnt").alias("x"))
+    lists = lambda x, bounds: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x))
+    return by_blocks(reads, k, find, lists, "array<long>", invalid="skip").withColumnRenamed("value", "counters")
 
 
 def super_kmers(reads: DataFrame, k: int, m: int) -> DataFrame:

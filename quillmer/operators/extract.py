@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .counts import read_kmer_counts
+from ..storage import stored
+from .counts import by_blocks
 
 #: k-mers of a set (16 bytes each) up to which it is broadcast; beyond, the join shuffles
 MAX_BROADCAST_KMERS = 2_000_000
 
 
 def checked(marked: DataFrame) -> DataFrame:
+    marked = stored(marked, "marked")
     return F.broadcast(marked) if marked.count() <= MAX_BROADCAST_KMERS else marked
 
 
+def _hits(x: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Number of windows and of marked ones of each read."""
+    total = np.concatenate([[0], np.cumsum(x)])
+    return pa.StructArray.from_arrays([pa.array(np.diff(bounds)), pa.array(np.diff(total[bounds]))], names=["n", "hits"])
+
+
+def _voted(reads: DataFrame, find, k: int, invalid: str) -> DataFrame:
+    """(sample_id, read_no, n_kmers, hits, ratio), repeated reads together."""
+    each = by_blocks(reads, k, find, _hits, "struct<n:long, hits:long>", least=k + 10, invalid=invalid)
+    return each.groupBy("sample_id", "read_no").agg(F.sum("value.n").alias("n_kmers"), F.sum("value.hits").alias("hits")).withColumn("ratio", F.col("hits") / F.col("n_kmers"))
+
+
 def votes(reads: DataFrame, marked: DataFrame, k: int, *, invalid: str = "as_a") -> DataFrame:
     """(sample_id, read_no, n_kmers, hits, ratio) of reads of at least k + 10 bases; ``marked`` holds distinct kmer."""
-    long = reads.where(F.length("seq") >= k + 10)
-    each = read_kmer_counts(long, k, invalid)
-    met = each.join(checked(marked.select("kmer", F.lit(1).alias("hit"))), "kmer", "left")
-    return met.groupBy("sample_id", "read_no").agg(F.sum("n").alias("n_kmers"), F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("hits")).withColumn("ratio", F.col("hits") / F.col("n_kmers"))
+    few = checked(marked.select("kmer", F.lit(1).cast("long").alias("x")))
+    return _voted(reads, lambda asked: asked.join(few, "kmer"), k, invalid)
 
 
 def thin(voted: DataFrame, reads: DataFrame, large: DataFrame, k: int, *, seed: int = 1, invalid: str = "as_a") -> DataFrame:
@@ -37,10 +51,8 @@ def extract(reads: DataFrame, groups: DataFrame, classes: DataFrame, k: int, vot
     ``groups`` is (sample_id, grp), ``classes`` (kmer, grp), one grp per k-mer. A ratio must be above ``vote``.
     """
     known = reads.join(F.broadcast(groups), "sample_id")  # a row per sample
-    each = read_kmer_counts(reads.where(F.length("seq") >= k + 10), k, "as_a").join(F.broadcast(groups), "sample_id")
-    met = each.join(checked(classes.select("kmer", "grp", F.lit(1).alias("hit"))), ["kmer", "grp"], "left")
-    hits = F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0))
-    won = met.groupBy("sample_id", "read_no").agg((hits / F.sum("n")).alias("ratio")).where(F.col("ratio") > vote)
+    few = checked(classes.select("kmer", "grp", F.lit(1).cast("long").alias("x")))
+    won = _voted(reads.join(F.broadcast(groups.select("sample_id")), "sample_id"), lambda asked: asked.join(F.broadcast(groups), "sample_id").join(few, ["kmer", "grp"]), k, "as_a").where(F.col("ratio") > vote)
     return known.join(won.select("sample_id", "read_no"), ["sample_id", "read_no"], "left_semi")
 
 

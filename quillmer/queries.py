@@ -330,7 +330,8 @@ def counters_for_read(spark, d):
     c = C.counters_for_reads(_reads(spark, d), _kept(_counts(spark, d)), K)
     total = F.aggregate("counters", F.lit(0).cast("long"), lambda a, x: a + x)
     weighted = F.aggregate(F.transform("counters", lambda x, i: x * (i % 97)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return c.select("sample_id", "read_no", F.size("counters").cast("long").alias("n"), total.alias("total"), weighted.alias("weighted"))
+    each = c.select("sample_id", "read_no", F.size("counters").cast("long").alias("n"), total.alias("total"), weighted.alias("weighted"))
+    return each.groupBy("sample_id", "read_no").agg(*[F.sum(x).alias(x) for x in ("n", "total", "weighted")])  # repeated reads together
 
 
 # --- matrix -----------------------------------------------------------------------------------------------------------
@@ -783,7 +784,8 @@ _WON = f"{_MARK}, won AS (SELECT wp.sample_id, wp.read_no FROM wp JOIN reads ON
 
 
 def _extracted(spark, d):
-    classes = _marked(spark, d, 0).withColumn("grp", F.lit("A")).unionByName(_marked(spark, d, 1).withColumn("grp", F.lit("B")))
+    rest = F.col("kmer") % 3
+    classes = C.universe(_counts(spark, d, 1)).where(rest < 2).withColumn("grp", F.when(rest == 0, "A").otherwise("B"))
     groups = spark.createDataFrame([(s, "A" if s < tables.GROUP_A else "B") for s in _samples(spark, d)], "sample_id int, grp string")
     return X.extract(_reads(spark, d), groups, classes, K, 0.35)
 

@@ -5,14 +5,17 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillmer.functions import seq, stats, vectors
 from quillmer.operators import cluster as clustering
 from quillmer.operators import counts as C
+from quillmer.operators import extract as X
 from quillmer.operators import matrix as M
 from quillmer.operators import slices
+from quillmer.sources import tables
 
 SWAP = str.maketrans("ACGT", "TGCA")
 
@@ -88,6 +91,41 @@ def test_windows_of_many_reads(spark, texts):
         assert sums == again
 
 
+@pytest.mark.parametrize("k", [7, 17])
+def test_blocks_ask_once_for_each_kmer(spark, texts, k, monkeypatch):
+    """Counters and votes as by a join of every window, in blocks of any size; distinct k-mers of a block cross the network, not its windows."""
+    reads = frame(spark, [t for t in texts if t[1]] + [(0, "ACGTTGCA" * 200), (None, "ACGTTGCA" * 9)])
+    counts = C.count_kmers(reads, k, min_count=2).cache()
+    met = C.read_kmers(reads, k, "skip").join(counts, ["sample_id", "kmer"], "left").collect()
+    want = defaultdict(dict)
+    for x in met:
+        want[x.read_no][x.pos] = x.cnt or 0
+    want = {i: [w[p] for p in sorted(w)] for i, w in want.items()}
+    marked = counts.where("kmer % 3 = 0").select("kmer").distinct().cache()
+    few = {r.kmer for r in marked.collect()}
+    hits = defaultdict(int)
+    for x in C.read_kmers(reads.where(F.length("seq") >= k + 10), k).collect():
+        hits[x.read_no] += x.kmer in few
+    for size, held in ((4 << 20, 64 << 20), (300, 64 << 20), (4 << 20, 2000)):
+        monkeypatch.setattr(C, "BLOCK_BASES", size)
+        monkeypatch.setattr(C, "HELD_BASES", held)
+        assert {r.read_no: r.counters for r in C.counters_for_reads(reads, counts, k).collect()} == want
+        assert {r.read_no: r.hits for r in X.votes(reads, marked, k).collect()} == hits
+    asked = []
+    one = frame(spark, [(0, "ACGTTGCA" * 200), (0, "TTGCAACG" * 200)]).coalesce(1)
+    monkeypatch.undo()
+    C.by_blocks(one, k, lambda a: asked.append(a) or a.withColumn("x", F.lit(1).cast("long")), lambda x, bounds: pa.array(np.diff(bounds)), "long").count()
+    assert asked[0].count() <= 8  # of 3,200 windows
+
+
+def test_letters_as_bases(spark):
+    texts = ["Ab-z9\n", "", None, "İK ß Ω", "ZzYy" * 3]
+    got = tables.text_reads(spark.createDataFrame([(i, t, "src3") for i, t in enumerate(texts)], "doc_id long, text string, source string"))
+    old = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", ""), tables.LETTERS, tables.AS_BASES)
+    want = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").select("i", old).collect()
+    assert sorted((r.read_no, r.seq) for r in got.collect()) == sorted(map(tuple, want))
+
+
 def test_rolling_windows_by_doubling():
     r = np.random.default_rng(1)
     code = r.integers(0, 4, 200)
