@@ -237,10 +237,25 @@ def two_bits(raw: np.ndarray, start: np.ndarray, length: np.ndarray, first: np.n
     return code.reshape(-1, 4) @ np.array([64, 16, 4, 1], np.uint8), (total + padding) // 4
 
 
-def kmers_of_runs(runs: np.ndarray, bases: np.ndarray, k: int) -> np.ndarray:
-    """Packed canonical k-mers of super-k-mers with ``runs`` k-mers each, from their joined bases, two bits each."""
-    code = (bases[:, None] >> np.array([6, 4, 2, 0], np.uint8) & 3).ravel().astype(_width(k))
-    fwd, rc = _rolled(code, k)
-    n = runs + k - 1
-    at = np.repeat(np.cumsum(n) - n - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
-    return np.minimum(fwd[at], rc[at]).astype(np.int64)
+#: k-mers whose bases are spread at once, about 150 bytes for each
+EXPAND = 250_000
+
+
+def kmers_of_rows(n: np.ndarray, n_runs: np.ndarray, runs: np.ndarray, n_bytes: np.ndarray, bases: np.ndarray, k: int) -> np.ndarray:
+    """Packed canonical k-mers of rows of super-k-mers: how many k-mers, super-k-mers and bytes of bases each row has, the k-mers of each
+    super-k-mer, and the bases, two bits each, a row's in whole bytes."""
+    at, at_run, at_byte = (np.append(0, np.cumsum(x)) for x in (n, n_runs, n_bytes))
+    out, x = np.empty(at[-1], np.int64), 0
+    while x < len(n):
+        y = max(x + 1, int(np.searchsorted(at, at[x] + EXPAND, "right")) - 1)
+        own = runs[at_run[x] : at_run[y]].astype(np.int64)
+        length = own + k - 1
+        begin = np.cumsum(length) - length
+        first = at_run[x:y] - at_run[x]  # where each row's runs begin: each row has one
+        begin += np.repeat(4 * (at_byte[x:y] - at_byte[x]) - begin[first], n_runs[x:y])
+        code = (bases[at_byte[x] : at_byte[y], None] >> np.array([6, 4, 2, 0], np.uint8) & 3).ravel().astype(_width(k))
+        fwd, rc = _rolled(code, k)
+        place = np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        out[at[x] : at[y]] = np.minimum(fwd[place], rc[place])
+        x = y
+    return out

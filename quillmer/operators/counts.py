@@ -31,26 +31,29 @@ MAX_BROADCAST_BINS = 200_000
 _PACKED = T.StructType([T.StructField("sample_id", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("runs", T.BinaryType()), T.StructField("bases", T.BinaryType())])
 
 
-def count_kmers(reads: DataFrame, k: int, *, min_count: int = 2, max_count: int = 65535, invalid: str = "skip", both_strands: bool = True) -> DataFrame:
+def count_kmers(reads: DataFrame, k: int, *, min_count: int = 2, max_count: int = 65535, invalid: str = "skip", both_strands: bool = True, samples: int | None = None) -> DataFrame:
     """(sample_id, kmer, cnt): packed canonical k-mers seen at least ``min_count`` times in a sample, counts saturated.
 
     Small scans are dealt out first. Short k-mers are combined in each batch before the shuffle, longer ones of both strands go as super-k-mers.
+    ``samples`` is their number, counted if not given.
     """
     if k >= PACKED_FROM and both_strands:
-        total = count_packed(pack_super_kmers(reads, k, invalid=invalid), k)
+        total = count_packed(pack_super_kmers(reads, k, samples=samples, invalid=invalid), k)
     else:
         partial = seq.count_in_batches(spread(reads), k, invalid=invalid, both_strands=both_strands)
         total = partial.groupBy("sample_id", "kmer").agg(F.sum("cnt").alias("cnt"))
     return total.where(F.col("cnt") >= min_count).withColumn("cnt", F.least("cnt", F.lit(max_count).cast("long")))
 
 
-def pack_super_kmers(reads: DataFrame, k: int, *, m: int = SIGNATURE, bins: int | None = None, invalid: str = "skip") -> DataFrame:
+def pack_super_kmers(reads: DataFrame, k: int, *, m: int = SIGNATURE, bins: int | None = None, samples: int | None = None, invalid: str = "skip") -> DataFrame:
     """(sample_id, bin, n, runs, bases): the super-k-mers of a batch of reads by bin of their signature, two bits a base.
 
     All occurrences of a canonical k-mer have one signature and so one bin. ``runs`` has a byte for each super-k-mer, its number of
-    k-mers (longer runs are cut), ``n`` is their sum.
+    k-mers (longer runs are cut), ``n`` is their sum. Each sample has bins for its share of the input, so a batch's rows don't get shorter with the number of samples.
     """
-    bins = bins or max(BINS, int(str(reads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // BIN_BYTES)
+    if not bins:
+        samples = samples or max(1, reads.select("sample_id").distinct().count())
+        bins = max(BINS, int(str(reads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // BIN_BYTES // samples)
     bins = min(bins, 4**m // 4)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,6 +89,12 @@ def _binary(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and joined bytes of binary values without nulls."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.diff(ends).astype(np.int64), np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].copy()
+
+
 def count_packed(packed: DataFrame, k: int, *, bin_kmers: int = BIN_KMERS) -> DataFrame:
     """(sample_id, kmer, cnt) of the k-mers of packed super-k-mers, each row's occurrences together.
 
@@ -100,22 +109,43 @@ def count_packed(packed: DataFrame, k: int, *, bin_kmers: int = BIN_KMERS) -> Da
     tasks = max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size.agg(F.sum("n")).first()[0] or 0) // BIN_KMERS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, size = [], None, 0
+        held, key, size = [], None, 0  # held: stretches of rows as arrays
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for sample in sorted({h[0] for h in held}):
-                kmer, cnt = np.unique(np.concatenate([seq.kmers_of_runs(runs, bases, k) for s, runs, bases in held if s == sample]), return_counts=True)
-                for i in range(0, len(kmer), ASKED):
-                    own = kmer[i : i + ASKED]
+            samples, n, n_runs, runs, n_bytes, bases = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            kmer = seq.kmers_of_rows(n, n_runs, runs, n_bytes, bases, k)
+            first = np.flatnonzero(np.diff(samples, prepend=samples[0] - 1))  # rows come by sample
+            ends = np.cumsum(n)
+            bounds = [*(ends[first] - n[first]), len(kmer)]
+            for sample, x, y in zip(samples[first].tolist(), bounds, bounds[1:]):
+                distinct, cnt = np.unique(kmer[x:y], return_counts=True)
+                for i in range(0, len(distinct), ASKED):
+                    own = distinct[i : i + ASKED]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), sample, np.int32)), pa.array(own), pa.array(cnt[i : i + ASKED].astype(np.int64))], names=COUNTS.names)
 
         for batch in batches:
-            for sample, bin_, part, n, runs, bases in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= FLUSH and key != (sample, bin_, part):
+            if not batch.num_rows:
+                continue
+            keys = np.stack([c.to_numpy() for c in batch.columns[:3]])
+            n = batch.column(3).to_numpy()
+            (n_runs, runs), (n_bytes, bases) = _flat(batch.column(4)), _flat(batch.column(5))
+            at_run, at_byte = np.append(0, np.cumsum(n_runs)), np.append(0, np.cumsum(n_bytes))
+            new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            begins = new.tolist() if key == tuple(keys[:, 0]) else [0, *new.tolist()]
+            key, total, start = tuple(keys[:, -1]), np.append(0, np.cumsum(n)), 0
+
+            def hold(x: int, y: int) -> None:
+                if y > x:
+                    held.append((keys[0, x:y], n[x:y], n_runs[x:y], runs[at_run[x] : at_run[y]], n_bytes[x:y], bases[at_byte[x] : at_byte[y]]))
+
+            for i in begins:  # a key's rows are counted together
+                if size + total[i] - total[start] >= FLUSH:
+                    hold(start, i)
                     yield from flush()
-                    held, size = [], 0
-                key, size = (sample, bin_, part), size + n
-                held.append((sample, np.frombuffer(runs, np.uint8).astype(np.int64), np.frombuffer(bases, np.uint8)))
+                    start, size = i, 0
+            hold(start, batch.num_rows)
+            size += int(total[-1] - total[start])
         if held:
             yield from flush()
 

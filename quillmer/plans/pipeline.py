@@ -49,7 +49,7 @@ class Pipeline:
 
     def count(self) -> None:
         p = self.params
-        self._write(C.count_kmers(self.reads, p.k, min_count=p.min_count, max_count=p.max_count, invalid=p.invalid), "counts")
+        self._write(C.count_kmers(self.reads, p.k, min_count=p.min_count, max_count=p.max_count, invalid=p.invalid, samples=len(self.samples)), "counts")
 
     def matrix(self) -> None:
         p, counts = self.params, self.table("counts")

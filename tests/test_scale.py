@@ -74,6 +74,22 @@ def test_super_kmers_cross_the_network_in_few_bytes(spark):
     assert packed.agg(F.sum("n")).first()[0] == kmers and size < kmers * 20 / 3  # a k-mer, sample and count by themselves are 20 bytes
 
 
+def test_rows_of_super_kmers_are_as_long_for_many_samples(spark, monkeypatch, tmp_path):
+    """Bins follow a sample's share of the input; rows of a few bases cost more than their k-mers. Counting spreads many rows at once."""
+    r = random.Random(5)
+    rows = [(i % 20, "".join(r.choice("ACGT") for _ in range(500))) for i in range(400)]
+    monkeypatch.setattr(C, "BINS", 1)
+    monkeypatch.setattr(C, "BIN_BYTES", 1000)
+    monkeypatch.setattr(seq, "EXPAND", 100)
+    monkeypatch.setattr(C, "FLUSH", 1500)
+    frame(spark, rows).coalesce(1).write.parquet(str(tmp_path / "reads"))
+    monkeypatch.setattr(C, "spread", lambda df: df.coalesce(1))
+    reads = spark.read.parquet(str(tmp_path / "reads"))
+    packed, fine = C.pack_super_kmers(reads, 15), C.pack_super_kmers(reads, 15, samples=1)
+    assert packed.count() * 5 < fine.count()
+    assert table(C.count_packed(packed, 15), 15) == table(C.count_packed(fine, 15), 15) == counted(rows, 15)
+
+
 def test_windows_of_many_reads(spark, texts):
     rows = [t for t in texts if t[1]]
     for invalid in ("as_a", "skip"):
