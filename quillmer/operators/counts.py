@@ -14,13 +14,13 @@ from pyspark.sql import types as T
 
 from ..functions import seq
 from ..schema import COUNTS
-from ..storage import fresh_path, materialize, spread, stored, with_dense_ids
+from ..storage import fresh_path, materialize, scan_bytes, spread, stored, with_dense_ids
 
 
 #: k from which k-mers go to their counters as super-k-mers: shorter ones repeat so often that counts of batches are smaller
 PACKED_FROM = 15
 #: length of signatures; bins of them, at least; bytes of scanned input for a further bin
-SIGNATURE, BINS, BIN_BYTES = 9, 128, 2 * 1024 * 1024
+SIGNATURE, BINS, BIN_BYTES = 9, 128, 1024 * 1024
 #: k-mers of a bin that one task counts, and that it counts together: about 60 bytes for each
 BIN_KMERS, FLUSH = 4_000_000, 1_000_000
 #: bases of a block of one sample's reads, and of all that a task holds; k-mers of a batch that a block asks for
@@ -53,7 +53,7 @@ def pack_super_kmers(reads: DataFrame, k: int, *, m: int = SIGNATURE, bins: int
     """
     if not bins:
         samples = samples or max(1, reads.select("sample_id").distinct().count())
-        bins = max(BINS, int(str(reads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // BIN_BYTES // samples)
+        bins = max(BINS, scan_bytes(reads) // BIN_BYTES // samples)
     bins = min(bins, 4**m // 4)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,10 +80,15 @@ def with_dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
     return local.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_o", "_m")
 
 
+def scan_bytes(df: DataFrame) -> int:
+    """Bytes of what ``df`` scans, by Spark's estimate: what comes after the scans, as a Python function, doesn't change it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all shuffle partitions if its scan would have fewer partitions than there are cores: files that are few and small
     leave most cores idle. A larger scan isn't shuffled; what is moved is bounded by a scan partition for each core."""
     spark = df.sparkSession
     n, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(n) if n > 1 and size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
+    return df.repartition(n) if n > 1 and scan_bytes(df) < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df

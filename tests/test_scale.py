@@ -16,6 +16,7 @@ from quillmer.operators import extract as X
 from quillmer.operators import matrix as M
 from quillmer.operators import slices
 from quillmer.sources import tables
+from quillmer.storage import scan_bytes
 
 SWAP = str.maketrans("ACGT", "TGCA")
 
@@ -296,3 +297,10 @@ def test_slices_read_their_partitions_alone(spark, tmp_path, capsys):
     slices.write_slices(again, features, path, slice_rows=10)
     rows = {(r.sample_id, r.feature_id): r.cnt for r in slices.read_slice(spark, path, 0, 100, slice_rows=10).collect()}
     assert rows == {(s, k): 9 if s == 1 and k < 20 else s + k + 1 for s in range(4) for k in range(100) if (s + k) % 3}
+
+
+def test_sizes_are_of_what_is_scanned(spark, tmp_path):
+    """A Python function between scan and counts made the estimate smaller, and so the bins too few."""
+    spark.createDataFrame([(i, "some text " * 50, "src1") for i in range(200)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert scan_bytes(tables.text_reads(docs).select("sample_id", "seq")) == scan_bytes(docs) > 0
