@@ -41,7 +41,7 @@ from .decontam_wm import words_of
 BUCKETS = 10_000
 MIN_WORDS, PERCENT, SEED = 20, 5, 42
 #: text of a block, and occurrences of features for each part of the dictionary
-BLOCK_BYTES, PART_FEATURES = 16 * 1024 * 1024, 4_000_000
+BLOCK_BYTES, PART_FEATURES = 14 * 1024 * 1024, 4_000_000
 #: groups in which the parts' sums are added up
 SUM_GROUPS = 16
 #: words of this share (a power of two below one) are numbered alike in all blocks
@@ -179,6 +179,7 @@ class Runs:
                 one = np.zeros((5, len(i)), np.int32)
                 one[list(k)] = runs[list(k)][:, i]
                 taken.append((one, np.full(len(i), 1 << f, np.uint8), doc[i]))
+            del runs
             runs, kinds, doc = np.concatenate([t[0] for t in taken], axis=1), np.concatenate([t[1] for t in taken]), np.concatenate([t[2] for t in taken])
             del taken
         del has
